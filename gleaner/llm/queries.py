@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from gleaner.llm import simhash
+from gleaner.llm import packing, quality, sharding, simhash, tokens
 
 QUERIES = {
+    "op3_byte_cnn_quality": quality.op3_byte_cnn_quality,
+    "op4_feistel_shards": sharding.op4_feistel_shards,
+    "op5_fst_token_counts": tokens.op5_fst_token_counts,
     "op8_simhash_ball": simhash.op8_simhash_ball,
+    "op9_bestfit_packing": packing.op9_bestfit_packing,
 }
 
 ORACLES: dict[str, str] = {}
