@@ -24,7 +24,8 @@ HALF = 256
 EMBED, FILTERS, HIDDEN = 6, 24, 12
 #: The bound of the sample that the network is fitted on: so many labelled documents, whole.
 SAMPLE_ROWS = 3000
-EPOCHS, BATCH, RATE = 6, 32, 0.01
+#: The steps of training, the same for small and large samples.
+STEPS, BATCH, RATE = 600, 32, 0.01
 THRESHOLD = 0.7
 HELD_OUT = 2
 SEED = 7
@@ -96,23 +97,22 @@ def chunk_tops(tops: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tupl
     return np.maximum(tops, tops[after]), after
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> ByteNet:
+def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> ByteNet:
     """Train a network by Adam on the whole texts; only the windows that win a maximum get a gradient."""
     net, rng = ByteNet.fresh(seed), np.random.default_rng(seed)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.params()]
-    labels, step = np.asarray(labels, np.float32), 0
-    total = epochs * max(1, -(-len(texts) // BATCH))
-    for _ in range(epochs):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(texts), BATCH):
-            rows = order[at : at + BATCH]
-            grads = gradients(net, [texts[i] for i in rows], labels[rows])
-            step += 1
-            rate = RATE * (1 - step / (total + 1)) + 1e-4
-            for p, g, (m, v) in zip(net.params(), grads, moments):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+    labels = np.asarray(labels, np.float32)
+    order: list[int] = []
+    for step in range(1, steps + 1 if texts else 1):
+        if len(order) < BATCH:
+            order += rng.permutation(len(texts)).tolist()
+        rows, order = order[:BATCH], order[BATCH:]
+        grads = gradients(net, [texts[i] for i in rows], labels[rows])
+        rate = RATE * (1 - step / (steps + 1)) + 1e-4
+        for p, g, (m, v) in zip(net.params(), grads, moments):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     return net
 
 
@@ -184,9 +184,9 @@ def scorer(net: ByteNet):
     return score
 
 
-def fitted(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> ByteNet:
+def fitted(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, steps: int = STEPS) -> ByteNet:
     texts, quality = training_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), rows)
-    return fit(texts, quality, epochs)
+    return fit(texts, quality, steps)
 
 
 def quality_scores(docs: DataFrame, net: ByteNet) -> DataFrame:
