@@ -2,64 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) is a folder of our own set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gleaner-checkpoints-"))
-    return sc.getCheckpointDir()
+from gleaner.operators.ordering import checkpoint_folder, checkpointed, shuffle_partitions, with_row_number
 
+__all__ = ["checkpoint_folder", "checkpointed", "read_table", "shuffle_partitions", "with_row_number"]
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def with_row_number(df: DataFrame, keys: list[str], name: str = "row_no", weight: str | None = None, total: str = "row_sum") -> DataFrame:
-    """Add the 0-based global position in the order of ``keys`` without sorting in one task.
-
-    The rows are range-partitioned and sorted, the sorted rows are checkpointed (so both passes see the same order), and
-    each partition's first number is the running total of the partitions' counts: one small row a partition.
-    Rows equal in every key may take their numbers in either order. With ``weight`` the column ``total`` holds the sum
-    of the weights of all earlier rows as well.
-    """
-    spark = df.sparkSession
-    tie, part, mono = "__tie", "__part", "__mono"
-    ranged = df.withColumn(tie, F.monotonically_increasing_id())
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(tie)]
-    ranged = ranged.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop(tie)
-    placed = checkpointed(ranged.withColumn(mono, F.monotonically_increasing_id()))
-    placed = placed.withColumn(part, F.shiftright(mono, 33)).withColumn(mono, F.col(mono).bitwiseAND(F.lit((1 << 33) - 1)))
-    sums = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(weight) if weight else F.lit(0)).alias("__w"))
-    # One row a partition of the cluster's shuffle: small whatever the data's size.
-    firsts = sums.select(
-        part,
-        F.expr(f"coalesce(sum(__n) over (order by {part} rows between unbounded preceding and 1 preceding), 0)").alias("__n0"),
-        F.expr(f"coalesce(sum(__w) over (order by {part} rows between unbounded preceding and 1 preceding), 0)").alias("__w0"),
-    )
-    out = placed
-    if weight:
-        inner = F.expr(f"coalesce(sum({weight}) over (partition by {part} order by {mono} rows between unbounded preceding and 1 preceding), 0)")
-        out = out.withColumn("__before", inner)
-    out = out.join(F.broadcast(firsts), part).withColumn(name, F.col("__n0") + F.col(mono))
-    if weight:
-        out = out.withColumn(total, F.col("__w0") + F.col("__before")).drop("__before")
-    return out.drop(part, mono, "__n0", "__w0")
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
