@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from gleaner.functions import lexicons
 
 SPACES = r"\s+"
+BLANKS = " \t\n\r\x0b\x0c"
 UNITS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
@@ -123,7 +124,7 @@ def mode_sources(mode: Column) -> Column:
 
 def parsed_route(reply: Column) -> Column:
     """struct(mode, reason) from a model's reply; the mode is null if the reply names none."""
-    clean = F.trim(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""))
+    clean = F.btrim(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), F.lit(BLANKS))
     mode = F.upper(F.regexp_extract(clean, r"(?i)ROUTE:\s*(NO_CONTEXT|RAG_ONLY|GRAPH_ONLY|RAG_AND_GRAPH|CLARIFY)", 1))
     reason = F.trim(F.regexp_extract(clean, r"(?i)REASON:\s*(.+)", 1))
     return F.struct(F.when(mode != "", mode).alias("mode"), F.when(reason != "", reason).otherwise("LLM classification").alias("reason"))
@@ -137,7 +138,7 @@ def blended_score(reply: Column, score: Column) -> Column:
 
 def normal_label(label: Column) -> Column:
     """A symbol's label for comparison: lower case, without part and module marks, final brackets and first dots."""
-    s = F.trim(F.lower(label))
+    s = F.btrim(F.lower(label), F.lit(BLANKS))
     s = F.regexp_replace(s, r"\s*\(parte\s+[0-9]+\)$", "")
     s = F.regexp_replace(s, r"\s*\(module-level\)$", "")
     return F.ltrim(F.rtrim(s, F.lit("()")), F.lit("."))
@@ -163,20 +164,20 @@ def budget_share(total: Column, notes: Column, code: Column, graph: Column) -> C
 
 def navigates(section: Column, text: Column) -> Column:
     """Whether a passage only navigates: its section says so, or over 0.6 of its lines are short links, or it is blank."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
     links = F.filter(lines, lambda x: F.contains(x, F.lit("[[")) & F.contains(x, F.lit("]]")) & (F.length(x) < 80))
     return section.isin(*lexicons.NAVIGATION_SECTIONS) | (F.size(lines) == 0) | (F.size(links) / F.size(lines) > 0.6)
 
 
 def only_links(section_text: Column) -> Column:
     """Whether over 0.7 of a section's lines are list items of one wiki link, or it is blank."""
-    lines = F.filter(F.split(section_text, r"\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(section_text, r"\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     links = F.filter(lines, lambda x: x.rlike(r"^[\s\-\*]*\[\[.*?\]\][\s\-\*]*$"))
     return (F.size(lines) == 0) | (F.size(links) / F.size(lines) > 0.7)
 
 
 def without_front_matter(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\A---\s*\n(?s:.*?)\n---\s*\n", ""))
+    return F.btrim(F.regexp_replace(text, r"\A---\s*\n(?s:.*?)\n---\s*\n", ""), F.lit(BLANKS))
 
 
 def context_instruction(sources: Column) -> Column:

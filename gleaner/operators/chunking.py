@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from gleaner.functions.text import content_hash, only_links, without_front_matter
+from gleaner.functions.text import BLANKS, content_hash, only_links, without_front_matter
 
 MAX_CHARS, OVERLAP, MIN_NOTE, MIN_CODE = 2000, 200, 50, 80
 BREAK = "\u0001"
@@ -77,20 +77,20 @@ def header_sections(notes: DataFrame, text: str = "text") -> DataFrame:
     parts = F.split(marked, BREAK)
     rows = notes.withColumn("__parts", parts)
     count = F.floor(F.size("__parts") / 2)
-    pick = lambda i: F.struct(F.when(i == 0, "").otherwise(F.trim(F.get("__parts", (2 * i - 1).cast("int")))).alias("header"), F.btrim(F.get("__parts", (2 * i).cast("int")), F.lit(" \n\t\r")).alias("body"))
+    pick = lambda i: F.struct(F.when(i == 0, "").otherwise(F.trim(F.get("__parts", (2 * i - 1).cast("int")))).alias("header"), F.btrim(F.get("__parts", (2 * i).cast("int")), F.lit(BLANKS)).alias("body"))
     sections = F.transform(F.sequence(F.lit(0), count.cast("int")), pick)
     return rows.select(*notes.columns, F.posexplode(sections).alias("section_index", "s")).select(*notes.columns, "section_index", "s.header", "s.body").filter("body <> ''")
 
 
 def chunk_notes(notes: DataFrame, path: str = "path", text: str = "text", stem: str = "stem") -> DataFrame:
     """``source_path, note_title, section_header, chunk_index, display_text, chunk_id, embedding_text`` of all notes."""
-    body = without_front_matter(F.btrim(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit(" \n\t\r")))
+    body = without_front_matter(F.btrim(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit(BLANKS)))
     rows = notes.select(F.col(path).alias("source_path"), F.col(stem).alias("stem"), body.alias("text")).filter("text <> ''")
     title = F.regexp_extract(F.col("text"), r"\A#\s+(.+)", 1)
     rows = rows.withColumn("note_title", F.when(title != "", F.trim(title)).otherwise(F.col("stem")))
     sections = header_sections(rows).filter(~only_links(F.col("body")))
     pieces = sections.select("source_path", "note_title", F.col("header").alias("section_header"), F.posexplode(long_pieces(F.col("body"))).alias("chunk_index", "display_text"))
-    pieces = pieces.filter(F.length(F.trim("display_text")) >= MIN_NOTE)
+    pieces = pieces.filter(F.length(F.btrim(F.col("display_text"), F.lit(BLANKS))) >= MIN_NOTE)
     prefix = F.concat(F.lit("Nota: "), F.col("note_title"), F.when(F.col("section_header") != "", F.concat(F.lit(" | Secção: "), F.col("section_header"))).otherwise(F.lit("")))
     return pieces.withColumns({
         "chunk_id": content_hash(F.col("source_path"), F.col("section_header"), F.col("chunk_index").cast("string"), F.col("display_text")),
@@ -149,8 +149,8 @@ def chunk_code(files: DataFrame) -> DataFrame:
     A chunk's index counts the kept chunks of its file, for text the pieces; chunks of under 80 characters go.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    cut = files.filter(F.trim("source") != "").select("path", "repo_name", name.alias("note_title"), _code_chunks(name, F.col("source")).alias("c"))
-    kept = F.filter(F.transform("c", lambda x, i: F.struct(x["section_header"].alias("section_header"), x["symbol_type"].alias("symbol_type"), F.btrim(x["part"], F.lit(" \n\t\r")).alias("display_text"), i.alias("piece"))), lambda x: F.length(x["display_text"]) >= MIN_CODE)
+    cut = files.filter(F.btrim(F.col("source"), F.lit(BLANKS)) != "").select("path", "repo_name", name.alias("note_title"), _code_chunks(name, F.col("source")).alias("c"))
+    kept = F.filter(F.transform("c", lambda x, i: F.struct(x["section_header"].alias("section_header"), x["symbol_type"].alias("symbol_type"), F.btrim(x["part"], F.lit(BLANKS)).alias("display_text"), i.alias("piece"))), lambda x: F.length(x["display_text"]) >= MIN_CODE)
     rows = cut.select("path", "repo_name", "note_title", F.posexplode(kept).alias("place", "k")).select("path", "repo_name", "note_title", "place", "k.*")
     rows = rows.withColumn("chunk_index", F.when(F.col("symbol_type") == "text", F.col("piece")).otherwise(F.col("place"))).drop("place", "piece")
     kind = F.concat(F.upper(F.substring("symbol_type", 1, 1)), F.substring("symbol_type", 2, 20))

@@ -118,7 +118,7 @@ def code_chunks(spark, sf_dir):
     return table(spark, sf_dir, "part").select(*(F.expr(e).alias(n) for n, e in _CHUNK.items()))
 
 
-_NORM = "ltrim(rtrim(regexp_replace(regexp_replace(lower(trim({})), '\\s*\\(parte\\s+[0-9]+\\)$', ''), '\\s*\\(module-level\\)$', ''), '()'), '.')"
+_NORM = "ltrim(rtrim(regexp_replace(regexp_replace(lower(trim({}, ' ')), '\\s*\\(parte\\s+[0-9]+\\)$', ''), '\\s*\\(module-level\\)$', ''), '()'), '.')"
 
 
 @query(f"""with {_NODES}, x as (select repo, source_file, {_NORM.format("label")} as norm, arg_max(id, ord) as id, min(ord) as ord from n group by all),

@@ -26,5 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: SQL for the characters that count as blank at the ends of texts.
+SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+
+
 def sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"

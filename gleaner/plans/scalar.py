@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import lexicons, text
 from gleaner.operators import governor
-from gleaner.plans.registry import query, sql_list, table
+from gleaner.plans.registry import SQL_BLANKS, query, sql_list, table
 from gleaner.sources import files
 
 _SPLIT = "regexp_split_to_array(lower(text), '\\s+')"
@@ -108,7 +108,7 @@ _REPLY = "case item_id % 3 when 0 then '<think>a\nb</think> route: rag_only\nRea
 
 
 @query(f"""select item_id, nullif(upper(regexp_extract(c, '(?i)ROUTE:\\s*(NO_CONTEXT|RAG_ONLY|GRAPH_ONLY|RAG_AND_GRAPH|CLARIFY)', 1)), '') as mode,
-coalesce(nullif(trim(regexp_extract(c, '(?i)REASON:\\s*(.+)', 1)), ''), 'LLM classification') as reason from (select item_id, trim(regexp_replace({_REPLY}, '(?s)<think>.*?</think>', '', 'g')) as c from benchmark)""")
+coalesce(nullif(trim(regexp_extract(c, '(?i)REASON:\\s*(.+)', 1)), ''), 'LLM classification') as reason from (select item_id, trim(regexp_replace({_REPLY}, '(?s)<think>.*?</think>', '', 'g'), {SQL_BLANKS}) as c from benchmark)""")
 def parse_route(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").withColumn("r", text.parsed_route(F.expr(_REPLY.replace("\n", "\\n")))).select("item_id", "r.mode", "r.reason")
 
@@ -136,7 +136,7 @@ def budget_alloc(spark, sf_dir):
 _LABEL = "case p_partkey % 4 when 0 then '.' || p_name || '()' when 1 then p_name || ' (parte ' || p_size || ')' when 2 then p_name || ' (module-level)' else ' ' || p_name end"
 
 
-@query(f"""select p_partkey, ltrim(rtrim(regexp_replace(regexp_replace(lower(trim({_LABEL})), '\\s*\\(parte\\s+[0-9]+\\)$', ''), '\\s*\\(module-level\\)$', ''), '()'), '.') as norm,
+@query(f"""select p_partkey, ltrim(rtrim(regexp_replace(regexp_replace(lower(trim({_LABEL}, {SQL_BLANKS})), '\\s*\\(parte\\s+[0-9]+\\)$', ''), '\\s*\\(module-level\\)$', ''), '()'), '.') as norm,
 regexp_replace({_LABEL}, '[^a-zA-Z0-9_]', '_', 'g') as diagram_id from part""")
 def norm_label(spark, sf_dir):
     label = F.expr(_LABEL)
@@ -149,8 +149,8 @@ _SECTION = "case doc_id % 11 when 0 then 'Files' else source end"
 
 @query(f"""select doc_id, section in {tuple(lexicons.NAVIGATION_SECTIONS)} or len(l) = 0 or len(list_filter(l, lambda x: contains(x, '[[') and contains(x, ']]') and length(x) < 80)) / len(l) > 0.6 as navigates,
 len(r) = 0 or len(list_filter(r, lambda x: regexp_matches(x, '^[\\s\\-\\*]*\\[\\[.*?\\]\\][\\s\\-\\*]*$'))) / len(r) > 0.7 as only_links
-from (select doc_id, {_SECTION} as section, list_filter(list_transform(string_split(replace({_LINKED}, chr(13), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '') as l,
-list_filter(string_split({_LINKED}, chr(10)), lambda x: trim(x) <> '') as r from documents)""")
+from (select doc_id, {_SECTION} as section, list_filter(list_transform(string_split(replace({_LINKED}, chr(13), chr(10)), chr(10)), lambda x: trim(x, {SQL_BLANKS})), lambda x: x <> '') as l,
+list_filter(string_split({_LINKED}, chr(10)), lambda x: trim(x, {SQL_BLANKS}) <> '') as r from documents)""")
 def nav_filter(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SECTION).alias("section"), F.expr(_LINKED).alias("t"))
     return docs.select("doc_id", text.navigates(F.col("section"), F.col("t")).alias("navigates"), text.only_links(F.col("t")).alias("only_links"))
@@ -159,7 +159,7 @@ def nav_filter(spark, sf_dir):
 _FRONT = "case doc_id % 2 when 0 then '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text else text end"
 
 
-@query(f"select doc_id, trim(regexp_replace({_FRONT}, '\\A---\\s*\\n(?s:.*?)\\n---\\s*\\n', '')) as body from documents")
+@query(f"select doc_id, trim(regexp_replace({_FRONT}, '\\A---\\s*\\n(?s:.*?)\\n---\\s*\\n', ''), {SQL_BLANKS}) as body from documents")
 def strip_frontmatter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.without_front_matter(F.expr(_FRONT)).alias("body"))
 
