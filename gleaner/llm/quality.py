@@ -55,13 +55,17 @@ class ByteNet:
     def params(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
 
-    def halves(self, data: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """The largest response of each filter in each 256 bytes of ``data`` (a multiple of 256 bytes, and 4 more)."""
+    def halves(self, data: np.ndarray, ends: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """The largest response of each filter in each 256 bytes of ``data`` (a multiple of 256 bytes, and 4 more).
+
+        ``ends`` are the last halves of texts: their last window, which is padding, would read the next text.
+        """
         cols = STRIDE * EMBED
         x = self.embed[data].reshape(-1, cols)
         conv = x[:-1] @ self.filters[:cols]
         conv += x[1:] @ self.filters[cols:]
         conv = conv.reshape(-1, HALF // STRIDE, FILTERS)
+        conv[ends, -1] = -np.inf
         at = conv.argmax(axis=1) if where else None
         top = np.take_along_axis(conv, at[:, None, :], 1)[:, 0] if where else conv.max(axis=1)
         return top + self.bias, at
@@ -69,9 +73,12 @@ class ByteNet:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         data, sizes = pad(texts)
         counts = np.array(sizes) // HALF
-        step = SLICE // HALF
-        tops = [self.halves(data[at * HALF : min(at + step, counts.sum()) * HALF + STRIDE])[0] for at in range(0, counts.sum(), step)]
-        starts = np.r_[0, np.cumsum(counts)[:-1]]
+        stops, tops = np.cumsum(counts), []
+        for at in range(0, stops[-1], SLICE // HALF):
+            to = min(at + SLICE // HALF, stops[-1])
+            here = stops[(stops > at) & (stops <= to)] - 1 - at
+            tops.append(self.halves(data[at * HALF : to * HALF + STRIDE], here)[0])
+        starts = stops - counts
         chunks = self.hidden_layer(chunk_tops(np.concatenate(tops), starts, counts)[0])
         return self.logits(chunks, starts, counts)[0]
 
@@ -119,9 +126,9 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int =
 def gradients(net: ByteNet, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
     data, sizes = pad(texts)
     counts = np.array(sizes) // HALF
-    starts = np.r_[0, np.cumsum(counts)[:-1]]
+    starts = np.cumsum(counts) - counts
     of = np.repeat(np.arange(len(texts)), counts)
-    tops, won = net.halves(data, where=True)
+    tops, won = net.halves(data, starts + counts - 1, where=True)
     pooled, after = chunk_tops(tops, starts, counts)
     active = np.maximum(pooled, 0)
     chunks = net.hidden_layer(pooled)
