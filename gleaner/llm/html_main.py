@@ -116,18 +116,18 @@ class Page:
         return len(self.kind) - 1
 
 
-@lru_cache(1 << 12)
-def element_features(kind: str) -> tuple[str, ...]:
-    """The tag, and the words of its class, id, role and itemprop."""
-    tag = re.match(r"[^\s]*", kind)[0]
+@lru_cache(1 << 14)
+def element_features(kind: str, parent: str) -> tuple[str, ...]:
+    """The tag, alone and in its parent's, and the words of its class, id, role and itemprop."""
+    tag, above = (re.match(r"[^\s]*", k)[0] for k in (kind, parent))
     words = {w for m in ATTRIBUTE.finditer(kind) for w in WORD.findall(m[1] or m[2] or m[3] or "")}
-    return (f"tag {tag}", *(f"attribute {w}" for w in sorted(words)), *(("attribute",) if words else ()))
+    return (f"tag {tag}", f"{tag} in {above}", *(f"attribute {w}" for w in sorted(words)), *(("attribute",) if words else ()))
 
 
-def block_features(text: str, links: int, parent_kind: str) -> tuple[str, ...]:
-    size = len(text)
-    out = ["block", f"in {re.match(r'[^ ]*', parent_kind)[0]}", "long" if size > 200 else "middling" if size > 60 else "short"]
-    if links * 2 > size:
+def block_features(text: str, links: int, parent: str) -> tuple[str, ...]:
+    """The element it is in, and whether it is mostly links or tells a copyright."""
+    out = ["block", f"in {re.match(r'[^ ]*', parent)[0]}"]
+    if links * 2 > len(text):
         out.append("linked")
     if "©" in text:
         out.append("copyright")
@@ -140,7 +140,7 @@ class Model:
     def __init__(self) -> None:
         self.weights: dict[str, float] = {}
         self.pairs = {True: [0.0, 0.0, 0.0, 0.0], False: [0.0, 0.0, 0.0, 0.0]}  # by block; 00, 01, 10, 11
-        self.known: dict[str, float] = {}
+        self.known: dict[tuple[str, str], float] = {}
 
     def unary(self, page: Page) -> list[float]:
         get, known, out = self.weights.get, self.known, []
@@ -148,11 +148,12 @@ class Model:
             if text is not None:
                 out.append(sum(get(f, 0.0) for f in block_features(text, links, page.kind[parent])))
                 continue
-            score = known.get(kind)
+            key = kind, page.kind[parent]
+            score = known.get(key)
             if score is None:
                 if len(known) > 1 << 14:
                     known.clear()
-                score = known[kind] = sum(get(f, 0.0) for f in element_features(kind))
+                score = known[key] = sum(get(f, 0.0) for f in element_features(*key))
             out.append(score)
         return out
 
@@ -203,15 +204,25 @@ def labelled(html: str) -> tuple[Page, list[int]]:
 
 
 @lru_cache(1)
-def fitted(rounds: int = 500, rate: float = 0.5, shrink: float = 0.002) -> Model:
-    """The model that the labelled pages train: each round adds their features less what the messages expect."""
-    model, pages = Model(), [labelled(p) for p in LABELLED]
-    for _ in range(rounds):
+def fitted(rounds: int = 300, rate: float = 0.15, shrink: float = 0.003) -> Model:
+    """The model that the labelled pages train: each round adds their features less what the messages expect.
+
+    Steps are scaled as in Adam, so that rare features are learned as well as common ones, and shrink to nothing.
+    """
+    model, pages, moments = Model(), [labelled(p) for p in LABELLED], defaultdict(lambda: [0.0, 0.0])
+
+    def step(key: object, now: float, gradient: float, done: int) -> float:
+        gradient -= shrink * now
+        m, v = moments[key]
+        moments[key] = m, v = [0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient * gradient]
+        return now + rate * (1 - done / rounds) * (m / (1 - 0.9 ** (done + 1))) / ((v / (1 - 0.99 ** (done + 1))) ** 0.5 + 1e-3)
+
+    for done in range(rounds):
         by_feature, by_pair = defaultdict(float), {True: [0.0] * 4, False: [0.0] * 4}
         for page, labels in pages:
             found, pairs = model.marginals(page, edges=True)
             for v, (kind, text, links, parent) in enumerate(zip(page.kind, page.text, page.links, page.parent)):
-                features = element_features(kind) if text is None else block_features(text, links, page.kind[parent])
+                features = element_features(kind, page.kind[parent]) if text is None else block_features(text, links, page.kind[parent])
                 for f in features:
                     by_feature[f] += labels[v] - found[v]
                 if v:
@@ -220,10 +231,9 @@ def fitted(rounds: int = 500, rate: float = 0.5, shrink: float = 0.002) -> Model
                     for i, x in enumerate(pairs[v]):
                         cells[i] -= x
         for f, g in by_feature.items():
-            w = model.weights.get(f, 0.0)
-            model.weights[f] = w + rate * (g / len(pages) - shrink * w)
+            model.weights[f] = step(f, model.weights.get(f, 0.0), g, done)
         for b, cells in by_pair.items():
-            model.pairs[b] = [x + 0.3 * rate * (g / len(pages) - shrink * x) for x, g in zip(model.pairs[b], cells)]
+            model.pairs[b] = [step((b, i), x, g, done) for i, (x, g) in enumerate(zip(model.pairs[b], cells))]
         model.known.clear()
     return model
 

@@ -39,4 +39,13 @@ LABELLED = [
 <div class="post-content"><h1>✓Installing the pump</h1><ol><li>✓Close the valve.</li><li>✓Loosen both nuts and lift the old pump out, keeping the seal.</li></ol><p>✓Check for drips.</p></div></div></div><div class="popup modal">Win a prize in our great summer draw, just tell us your name.</div><div class="copyright">© pumps.example</div></body></html>""",
     """<html><body><nav><a href="/">Home</a></nav><article><h1>✓Short note</h1><p>✓Done.</p></article><div class="ad">One long advert that goes on about nothing at all in order to fill the space that was paid for, with many words and few facts.</div><footer>© note.example · The end.</footer></body></html>""",
     """<html><body><div class="banner">Sale ends today.</div><section class="story"><h1>✓The night train</h1><h2>✓From coast to hills</h2><p>✓It leaves at ten.</p><p>✓Berths are narrow but clean, and a guard brings tea at six with the blinds still down and the hills going by.</p></section><section class="comment-list"><h2>Reader comments</h2><p>I took this train as a child and remember the tea.</p></section><section class="subscribe"><p>Join many readers.</p></section></body></html>""",
+    """<html><body><header><a href="/">Lamp Review</a></header><main><h1>✓Lamps for reading</h1><p>✓Warm light tires the eye less.</p><form><p>Sign up for our letter</p><input><button>Send</button></form><p>✓Set the lamp to the side, so that your hand throws no shadow on the page.</p><form action="/poll"><fieldset><legend>Which lamp do you own?</legend><label>Desk</label><label>Floor</label></fieldset></form><aside><p>Other stories of the day.</p></aside><p>✓Mind the cable.</p></main><footer><p>Lamp Review since 1990</p></footer></body></html>""",
+    """<html><body><div id="header"><h1>City Library</h1><form><input><button>Search</button></form></div><div id="main"><div class="text"><h2>✓Opening of the new hall</h2><p>✓The hall has seats for ninety readers and is open until ten.</p><dl><dt>✓Monday</dt><dd>✓Nine to ten</dd></dl><div class="notice">Note that this page will move soon.</div><p>✓Come and see.</p></div><div class="login"><form><p>Members log in here with their card number</p><label>Card</label><input></form></div><div class="pagination"><a href="2">Next page</a></div></div><div id="footer"><p>City Library, Main Street</p></div></body></html>""",
+    """<html><body><article><header><p class="category">Travel</p><h1>✓Across the pass</h1></header><p>✓We left at dawn.</p><figure><figcaption>✓The road below the hut</figcaption></figure><aside class="advert"><p>Boots that last, now at half the price in all our shops.</p></aside><p>✓By noon the snow was soft, and we sank to the knee with every step until the ridge.</p><section class="comments"><h3>What readers say</h3><article><p>We did this last year in fog and saw nothing at all.</p></article><form><p>Write a comment</p><textarea></textarea></form></section><footer><p>Posted in Travel</p></footer></article></body></html>""",
+    """<html><body><nav><ul><li><a href="a">All</a></li></ul></nav><section id="content"><article><h1>✓Salt</h1><p>✓Salt keeps.</p><ul><li>✓Coarse salt for curing</li><li>✓Fine salt for the table</li></ul><form><p>Rate this page</p></form></article></section><section id="reviews"><h2>Reviews</h2><p>I learned a lot from this page and shared it with my class at school.</p></section></body></html>""",
+    """<html><head><title>Ferry times</title></head><body><nav><ul><li><a href="/q">Boats</a></li><li><a href="/r">Isles</a></li></ul></nav><!-- ad 7 --><div class="ad">Stay by the sea.</div><article><h1>✓Ferry times</h1><p>✓The ferry leaves at seven and at noon from the east pier, and comes back at dusk.</p></article><footer>&copy; ferry.example &middot; Pier office.</footer></body></html>""",
+    """<html><body><nav><a href="/">Start</a></nav><div class="ad">Pens.</div><article><h1>✓Ink</h1><p>✓Ink dries slowly on smooth paper.</p><p>✓Wait.</p></article><footer>© ink.example</footer></body></html>""",
+    """<html><body><header><p>The Weather Page</p></header><article><h1>✓Rain</h1><p>✓Rain is due by night.</p></article><aside><p>Winds of the week at a glance.</p></aside><footer><p>Made by the weather desk</p></footer></body></html>""",
+    """<html><body><div class="header"><h1>Stone and Wood</h1></div><main><article><h2>✓Oak</h2><p>✓Oak is hard to work but lasts.</p></article></main><div class="comments"><p>Mine has lasted since my grandfather built it, and that was long ago.</p></div><div class="footer"><p>Write to us</p></div></body></html>""",
+    """<html><body><header class="masthead"><h1>Valley News</h1><nav><a href="1">Top</a></nav></header><article class="story"><header><h1>✓Mill sold</h1></header><p>✓The old mill has a new owner.</p><div class="newsletter"><p>Have the news sent to you.</p></div></article><section class="comments"><article class="comment"><p>High time.</p></article><article class="comment"><p>I hope they keep the wheel turning, it is the pride of the valley.</p></article></section></body></html>""",
 ]
