@@ -64,7 +64,7 @@ def walk_length(spark: SparkSession, n: int, seed: int = SEED) -> int:
     followed, as a small table.
     """
     a, b = sides(n)
-    steps, outside = 1, spark.range(n, a * b).withColumnRenamed("id", "p")
+    steps, outside = 1, spark.range(n, a * b, 1, 1).withColumnRenamed("id", "p")
     if a * b == n:
         return steps
     bound = a * b - n + 1
@@ -96,9 +96,8 @@ def shard_rows(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int
     gaps, and any row's shard can be computed from its number and the row count alone. Rows equal in all keys are
     interchangeable. An empty table gives no rows.
     """
-    numbered = with_row_number(rows, keys, "position")
-    n = numbered.count()
-    placed = permute(numbered, "position", n, seed)
+    n = rows.count()
+    placed = permute(with_row_number(rows, keys, "position"), "position", n, seed)
     return placed.withColumns({"shard": (F.col("position") % shards).cast("int"), "slot": F.expr(f"position div {shards}")})
 
 
