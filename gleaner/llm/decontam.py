@@ -97,7 +97,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     stats = bench.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("width")).alias("widths")).first()  # at most 4 widths
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     if not stats["n"]:
-        return named.crossJoin(bench.select("item_id")).select("doc_id", "item_id", F.lit(0).alias("matched"), F.lit(0).alias("windows"), F.lit(0).alias("changed")).limit(0)
+        kinds = {**dict(named.dtypes), **dict(bench.dtypes)}
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, matched int, windows int, changed int")
     wanted = bench.select("hash").distinct()
     if stats["n"] <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
