@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpointed, read_table, with_row_number
+from gleaner.llm.common import read_table, with_row_number
 
 #: Primes just under 2^31, so that every product below fits in a signed 64-bit integer.
 P1, P2, P3 = 2147483647, 2147483629, 2147483587
@@ -16,6 +17,7 @@ SEED = 20240501
 SHARDS = 8
 
 
+@lru_cache
 def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int, int, int]]:
     """Four keys below 2^31 for each round, from a linear congruential sequence that starts at the seed."""
     out, state = [], seed
@@ -57,25 +59,37 @@ def feistel(df: DataFrame, column: str, n: int, seed: int = SEED, where: Column
     return df.withColumn(column, image if where is None else F.when(where, image).otherwise(F.col(column))).drop("__l", "__r")
 
 
-def walk_length(spark: SparkSession, n: int, seed: int = SEED) -> int:
+def image(number: int, n: int, seed: int = SEED) -> int:
+    """The image of one number of the grid, as ``feistel`` has it."""
+    a, b = sides(n)
+    left, right = divmod(number, b)
+    for i, (c, d, e, f) in enumerate(round_keys(seed)):
+        x = (right % P1 * c + d) % P1
+        x = (x % P2 * e + f) % P2
+        left, right = right, (left + x % P3 * (c ^ 0x2A2A2A2A) + e) % (a if i % 2 == 0 else b)
+    return left * b + right
+
+
+def locate(number: int, n: int, shards: int = SHARDS, seed: int = SEED) -> tuple[int, int]:
+    """Shard and slot of the row with this number among ``n``, without any table."""
+    number = image(number, n, seed)
+    while number >= n:
+        number = image(number, n, seed)
+    return number % shards, number // shards
+
+
+def walk_length(n: int, seed: int = SEED) -> int:
     """Steps after which every cycle walk has come back below ``n``.
 
-    Only the fewer than sqrt(n) + 1 numbers of the grid that are not row numbers can prolong a walk, so they alone are
-    followed, as a small table.
+    Only the fewer than sqrt(n) + 1 numbers of the grid that are not row numbers can prolong a walk; following them
+    needs no data, only the count and the seed.
     """
     a, b = sides(n)
-    steps, outside = 1, spark.range(n, a * b, 1, 1).withColumnRenamed("id", "p")
-    if a * b == n:
-        return steps
-    bound = a * b - n + 1
-    while steps <= bound:
-        outside = feistel(outside, "p", n, seed).filter(F.col("p") >= n)
-        if outside.isEmpty():
-            return steps + 1
+    outside, steps = range(n, a * b), 1
+    while outside and steps <= a * b - n:
+        outside = [q for q in (image(p, n, seed) for p in outside) if q >= n]
         steps += 1
-        if steps % 4 == 0:  # keep the plan short
-            outside = checkpointed(outside)
-    return bound
+    return steps
 
 
 def permute(df: DataFrame, column: str, n: int, seed: int = SEED) -> DataFrame:
@@ -83,7 +97,7 @@ def permute(df: DataFrame, column: str, n: int, seed: int = SEED) -> DataFrame:
     if n == 0:
         return df
     df = feistel(df, column, n, seed)
-    for _ in range(walk_length(df.sparkSession, n, seed) - 1):
+    for _ in range(walk_length(n, seed) - 1):
         df = feistel(df, column, n, seed, where=F.col(column) >= n)
     return df
 
