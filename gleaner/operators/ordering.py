@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_row_number(df: DataFrame, keys: list[str], name: str = "row_no", weight: str | None = None, total: str = "row_sum") -> DataFrame:
+def with_row_number(df: DataFrame, keys: list[str | Column], name: str = "row_no", weight: str | None = None, total: str = "row_sum") -> DataFrame:
     """Add the 0-based global position in the order of ``keys`` without sorting in one task.
 
+    A key is a column's name (nulls first) or an order such as ``F.desc("score")``.
     The rows are range-partitioned and sorted, the sorted rows are checkpointed (so both passes see the same order), and
     each partition's first number is the running total of the partitions' counts: one small row a partition.
     Rows equal in every key may take their numbers in either order. With ``weight`` the column ``total`` holds the sum
@@ -40,7 +41,7 @@ def with_row_number(df: DataFrame, keys: list[str], name: str = "row_no", weight
     spark = df.sparkSession
     tie, part, mono = "__tie", "__part", "__mono"
     ranged = df.withColumn(tie, F.monotonically_increasing_id())
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(tie)]
+    order = [F.col(k).asc_nulls_first() if isinstance(k, str) else k for k in keys] + [F.col(tie)]
     ranged = ranged.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop(tie)
     placed = checkpointed(ranged.withColumn(mono, F.monotonically_increasing_id()))
     placed = placed.withColumn(part, F.shiftright(mono, 33)).withColumn(mono, F.col(mono).bitwiseAND(F.lit((1 << 33) - 1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import estimated_tokens
 from gleaner.functions.vectors import dot
+from gleaner.operators.ordering import with_row_number
 
 #: A set of query vectors up to this size is broadcast; larger ones are joined by partition.
 BROADCAST_QUERIES = 10_000
@@ -79,3 +80,17 @@ def within_budget(rows: DataFrame, by: list[str], text: str, budget: int | Colum
     counted = rows.withColumn("tokens", estimated_tokens(F.col(text)))
     running = counted.withColumns({"rank": F.row_number().over(over), "used": F.sum("tokens").over(over.rowsBetween(Window.unboundedPreceding, 0))})
     return running.filter((F.col("rank") == 1) | (F.col("used") <= budget))
+
+
+def within_budget_spread(rows: DataFrame, by: list[str], text: str, budget: int, *order: Column) -> DataFrame:
+    """``within_budget`` for groups of any size: one group may hold most of the rows without landing in one task.
+
+    All rows are range-partitioned by group and order, with running sums over the partitions; where a group begins is
+    an aggregate that is joined back. The text is left out once its tokens are counted.
+    """
+    counted = rows.withColumn("tokens", estimated_tokens(F.col(text))).drop(text)
+    placed = with_row_number(counted, [*by, *order], "__row", weight="tokens", total="__sum")
+    first = placed.groupBy(*(F.col(b).alias(f"__{b}") for b in by)).agg(F.min("__row").alias("__first"), F.min("__sum").alias("__base"))
+    same = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by]
+    running = placed.join(first, same).withColumns({"rank": F.col("__row") - F.col("__first") + 1, "used": F.col("__sum") - F.col("__base") + F.col("tokens")})
+    return running.filter((F.col("rank") == 1) | (F.col("used") <= budget)).drop("__row", "__sum", "__first", "__base", *(f"__{b}" for b in by))

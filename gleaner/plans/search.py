@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import lexicons, text
 from gleaner.functions.vectors import cosine
 from gleaner.operators import ranking, sparse
+from gleaner.operators.ordering import checkpointed
 from gleaner.plans.registry import query, sql_list, table
 
 K = 10
@@ -49,8 +50,9 @@ def topk_batch(spark, sf_dir):
 
 
 def bm25_parts(spark, sf_dir):
+    """The inverted index is written once; statistics, lengths and weights all read it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = sparse.term_counts(docs, "doc_id", text.tokenize(F.col("text")))
+    counts = checkpointed(sparse.term_counts(docs, "doc_id", text.tokenize(F.col("text"))))
     stats = sparse.corpus_stats(docs.select("doc_id"), counts)
     return counts, stats, sparse.term_weights(counts, stats)
 
@@ -79,7 +81,8 @@ def bm25_scores(spark, sf_dir):
     counts, stats, weights = bm25_parts(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     terms = sparse.term_counts(asked, "query_id", text.tokenize(F.col("text"))).filter(~F.col("term").isin(lexicons.STOP_WORDS))
-    return sparse.sparse_scores(sparse.document_weights(counts, weights, stats, "doc_id"), sparse.query_weights(terms, weights, "query_id"), "doc_id", "query_id")
+    index = sparse.document_weights(counts, weights, stats, "doc_id", terms.select("term"))
+    return sparse.sparse_scores(index, sparse.query_weights(terms, weights, "query_id"), "doc_id", "query_id")
 
 
 _SPARSE = f"""{_BM25}, qt as (select item_id as query_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) as term from benchmark),
@@ -136,7 +139,7 @@ r as (select *, row_number() over w as rank, sum(tokens) over w as used from t w
 select source, doc_id, tokens, used::bigint as used from r where rank = 1 or used <= 4000""")
 def budget_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars", "text")
-    return ranking.within_budget(docs, ["source"], "text", 4000, F.desc("n_chars"), F.col("doc_id")).select("source", "doc_id", "tokens", "used")
+    return ranking.within_budget_spread(docs, ["source"], "text", 4000, F.desc("n_chars"), F.col("doc_id")).select("source", "doc_id", "tokens", "used")
 
 
 @query("""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as line_no, unnest(string_split(text, chr(10))) as line from documents),
@@ -184,7 +187,7 @@ def multi_strategy_scores(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array("text", text.keywords(F.col("text")))).alias("text"))
     terms = asked.withColumn("variant", F.xxhash64("text")).select("query_id", "variant", F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "variant", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighted = terms.join(weights, "term").select("query_id", "variant", "term", sparse.bm25_weight(F.col("idf"), F.col("tf"), F.lit(1.0), F.lit(1.0)).alias("query_weight"))
-    found = sparse.document_weights(counts, weights, stats, "doc_id").join(weighted, "term").groupBy("query_id", "variant", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score"))
+    found = sparse.document_weights(counts, weights, stats, "doc_id", terms.select("term")).join(weighted, "term").groupBy("query_id", "variant", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score"))
     return found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
@@ -215,7 +218,7 @@ u as (select *, row_number() over v as rank, sum(tokens) over v as used from e w
 select query_id, doc_id, source, score, tokens, rank::int as rank from u where rank = 1 or used <= 4000""")
 def retrieve(spark, sf_dir):
     """The flagship: every benchmark question is searched, thresholded, gated and cut to its token budget."""
-    found = ranking.top_k(bm25_scores(spark, sf_dir), ["query_id"], 20, F.desc("score"), F.col("doc_id")).drop("rank")
+    found = checkpointed(ranking.top_k(bm25_scores(spark, sf_dir), ["query_id"], 20, F.desc("score"), F.col("doc_id")).drop("rank"))  # read by each step below
     good = ranking.above_dynamic_threshold(found, ["query_id"], "score")
     gate = ranking.relevance_gate(good, ["query_id"], "score").filter("accepted").select("query_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
