@@ -103,6 +103,7 @@ def test_row_numbers_and_shards(spark, sf_dir, texts):
 def test_permutation(spark, n):
     got = [r[0] for r in sharding.permute(spark.range(n).withColumnRenamed("id", "p"), "p", n).collect()]
     assert sorted(got) == list(range(n))
+    assert [sharding.locate(i, n) for i in range(n)] == [(p % 8, p // 8) for p in got]
 
 
 def test_token_counts(spark, sf_dir, texts):
