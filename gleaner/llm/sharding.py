@@ -66,7 +66,8 @@ def image(number: int, n: int, seed: int = SEED) -> int:
     for i, (c, d, e, f) in enumerate(round_keys(seed)):
         x = (right % P1 * c + d) % P1
         x = (x % P2 * e + f) % P2
-        left, right = right, (left + x % P3 * (c ^ 0x2A2A2A2A) + e) % (a if i % 2 == 0 else b)
+        x = (x % P3 * (c ^ 0x2A2A2A2A) + e) % P3
+        left, right = right, (left + x) % (a if i % 2 == 0 else b)
     return left * b + right
 
 
