@@ -73,6 +73,16 @@ def _window_hashes(tokens: str, width: int) -> Column:
     return F.when(F.size(tokens) >= width, F.transform(F.sequence(F.lit(0), F.size(tokens) - width), lambda i: F.xxhash64(F.lit(width), *(at(i, k) for k in range(width)))))
 
 
+def _opening_hashes(tokens: str, raw: str, width: int) -> Column:
+    """Hashes of the windows whose first token is a name or unit only by what stands before it, with the plain word in
+    its place, as in an item that begins there; null at other places."""
+    at = lambda i, k: F.get(F.col(tokens), i + k)
+    plain = lambda i: F.xxhash64(F.lower(F.get(F.col(raw), i)))
+    opens = lambda i: at(i, 0).isin(F.xxhash64(F.lit(UNIT)), F.xxhash64(F.lit(NAME)))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(tokens) - width), lambda i: F.when(opens(i), F.xxhash64(F.lit(width), plain(i), *(at(i, k) for k in range(1, width)))))
+    return F.when(F.size(tokens) >= width, hashes)
+
+
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id, width, windows, item_pos, hash, slots, item_values``: the windows of each item that may be searched."""
     parsed = items.select(F.col(item_id).alias("item_id"), _words(text).alias(PARSED)).withColumn("template", _template(PARSED)).withColumn("raw", _raw(PARSED))
@@ -102,8 +112,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     wanted = bench.select("hash").distinct()
     if stats["n"] <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
-    hashed = named.select("doc_id", _words("text").alias(PARSED)).select("doc_id", F.transform(_template(PARSED), lambda x: F.xxhash64(x)).alias("hashed"))
-    every = hashed.select("doc_id", F.explode(F.array(*(_window_hashes("hashed", w) for w in stats["widths"]))).alias("hashes"))
+    hashed = named.select("doc_id", _words("text").alias(PARSED)).select("doc_id", F.transform(_template(PARSED), lambda x: F.xxhash64(x)).alias("hashed"), _raw(PARSED).alias("raw"))
+    kinds = [f(w) for w in stats["widths"] for f in (lambda w: _window_hashes("hashed", w), lambda w: _opening_hashes("hashed", "raw", w))]
+    every = hashed.select("doc_id", F.explode(F.array(*kinds)).alias("hashes"))
     found = every.select("doc_id", F.posexplode("hashes").alias("pos", "hash")).join(wanted, "hash", "left_semi")
     found = checkpointed(found.distinct())
     hits = found.join(F.broadcast(bench) if stats["n"] <= BROADCAST_WINDOWS else bench, "hash")

@@ -185,6 +185,18 @@ def test_reparameterised_questions(spark):
     assert got == [(1, True)]
 
 
+def test_items_are_found_whatever_stands_before_them(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Days of the week have which names in Latin?")], "item_id long, text string")
+    docs = [
+        (1, "Question: What is the capital of France?"),
+        (2, "Here one reads (What is the capital of France?) in brackets"),
+        (3, "list of 3: days of the week have which names in Latin?"),
+        (4, "Question: Where is the capital of France?"),
+    ]
+    got = sorted((r["doc_id"], r["item_id"], r["changed"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect())
+    assert got == [(1, 1, 0), (2, 1, 0), (3, 2, 0)]
+
+
 def test_main_text(spark, sf_dir, tables):
     pages = dict(tables.execute("select page_id, html from pages").fetchall())
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op10_dom_graphical"](spark, sf_dir).collect()}
