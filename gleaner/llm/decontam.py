@@ -16,7 +16,7 @@ from gleaner.llm.common import checkpointed, read_table
 WINDOW = 8
 #: Items with fewer template tokens than this can't be told from ordinary text and are not searched for.
 LEAST_TOKENS = 5
-#: Of a window's tokens so many at least are words.
+#: Of a window's tokens so many at least are words where values may differ; windows with fewer are found as they stand.
 LEAST_WORDS = 0.5
 #: A benchmark with more windows than this is joined by a shuffle; a broadcast hash has 16 bytes a window.
 BROADCAST_WINDOWS = 2_000_000
@@ -67,6 +67,11 @@ def _raw(words: str) -> Column:
     return F.filter(F.col(words), lambda x: (x != STOP) & (x != ""))
 
 
+def _exact(values: str | Column) -> Column:
+    """A hash of a window's words in lower case."""
+    return F.xxhash64(F.transform(values, lambda x: F.lower(x)))
+
+
 def _window_hashes(tokens: str, width: int) -> Column:
     """A hash of each window of ``width`` hashed tokens: a null array where the text is shorter."""
     at = lambda i, k: F.get(F.col(tokens), i + k)
@@ -84,7 +89,8 @@ def _opening_hashes(tokens: str, raw: str, width: int) -> Column:
 
 
 def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id, width, windows, item_pos, hash, slots, item_values``: the windows of each item that may be searched."""
+    """``item_id, width, windows, item_pos, hash, slots, shape, item_values, exact``: the windows of each item; ``exact``
+    is the hash of the words themselves where most are placeholders, else null."""
     parsed = items.select(F.col(item_id).alias("item_id"), _words(text).alias(PARSED)).withColumn("template", _template(PARSED)).withColumn("raw", _raw(PARSED))
     parsed = parsed.withColumn("hashed", F.transform("template", lambda x: F.xxhash64(x))).filter(F.size("template") >= LEAST_TOKENS)
     parsed = parsed.withColumn("width", F.least(F.lit(WINDOW), F.size("template")))
@@ -92,14 +98,15 @@ def benchmark_windows(items: DataFrame, item_id: str = "item_id", text: str = "t
     rows = parsed.withColumn("windows", F.size("template") - F.col("width") + 1).select("item_id", "width", "windows", "template", "raw", F.posexplode(hashes).alias("item_pos", "hash"))
     rows = rows.withColumn("shape", F.slice("template", F.col("item_pos") + 1, F.col("width"))).withColumn("item_values", F.slice("raw", F.col("item_pos") + 1, F.col("width")))
     rows = rows.withColumn("slots", F.size(F.filter("shape", lambda x: x.isin(NUMBER, UNIT, NAME))))
-    return rows.filter(F.col("slots") <= F.col("width") * (1 - LEAST_WORDS)).select("item_id", "width", "windows", "item_pos", "hash", "slots", "shape", "item_values")
+    rows = rows.withColumn("exact", F.when(F.col("slots") > F.col("width") * (1 - LEAST_WORDS), _exact("item_values")))
+    return rows.select("item_id", "width", "windows", "item_pos", "hash", "slots", "shape", "item_values", "exact")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, item_id, matched, windows, changed``: the benchmark items that each document holds.
 
     ``matched`` of the item's ``windows`` windows are in the document, and ``changed`` counts the placeholders that are
-    filled otherwise there (0: the passage itself). Null and wordless texts match nothing, items below 5 tokens are not
+    filled otherwise there (0: the passage itself). Windows of mostly placeholders match as they stand only. Null and wordless texts match nothing, items below 5 tokens are not
     searched for, rows without an id are left out, repeated rows count once, ties do not arise; other columns play no
     part. Empty tables give no rows.
     """
@@ -117,13 +124,27 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     every = hashed.select("doc_id", F.explode(F.array(*kinds)).alias("hashes"))
     found = every.select("doc_id", F.posexplode("hashes").alias("pos", "hash")).join(wanted, "hash", "left_semi")
     found = checkpointed(found.distinct())
-    hits = found.join(F.broadcast(bench) if stats["n"] <= BROADCAST_WINDOWS else bench, "hash")
+    held = lambda df: F.broadcast(df) if stats["n"] <= BROADCAST_WINDOWS else df
+    hits = found.join(held(bench.filter("exact is null")), "hash")
     plain = hits.filter("slots = 0").select("doc_id", "item_id", "item_pos", "windows", F.lit(0).alias("changed"))
     slotted = _consistent(hits.filter("slots > 0"), named)
-    whole = plain.unionByName(slotted)
+    same = _same(found, named, held(bench.filter("exact is not null")))
+    whole = plain.unionByName(slotted).unionByName(same)
     return whole.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").cast("int").alias("matched"), F.first("windows").cast("int").alias("windows"), F.max("changed").cast("int").alias("changed"))
 
 
+def _same(found: DataFrame, named: DataFrame, bench: DataFrame) -> DataFrame:
+    """The hits on windows that are mostly placeholders and have the item's own words in the document.
+
+    Joined by the words and not by the template, which in numbers and names is one for very many windows.
+    """
+    places = found.join(bench.select("hash", "width").distinct(), "hash")
+    words = named.select("doc_id", _words("text").alias(PARSED)).select("doc_id", _raw(PARSED).alias("raw"))
+    words = words.join(places.select("doc_id").distinct(), "doc_id")
+    met = places.join(words, "doc_id").select("doc_id", "hash", _exact(F.slice("raw", F.col("pos") + 1, F.col("width"))).alias("exact")).distinct()
+    return met.join(bench, ["hash", "exact"]).select("doc_id", "item_id", "item_pos", "windows", F.lit(0).alias("changed"))
+
+
 def _consistent(hits: DataFrame, named: DataFrame) -> DataFrame:
     """The hits on windows with placeholders whose fillings agree along each alignment of a document and an item."""
     ids = hits.select("doc_id").distinct()

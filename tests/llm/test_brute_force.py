@@ -197,6 +197,22 @@ def test_items_are_found_whatever_stands_before_them(spark):
     assert got == [(1, 1, 0), (2, 1, 0), (3, 2, 0)]
 
 
+def test_items_of_mostly_placeholders_are_found_as_they_stand(spark):
+    items = [(1, "Solve 12 + 7 - 3 * 4 = x"), (2, "Anna and Boris have 12 apples each so how many do they have if 3 7 9 11 13 15 are lost?")]
+    docs = [
+        (1, "Question: Solve 12 + 7 - 3 * 4 = x"),
+        (2, "Solve 12 + 7 - 3 * 5 = x"),
+        (3, "Anna and Boris have 12 apples each so how many do they have if 3 7 9 11 13 15 are lost?"),
+        (4, "Carla and Dora have 8 apples each so how many do they have if 1 1 9 11 13 15 are lost?"),
+        (5, "We note they have if 3 7 9 11 13 15 only"),
+        (5, "We note they have if 3 7 9 11 13 15 only"),
+    ]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = {(r["doc_id"], r["item_id"]): (r["matched"], r["windows"], r["changed"] > 0) for r in decontam.leaks(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (3, 2), (4, 2), (5, 2)} and got[1, 1] == (1, 1, False)
+    assert got[3, 2][0] == got[3, 2][1] and not got[3, 2][2] and got[4, 2][2] and not got[5, 2][2]
+
+
 def test_main_text(spark, sf_dir, tables):
     pages = dict(tables.execute("select page_id, html from pages").fetchall())
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op10_dom_graphical"](spark, sf_dir).collect()}
