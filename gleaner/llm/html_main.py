@@ -24,13 +24,16 @@ from pyspark.sql.types import StringType
 from gleaner.llm.common import read_table
 from gleaner.llm.html_pages import LABELLED, MARK
 
+#: Tags, and what is no text: scripts, styles and forms' texts to their end or the page's, pictures, frames, choices and
+#: templates only if they are closed; open or closed at once ("/>") they are tags like others.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object|canvas|math|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|"
+    + "|".join(rf"<{t}(?=[\s>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(?:(?!<{t}[\s/>]).)*?</{t}\s*>" for t in ("svg", "iframe", "select", "template"))
+    + r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 #: Elements that neither end a block of text nor stand for a part of the page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd mark q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr svg iframe canvas object select template math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 VOID = frozenset("area base br col embed hr link meta param track".split())
 #: A start tag closes an open element of these kinds.
 CLOSES = {

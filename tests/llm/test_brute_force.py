@@ -250,6 +250,15 @@ def test_main_text_of_other_layouts(html, want):
     assert html_main.fitted().main_text(html) == want
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "canvas", "select", "noscript", "template", "iframe"])
+def test_elements_left_open_or_closed_at_once_lose_no_text(tag):
+    model = html_main.fitted()
+    for page in (f'<article><p>One one.</p><{tag} class="i"/><p>Two two.</p><p>Three.</p></article>', f"<article><p>One one.</p><{tag}><p>Two two.</p><p>Three.</p></article>"):
+        assert model.main_text(page) == "One one.\n\nTwo two.\n\nThree.", page
+    assert model.main_text("<article><p>One <svg class='i'><title>icon</title><path d='m'/></svg> two.</p></article>") == "One two."
+    assert "The sum x + y is even." in model.main_text("<article><p>The sum <math><mi>x</mi> + <mi>y</mi></math> is even.</p></article>")
+
+
 def test_quality_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.1"
     rows = quality.op3_byte_cnn_quality(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("held_out").select("score", "quality", "predicted").collect()
