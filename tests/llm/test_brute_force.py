@@ -213,6 +213,100 @@ def test_items_of_mostly_placeholders_are_found_as_they_stand(spark):
     assert got[3, 2][0] == got[3, 2][1] and not got[3, 2][2] and got[4, 2][2] and not got[5, 2][2]
 
 
+@pytest.mark.parametrize(
+    ("item", "text", "changed"),
+    [
+        ("Maria buys 12 apples for 3 dollars today.", "Here: Maria buys 12 apples for 3 dollars today.", 0),
+        ("What is 12 + 7?", "Here: What is 12 + 7?", 0),
+        ("Ana, Rui, Eva, Leo and Ida share 12 kg and 9 km and 8 cm of Oak.", "here: ana, rui, eva, leo and ida share 12 kg and 9 km and 8 cm of oak.", 0),
+        ("we saw Kim and Lee run 5 miles along the river bank", "we saw Pat and Pat run 9 miles along the river bank", None),
+        ("we saw Kim and Lee run 5 miles along the river bank", "we saw Pat and Tom run 9 miles along the river bank", 3),
+        ("we saw Kim run 5 miles and then 6 miles to the mill", "we saw Kim run 8 miles and then 8 miles to the mill", 2),
+        ("Der Hund und die Katze liegen auf dem Dach vom Haus.", "Er sagt: der Hund und die Katze liegen auf dem Dach vom Haus.", 0),
+        ("yes", "He said YES.", 0),
+    ],
+)
+def test_no_item_is_lost(spark, item, text, changed):
+    frame = lambda name, t: spark.createDataFrame([(1, t)], f"{name} long, text string")
+    got = [r["changed"] for r in decontam.leaks(frame("doc_id", text), frame("item_id", item)).collect()]
+    assert got == ([] if changed is None else [changed])
+
+
+def plain_leaks(docs, items):
+    """The law of decontamination, text by text and window by window."""
+
+    def parsed(text):
+        words = re.findall(r"[^\W\d_]+|\d+(?:[.,:]\d+)*", (text or "").translate({39: None, 0x2019: None}))
+        low, kinds = [w.lower() for w in words], []
+        for i, w in enumerate(words):
+            after = i > 0 and "0" <= words[i - 1][0] <= "9" and low[i] in decontam.UNITS
+            name = w != low[i] and w[1:] == low[i][1:] and low[i] not in decontam.COMMON
+            kinds.append(1 if "0" <= w[0] <= "9" else 2 if name else 3 if after else 0)
+        return low, kinds
+
+    def template(low, kinds):
+        first = [0 if kinds[0] == 3 else kinds[0], *kinds[1:]]
+        return first, tuple(k or w for k, w in zip(first, low))
+
+    out = {}
+    for d, text in docs.items():
+        low, kinds = parsed(text)
+        for item, wanted in items.items():
+            ilow, ikinds = parsed(wanted)
+            n = min(8, len(ilow))
+            if not n:
+                continue
+            at, changed, usable, lines = set(), 0, 0, collections.defaultdict(lambda: (set(), set()))
+            for i in range(len(ilow) - n + 1):
+                first, tokens = template(ilow[i : i + n], ikinds[i : i + n])
+                is_template = 1 <= sum(k > 0 for k in first) <= n - 4
+                usable += is_template
+                for p in range(len(low) - n + 1):
+                    if low[p : p + n] == ilow[i : i + n]:
+                        at.add(i)
+                    if is_template and template(low[p : p + n], kinds[p : p + n])[1] == tokens:
+                        lines[p - i][0].add(i)
+                        lines[p - i][1].update((k, x, y) for k, x, y in zip(first, ilow[i : i + n], low[p : p + n]) if k)
+            for places, pairs in lines.values():
+                names = {x for x in pairs if x[0] != 1}
+                one = len({x[:2] for x in pairs}) == len(pairs) and len({(k, y) for k, _, y in names}) == len(names)
+                other = sum(x != y for _, x, y in pairs)
+                if one and other and 3 * len(places) >= usable:
+                    at |= places
+                    changed = max(changed, other)
+            if at:
+                out[d, item] = (len(at), len(ilow) - n + 1, changed)
+    return out
+
+
+def test_templates_against_a_plain_version(spark):
+    """Items of 1 to 60 words in four languages; verbatim, in another case, re-parameterised and shuffled copies."""
+    rng = random.Random(11)
+    words = ("the of and river bank saw house when runs der und Haus läuft Straße über nicht la rivière été où maison pendant el niño mañana casa después vio km miles kg hours "
+             "Anna Boris Chloé Émile Jürgen Ñora 3 12 7.5 1,000").split()
+    swap = {"Anna": "Carla", "Boris": "Tom", "Chloé": "Zoé", "Émile": "Ugo", "Jürgen": "Uwe", "Ñora": "Inés", "3": "9", "12": "40", "7.5": "2", "1,000": "64"}
+    items, docs, whole = {}, {}, []
+    for i in range(60):
+        made = [rng.choice(words) for _ in range(i + 1)]
+        items[i] = " ".join(w + rng.choice(["", "", "", ",", ".", "?", " -"]) for w in made)
+        kind = rng.randrange(4)
+        text = [items[i], items[i].upper() if "ß" not in items[i] else items[i].lower(), " ".join(swap.get(w, w) for w in made), " ".join(rng.sample(made, len(made)))][kind]
+        docs[i] = " ".join(rng.choice(words) for _ in range(rng.randrange(6))) + rng.choice([": ", " (", " 3 ", ". ", "\n"]) + text + rng.choice([")", " km und", "", " 12"])
+        if kind < 2:
+            whole.append(i)
+    docs[98], docs[99], items[98], items[99] = None, "", None, " ?!"
+    frame = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} long, text string")
+    want = plain_leaks(docs, items)
+    assert all((i, i) in want and want[i, i][0] == want[i, i][1] for i in whole) and any(c for *_, c in want.values())
+    for bound in (decontam.BROADCAST_HASHES, 0):
+        decontam.BROADCAST_HASHES, old = bound, decontam.BROADCAST_HASHES
+        try:
+            got = {(r["doc_id"], r["item_id"]): (r["matched"], r["windows"], r["changed"]) for r in decontam.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+        finally:
+            decontam.BROADCAST_HASHES = old
+        assert got == want
+
+
 def test_main_text(spark, sf_dir, tables):
     pages = dict(tables.execute("select page_id, html from pages").fetchall())
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op10_dom_graphical"](spark, sf_dir).collect()}

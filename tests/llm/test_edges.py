@@ -45,10 +45,13 @@ def test_simhash(docs, none):
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "word word word word word word word word"), (2, None), (3, ""), (4, "a b c d"), (1, "word word word word word word word word")], "item_id long, text string")
     found = decontam.leaks(docs, items).collect()
-    assert [(r["doc_id"], r["item_id"], r["matched"], r["changed"]) for r in found] == [(6, 1, 1, 0)]
+    assert sorted((r["doc_id"], r["item_id"], r["matched"], r["changed"]) for r in found) == [(1, 4, 1, 0), (5, 4, 1, 0), (6, 1, 1, 0)]
     assert decontam.leaks(none, items).count() == 0 and decontam.leaks(docs, items.filter("false")).count() == 0
     kept = decontam.keep_clean(docs, items)
-    assert kept.columns == docs.columns and ids(kept) == [i for i in ALL if i != 6]
+    assert kept.columns == docs.columns and ids(kept) == [i for i in ALL if i not in (1, 5, 6)]
+    same_id = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a b c d"), (6, "not that one")], "doc_id long, text string"))
+    assert ids(decontam.keep_clean(same_id, items)) == [None, 2, 3, 4, 6, 7]  # judged row by row, ids aside
+    assert decontam.keep_clean(none, items).count() == 0 and decontam.keep_clean(docs, items.filter("false")).count() == len(ROWS)
 
 
 def test_quality(spark, docs, none):
