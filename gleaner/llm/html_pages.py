@@ -1,4 +1,10 @@
-"""Labelled pages that train the main-text model: a block of text that begins with ``MARK`` is main text."""
+"""Labelled pages that train the main-text model: a block of text that begins with ``MARK`` is main text.
+
+Some are written out; others are made from layouts, parts of frames and sentences by a seeded generator, so that what a
+part is called, where it stands and whether it is called anything varies.
+"""
+
+import random
 
 MARK = "✓"
 
@@ -48,4 +54,111 @@ LABELLED = [
     """<html><body><header><p>The Weather Page</p></header><article><h1>✓Rain</h1><p>✓Rain is due by night.</p></article><aside><p>Winds of the week at a glance.</p></aside><footer><p>Made by the weather desk</p></footer></body></html>""",
     """<html><body><div class="header"><h1>Stone and Wood</h1></div><main><article><h2>✓Oak</h2><p>✓Oak is hard to work but lasts.</p></article></main><div class="comments"><p>Mine has lasted since my grandfather built it, and that was long ago.</p></div><div class="footer"><p>Write to us</p></div></body></html>""",
     """<html><body><header class="masthead"><h1>Valley News</h1><nav><a href="1">Top</a></nav></header><article class="story"><header><h1>✓Mill sold</h1></header><p>✓The old mill has a new owner.</p><div class="newsletter"><p>Have the news sent to you.</p></div></article><section class="comments"><article class="comment"><p>High time.</p></article><article class="comment"><p>I hope they keep the wheel turning, it is the pride of the valley.</p></article></section></body></html>""",
+    """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>Salt on the pier.</title></head><body><nav><ul><li><a href="/a">Piers</a></li><li><a href="/b">of</a></li></ul></nav><!-- ad 3 --><div class="ad">Rope by the yard from old stock.</div><article><h1>✓Salt on the pier.</h1><p><b>✓Salt on the pier.<br></article><footer>&copy; m.pier.example &middot; Down by the lower quay, where else.</footer></body></html>""",
+    """<html><head><title>For the high water.</title></head><body><nav><ul><li><a href="/w">Water</a></li></ul></nav><div class="ad">Ein Seil und zwei Haken.</div><article><h1>✓For the high water or the low.</h1><p>✓For the high water or the low.</article><footer>&copy; water.example &middot; Une barque et deux rames.</footer></body></html>""",
 ]
+
+SENTENCES = (
+    "The mill at the lower lock was built in three years and has ground flour for the valley ever since.|Nobody had expected so much snow before the end of the month.|Water is let in slowly until the gates are level.|She kept the letters in a tin box under the stairs.|"
+    "Most of the boats are made of oak, though the newer ones have a steel keel.|Cut the stems at an angle and put them in cold water at once.|It was late.|The engine runs at half its speed when the valves are worn, and the noise can be heard from the far bank.|"
+    "A second team measured the same field in spring and found the opposite.|Prices rose by a tenth.|The old road turns left behind the church, crosses the brook on a wooden bridge and climbs through the wood to the pass.|Let the dough rest for an hour, then fold it twice.|"
+    "Der Fluss tritt im Frühjahr über die Ufer und die Wiesen stehen wochenlang unter Wasser.|Niemand hat den Brief geöffnet.|La ville a été reconstruite après la guerre, pierre par pierre, selon les plans anciens.|Personne ne savait pourquoi.|"
+    "El puente se abrió al tráfico en otoño y desde entonces pasan por él miles de personas cada día.|Nadie respondió.|Each sample was weighed twice, dried for a day at sixty degrees and weighed again.|The result was clear|north | south | tide | pier|keel*** mast$$$ and rope###|https://mill.example/lock?x=1|It was late|Water, flour, salt|bank### lee.***|Reed%%% rush.$$$|lock lock lock lock lock lock lock lock lock lock lock lock lock lock|from the lock to the pier and from the pier to the lock and back again the same way"
+).split("|")
+TITLES = "The lower lock|Winter in the valley|Keeping cut flowers|Am Fluss|La ville ancienne|El puente nuevo|A second look at the field|Folded bread|Why valves wear".split("|")
+FRAMES = (
+    "Contact us at our office.|Latest posts and archives.|Follow us for more stories.|Subscribe to our newsletter.|All rights reserved.|We use cookies to make this site better.|Sign up and get the news each week.|"
+    "Read more|Share this|Log in|Search the site|Popular this week|Related posts|Leave a reply|Terms and privacy|Buy two and get one free in our shop.|Advertisement|Kontakt und Impressum|Suche|Mentions légales et contact|Aviso legal|"
+    "Made by the desk|Home|About|Printed from the web|Published by the town press|Next page|Download our app today.|Join many thousands of readers.|Write to the editor."
+).split("|")
+REMARKS = "I read this twice and still can't see why it took them three years.|Great, thanks.|My aunt lived there, and she told it otherwise.|First!|Could you say more on the second point, please?".split("|")
+FRAME_NAMES = "sidebar|widget-area|side-widget|footer|site-footer|header|topbar|nav-menu|related-posts|share-buttons|social|newsletter-box|promo|ad-slot|cookie-bar|breadcrumbs|author-byline|popup|pager|notice".split("|")
+MAIN_NAMES = "content|main-content|post-body|article-body|entry-content|story|page-text|prose".split("|")
+
+
+def made_page(seed: int) -> str:
+    """A page from the generator: the same for the same seed."""
+    rng = random.Random(seed)
+    pick = rng.choice
+
+    def named(names: list[str], chance: float) -> str:
+        return f' {pick(["class", "class", "id"])}="{pick(names)}"' if rng.random() < chance else ""
+
+    def frame() -> str:
+        style = rng.randrange(7)
+        link = lambda: f'<a href="/{rng.randrange(99)}">{pick(FRAMES)}</a>'
+        if style == 0:
+            return f"<{(t := pick(['nav', 'div', 'nav']))}{named(FRAME_NAMES, 0.5)}><ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(1, 6))) + f"</ul></{t}>"
+        if style == 1:
+            return f"<div{named(FRAME_NAMES, 0.5)}>{pick(FRAMES)}</div>"
+        if style == 2:
+            return f"<{(t := pick(['aside', 'div', 'section']))}{named(FRAME_NAMES, 0.8)}><h3>{pick(FRAMES)}</h3><p>{pick(FRAMES)} {pick([link(), pick(FRAMES)])}</p></{t}>"
+        if style == 3:
+            return f"<form{named(FRAME_NAMES, 0.3)}><p>{pick(FRAMES)}</p><label>{pick(FRAMES)}</label><input><button>{pick(FRAMES)}</button></form>"
+        if style == 4:
+            return f"<div{named(FRAME_NAMES, 0.6)}>" + " | ".join(link() for _ in range(rng.randint(2, 4))) + "</div>"
+        if style == 5:
+            return f'<div class="{pick(["ad", "advert box", "sponsored", "banner"])}"><p>{pick(SENTENCES)} {pick(FRAMES)}</p></div>'
+        return f"<p>{link()}</p>" if rng.random() < 0.3 else f"<div>{pick(FRAMES)} {link()}</div>"
+
+    def paragraph() -> str:
+        words = pick(TITLES) + "." if rng.random() < 0.15 else " ".join(pick(SENTENCES) for _ in range(rng.randint(1, 4)))
+        if rng.random() < 0.3:
+            words = words.replace(" the ", f' <a href="/{rng.randrange(9)}">the</a> ', 1)
+        tag = pick(["p"] * 8 + ["blockquote", "pre"])
+        return f"<p>{MARK}{words}" if tag == "p" and rng.random() < 0.2 else f"<{tag}>{MARK}{words}</{tag}>"
+
+    def article() -> str:
+        parts = [f"<h1>{MARK}{pick(TITLES)}</h1>"] if rng.random() < 0.85 else []
+        for _ in range(pick([1, 1, 1, 2, 3, 4, 5, 7])):
+            parts.append(paragraph())
+            other = rng.random()
+            if other < 0.12:
+                parts.append(f"<h{(k := rng.randint(2, 3))}>{MARK}{pick(TITLES)}</h{k}>" + paragraph())
+            elif other < 0.2:
+                parts.append("<ul>" + "".join(f"<li>{MARK}{pick(SENTENCES)}</li>" for _ in range(rng.randint(2, 4))) + "</ul>")
+            elif other < 0.26:
+                parts.append("<table>" + "".join(f"<tr><td>{MARK}{pick(TITLES)}</td><td>{MARK}{rng.randrange(99)} m</td></tr>" for _ in range(2)) + "</table>")
+            elif other < 0.38:
+                parts.append(frame())
+        return "".join(parts)
+
+    def remarks() -> str:
+        tag = pick(["div", "section"])
+        first, last, opens = pick([("<div>", "</div>", [""]), ("<li><article>", "</article></li>", ["<ol>", "<ul>"]), ("<article>", "</article>", [""]), ('<li><div class="comment">', "</div></li>", ["<ol>", "<ul>"])])
+        return f'<{tag} {pick(["class", "id"])}="{pick(["comments", "comment-list", "reader-comments", "discussion", "responses"])}"><h3>Comments</h3>{pick(opens)}' + "".join(f"{first}<p>{pick(REMARKS)}</p>{last}" for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    tag = pick(["article", "main", "div", "div", "section", "td"])
+    body = article()
+    if rng.random() < 0.4:
+        body = f"<div{named(MAIN_NAMES, 0.7)}>{body}</div>"
+    core = f"<{tag}{named(MAIN_NAMES, 0.6)}>{body}</{tag}>"
+    before, after = "".join(frame() for _ in range(rng.randint(0, 3))), "".join(frame() for _ in range(rng.randint(0, 3)))
+    if rng.random() < 0.35:
+        after = remarks() + after
+    head = f"<header{named(FRAME_NAMES, 0.4)}><{(t := pick(['p', 'h1', 'div']))}>{pick(['The Gazette', 'Valley Notes', 'Blog', 'Tageblatt'])}</{t}></header>" if rng.random() < 0.5 else ""
+    foot = f"<footer>{pick(['©', 'Copyright', '&copy;'])} {pick(FRAMES)}</footer>" if rng.random() < 0.6 else f"<div{named(['footer', 'bottom', 'foot'], 0.7)}>{pick(FRAMES)}</div>"
+    if tag == "td":
+        return f"<html><body>{head}<table><tr><td>{before}</td>{core}<td>{after}</td></tr></table>{foot}</body></html>"
+    if rng.random() < 0.3:
+        core = f"<div>{core}</div>"
+    return f"<html><body>{head}{before}{core}{after}{foot}</body></html>"
+
+
+def plain_page(seed: int) -> str:
+    """A page without a frame: text alone, or a few paragraphs."""
+    rng = random.Random(-1 - seed)
+    blocks = [MARK + " ".join(rng.choice(SENTENCES) for _ in range(rng.randint(1, 3))) for _ in range(1 + seed % 3)]
+    if seed % 2 == 0:
+        blocks = [MARK + rng.choice(["It was ", "Let us see ", "Here is ", "One "]) + " ".join(rng.choice(TITLES).lower().split()[: rng.randint(1, 4)]) + "."]
+    if seed % 3 == 0:
+        return blocks[0]
+    title = f"<h1>{MARK}{rng.choice(TITLES)}</h1>" if seed % 3 == 1 else ""
+    inner = title + "".join(f"<p>{b}</p>" for b in blocks)
+    if seed % 5 < 2:
+        inner = f"<{(t := rng.choice(['article', 'main', 'div']))}>{inner}</{t}>"
+    return inner if seed % 4 < 2 else f"<html><body>{inner}</body></html>"
+
+
+def training_pages(made: int = 70) -> list[str]:
+    return LABELLED * 2 + [made_page(seed) for seed in range(made)] + [plain_page(seed) for seed in range(made // 2)]

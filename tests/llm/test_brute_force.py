@@ -318,6 +318,37 @@ def test_main_text(spark, sf_dir, tables):
     assert got == {i: article(h) for i, h in pages.items()}
 
 
+def test_main_text_of_held_out_layouts():
+    """Twelve hand-labelled layouts that no training page has: F1 by characters of all of them, and of the worst."""
+    from held_out_pages import PAGES
+
+    model, scores, sums = html_main.fitted(), {}, np.zeros(3)
+    for name, html in PAGES.items():
+        page, labels = html_main.labelled(html)
+        found, _ = model.marginals(page)
+        rows = [(len(t), y, p > 0.5) for t, y, p in zip(page.text, labels, found) if t is not None]
+        counts = np.array([sum(n for n, y, p in rows if test(y, p)) for test in (lambda y, p: y and p, lambda y, p: p and not y, lambda y, p: y and not p)])
+        scores[name] = 2 * counts[0] / (2 * counts[0] + counts[1] + counts[2])
+        sums += counts
+    assert 2 * sums[0] / (2 * sums[0] + sums[1] + sums[2]) > 0.93 and min(scores.values()) > 0.75, scores
+
+
+@pytest.mark.parametrize("unit", ["if a <b c ", '<a "', "<div>", "<svg>", "<a b='", "</x", "<!-", "<li><ul>", "<x>", "<x><li></div>"])
+def test_broken_markup_is_read_in_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    html_main.Page(unit * (2_000_000 // len(unit)))
+    assert time.perf_counter() - began < 30  # a quadratic scan would take hours
+
+
+def test_text_beside_odd_markup_is_kept():
+    model = html_main.fitted()
+    assert model.main_text("<p>Let <math><mi>x</mi></math> be <noscript>seven</noscript> here.</p>") == "Let x be seven here."
+    assert model.main_text("<article><h1>Signs</h1><p>If a < b and b <c then a is less than c, said the teacher.</p></article>") == "Signs\n\nIf a < b and b <c then a is less than c, said the teacher."
+    assert model.main_text('<article><p title="a > b">One sentence is here.</p><p>Two &lt; three is a fact.</p></article>') == "One sentence is here.\n\nTwo < three is a fact."
+
+
 def test_messages_give_exact_marginals():
     """Sum-product on the tree against the sum over all labellings."""
     import itertools
