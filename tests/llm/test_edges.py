@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import chat, decontam, fixity, html_main, knn, packing, quality, sharding, simhash, tokens
+from gleaner.llm import chat, common, decontam, fixity, html_main, knn, packing, quality, sharding, similar, simhash, tokens
 
 LONG = "word " * 60_000
 ROWS = [(1, "a b c d"), (2, None), (3, ""), (4, " \n"), (5, "a b c d"), (5, "a b c d"), (None, "lost"), (6, LONG), (7, "é　日本 x\x00y")]
@@ -37,9 +37,28 @@ def test_simhash(docs, none):
     assert sorted((i for i, *_ in got), key=lambda x: (x is not None, x)) == ALL
     assert {(f, c) for i, f, c in got if i in (2, 3, 4)} == {(0, 2)} and {c for i, _, c in got if i in (1, 5)} == {1}
     assert simhash.simhash_components(none).count() == 0
-    kept = simhash.keep_one(docs)
+
+
+def test_similar_texts(spark, docs, none):
+    kept = similar.keep_one(docs)
     assert kept.columns == docs.columns and ids(kept) == [None, 1, 2, 6, 7]
-    assert simhash.keep_one(none).count() == 0
+    assert similar.keep_one(none).count() == 0
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (1, "another text of the same id, which stays as it is"), (None, " ".join(base[:-1])), (2, " ".join(base).upper()), (3, " ".join(base[:30])), (None, "alone"), (4, "alone")]
+    got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([rows[0], rows[1], rows[4], rows[6]], key=repr)
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    """The group of copies is joined by a broadcast of its one row: no task gets it whole."""
+    common.HOT_ROWS, old = 50, common.HOT_ROWS
+    try:
+        rows = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text in very many rows").otherwise(F.concat(F.lit("text "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
+        found = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(rows).collect()}
+        assert found == {i: 0 if i % 3 == 0 else i for i in range(900)}
+        assert sorted(r["doc_id"] for r in similar.keep_one(rows).collect()) == [i for i in range(900) if i % 3 or not i]
+    finally:
+        common.HOT_ROWS = old
 
 
 def test_decontamination(spark, docs, none):
@@ -154,6 +173,6 @@ def test_fixity(spark):
 
 def test_pipeline_of_an_empty_table(spark, none, sf_dir):
     docs = none
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0, name
