@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences: each stage is one operator of ``gleaner.llm``.
 
 A stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns documents; the last returns packed
-pieces. Between stages the rows are written as Parquet and read again.
+pieces. Between stages the rows are written as Parquet and read again, in the shared checkpoint folder, from which the
+caller clears them once the result is written.
+
+Every stage decides row by row, by the row's text: null and empty texts count as the empty text, rows without an id and
+rows that share one are no exception, rows equal in id and text are one row after the near-duplicate stage, columns
+beyond those of documents are carried along, and an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, packing, quality, simhash
+from gleaner.llm import decontam, packing, quality, similar
 from gleaner.llm.common import checkpoint_folder, read_table
 
 
@@ -20,8 +25,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by op8's law (3-word SimHash, 3 of 64 bits) stays; README has its recall."""
-    return simhash.keep_one(docs)
+    """One document of each group of similar texts stays (five words, Jaccard of 0.8 or more, verified): candidates from
+    SimHash balls and, for what lies beyond their radius, from bands of minimum hashes."""
+    return similar.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
