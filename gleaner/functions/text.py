@@ -38,7 +38,9 @@ def fold_accents(texts: pd.Series) -> pd.Series:
 
 def tokenize(text: Column) -> Column:
     """Words of unaccented lower-case letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(fold_accents(text)), F.lit("[a-z0-9_]+"), F.lit(0))
+    ascii_only = text.rlike(r"\A\p{ASCII}*\z")  # such texts never leave the JVM
+    folded = F.when(ascii_only, text).otherwise(fold_accents(F.when(~ascii_only, text)))
+    return F.regexp_extract_all(F.lower(folded), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
 def estimated_tokens(text: Column) -> Column:

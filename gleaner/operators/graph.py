@@ -134,19 +134,18 @@ def match_chunks(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.select("chunk_id", "m.id", "m.tier").unionByName(by_path.select("chunk_id", "id", F.lit(3).alias("tier")))
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_steps: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, id, steps``: the length of the shortest path, either way along edges, from each start to what it reaches.
 
-    Each round joins the last frontier with the edges; nodes that were reached before leave it.
+    Each round joins the last frontier with the edges; nodes that were reached before leave it, until none is left.
     """
     links = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("next"))).distinct()
     reached = checkpointed(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("steps")).distinct())
-    frontier = reached
-    for step in range(1, max_steps + 1):
+    frontier, step = reached, 0
+    while not frontier.isEmpty():
+        step += 1
         grown = frontier.join(links, "id").select("start", F.col("next").alias("id")).distinct()
         frontier = checkpointed(grown.join(reached, ["start", "id"], "left_anti").withColumn("steps", F.lit(step)))
-        if frontier.isEmpty():
-            break
         reached = checkpointed(reached.unionByName(frontier))
     return reached
 

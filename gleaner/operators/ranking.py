@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +13,8 @@ from gleaner.functions.text import estimated_tokens
 from gleaner.functions.vectors import dot
 from gleaner.operators.ordering import with_row_number
 
-#: A set of query vectors up to this size is broadcast; larger ones are joined by partition.
-BROADCAST_QUERIES = 10_000
+#: So many query vectors are sent to the tasks at once.
+QUERY_BLOCK = 4096
 RRF_K = 2
 
 
@@ -23,16 +27,11 @@ def top_k(rows: DataFrame, by: list[str], k: int | Column, *order: Column) -> Da
     return ranked(rows, by, *order).filter(F.col("rank") <= k)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, condition: Column | None = None) -> DataFrame:
-    """``query_id, vec_id, score`` of every query (``query_id, query``) and vector (``vec_id, embedding``).
-
-    The filter holds before any limit. Few queries are broadcast, so vectors are scanned once and not shuffled; with
-    more, Spark deals the pairs by partition.
-    """
+def dense_scores(vectors: DataFrame, query: DataFrame, condition: Column | None = None) -> DataFrame:
+    """``query_id, vec_id, score`` of one query (a row ``query_id, query, ...``) and every vector, in one scan; the filter
+    holds before any limit."""
     length = lambda v: F.sqrt(dot(F.col(v), F.col(v)))  # noqa: E731  once a row, not once a pair
-    vectors, queries = vectors.withColumn("__v", length("embedding")), queries.withColumn("__q", length("query"))
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    pairs = vectors.crossJoin(F.broadcast(queries) if few else queries)
+    pairs = vectors.withColumn("__v", length("embedding")).crossJoin(F.broadcast(query.limit(1).withColumn("__q", length("query"))))
     if condition is not None:
         pairs = pairs.filter(condition)
     sizes = F.col("__v") * F.col("__q")
@@ -40,6 +39,51 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, condition: Column | Non
     return pairs.select("query_id", "vec_id", score.alias("score")).filter("score is not null")
 
 
+def _units(column: pd.Series) -> np.ndarray:
+    """Rows scaled to length 1; not a number where the length is 0."""
+    x = np.array(column.tolist(), dtype=np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _block_scores(asked: list[tuple[int, list[float]]], k: int | None):
+    ids = np.array([i for i, _ in asked], dtype=np.int64)
+    units = _units(pd.Series([q for _, q in asked]))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.sort_values("vec_id", kind="stable")
+            mine, found = batch["vec_id"].to_numpy(), _units(batch["embedding"]).T if len(batch) else None
+            for at in range(0, len(ids) if len(batch) else 0, 128):
+                scores = np.round(units[at : at + 128] @ found, 6) + 0.0
+                known = ~np.isnan(scores)
+                if k is not None and k < len(mine):
+                    least = np.partition(np.where(known, scores, -np.inf), -k, axis=1)[:, -k]
+                    known &= scores >= least[:, None]  # ties of the k-th are settled by the caller
+                q, v = np.nonzero(known)
+                yield pd.DataFrame({"query_id": ids[at : at + 128][q], "vec_id": mine[v], "score": scores[q, v]})
+
+    return score
+
+
+def dense_pairs(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """``query_id, vec_id, score`` of a stated set of queries (``query_id, query``) and all vectors, as matrix products.
+
+    Queries go to the tasks in blocks of up to ``QUERY_BLOCK``, each block with one scan of the vectors; nothing is
+    paired by a join. With ``k`` each batch of vectors keeps what may be among the k best, so the shuffle after it is
+    small. Vectors and queries without length have no scores.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.filter("query is not null").select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    found = None
+    for block in range(blocks):
+        asked = [(r["query_id"], r["query"]) for r in dealt.filter(F.col("block") == block).collect()]  # about QUERY_BLOCK rows
+        if asked or (found is None and block == blocks - 1):
+            part = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(_block_scores(asked or [(-1, [0.0])], k), "query_id long, vec_id long, score double")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 def fused(lists: list[DataFrame], by: str, item: str, k: int, constant: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (``by, item, rank`` from 1): the k items with the highest sums."""
     parts = lists[0].select(by, item, "rank")

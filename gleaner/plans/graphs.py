@@ -62,12 +62,12 @@ def graph_neighbors(spark, sf_dir):
     return graph.neighbors(edges(spark, sf_dir), nodes(spark, sf_dir)).select("repo", "id", "neighbor", "neighbor_label", "relation", "direction", "rank")
 
 
-@query(f"""with {_GRAPH}, q as (select distinct lower(p_brand) as wanted from part union select lower(p_name) from part where p_partkey % 200 = 0),
+@query(f"""with {_GRAPH}, q as (select distinct lower(p_brand) as wanted from part union select lower(p_name) from part where p_partkey % 100 = 0),
 m as (select wanted, arg_min(id, ord) as id, arg_min(repo, ord) as repo from n, q where contains(lower(label), wanted) or contains(wanted, lower(label)) group by wanted), {_BOTH}
 select wanted, m.id, neighbor, relation, direction from m join v on m.repo = v.repo and m.id = v.id where rank <= 10""")
 def graph_neighbors_label(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    wanted = parts.select(F.lower("p_brand").alias("wanted")).union(parts.filter("p_partkey % 200 = 0").select(F.lower("p_name"))).distinct()
+    wanted = parts.select(F.lower("p_brand").alias("wanted")).union(parts.filter("p_partkey % 100 = 0").select(F.lower("p_name"))).distinct()
     found = graph.find_by_label(nodes(spark, sf_dir), wanted)
     return found.join(graph.neighbors(edges(spark, sf_dir), nodes(spark, sf_dir)), ["repo", "id"]).select("wanted", "id", "neighbor", "relation", "direction")
 
@@ -142,7 +142,7 @@ def graph_stats(spark, sf_dir):
 
 
 @query(f"""with recursive {_GRAPH}, l as (select distinct source as id, target as next from e union select distinct target, source from e),
-s as (select repo, 'p' || min(ord) as start from n group by repo), p(start, id, steps) as (select start, start, 0 from s union select p.start, l.next, p.steps + 1 from p join l on p.id = l.id where p.steps < 50 and p.steps < 12)
+s as (select repo, 'p' || min(ord) as start from n group by repo), p(start, id, steps) as (select start, start, 0 from s union select p.start, l.next, p.steps + 1 from p join l on p.id = l.id where p.steps < 50)
 select start, id, min(steps)::int as steps from p group by all""")
 def shortest_path(spark, sf_dir):
     """From the first symbol of each repository to every symbol that it reaches."""

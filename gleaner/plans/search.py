@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gleaner.functions import lexicons, text
 from gleaner.functions.vectors import cosine
 from gleaner.operators import ranking, sparse
-from gleaner.operators.ordering import checkpointed
+from gleaner.operators.ordering import checkpoint_folder, checkpointed
 from gleaner.plans.registry import query, sql_list, table
 
 K = 10
+#: Folders of stored indexes by application and input.
+_STORED: dict[tuple[str, str], str] = {}
 #: The stated query set of batch searches: every vector whose id is divisible by this, against all vectors.
 QUERY_STEP = 100
 _COSINE = "round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6)"
@@ -25,6 +29,12 @@ def dense(spark, sf_dir, condition="vec_id = 0", where=None):
     return ranking.dense_scores(vectors, queried(vectors, condition), where)
 
 
+def dense_batch(spark, sf_dir, k=None):
+    """The stated query set against all vectors; with ``k`` only what may be among the k best."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ranking.dense_pairs(vectors, queried(vectors, f"vec_id % {QUERY_STEP} = 0"), k)
+
+
 @query(f"select e.vec_id, {_COSINE} as score from embeddings e, embeddings q where q.vec_id = 0 order by score desc, e.vec_id limit {K}")
 def topk_dense(spark, sf_dir):
     return dense(spark, sf_dir).orderBy(F.desc("score"), "vec_id").limit(K).select("vec_id", "score")
@@ -35,6 +45,17 @@ def topk_filtered(spark, sf_dir):
     return dense(spark, sf_dir, where=F.col("label") == F.col("query_label")).orderBy(F.desc("score"), "vec_id").limit(K).select("vec_id", "score")
 
 
+@query(f"""select vec_id, 'repo' || label as repo_name, symbol_type, score from (select e.vec_id, e.label, e.vec_id % 3 as kind, case e.vec_id % 3 when 0 then 'function' when 1 then 'class' else 'method' end as symbol_type, {_COSINE} as score
+from embeddings e, embeddings q where q.vec_id = 0 and e.label = q.label) where symbol_type = 'function' order by score desc, vec_id limit {K}""")
+def code_query(spark, sf_dir):
+    """Code passages of one repository and kind of symbol: both filters hold before the limit."""
+    kinds = F.when(F.col("vec_id") % 3 == 0, "function").when(F.col("vec_id") % 3 == 1, "class").otherwise("method")
+    code = table(spark, sf_dir, "embeddings").withColumns({"repo_name": F.concat(F.lit("repo"), F.col("label").cast("string")), "symbol_type": kinds})
+    wanted = (F.col("repo_name") == F.concat(F.lit("repo"), F.col("query_label").cast("string"))) & (F.col("symbol_type") == "function")
+    best = ranking.dense_scores(code, queried(code), wanted).orderBy(F.desc("score"), "vec_id").limit(K)
+    return best.join(code.select("vec_id", "repo_name", "symbol_type"), "vec_id").select("vec_id", "repo_name", "symbol_type", "score")
+
+
 @query(f"select * from (select e.vec_id, {_COSINE} as score from embeddings e, embeddings q where q.vec_id = 0 order by score desc, e.vec_id limit {K}) where score >= 0.2")
 def min_score(spark, sf_dir):
     return topk_dense(spark, sf_dir).filter(F.col("score") >= 0.2)
@@ -46,15 +67,18 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 
 @query(f"with {_DENSE} select query_id, vec_id, score, rank from r where rank <= {K}")
 def topk_batch(spark, sf_dir):
-    return ranking.top_k(dense(spark, sf_dir, f"vec_id % {QUERY_STEP} = 0"), ["query_id"], K, F.desc("score"), F.col("vec_id"))
+    return ranking.top_k(dense_batch(spark, sf_dir, K), ["query_id"], K, F.desc("score"), F.col("vec_id"))
 
 
 def bm25_parts(spark, sf_dir):
-    """The inverted index is written once; statistics, lengths and weights all read it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counts = checkpointed(sparse.term_counts(docs, "doc_id", text.tokenize(F.col("text"))))
-    stats = sparse.corpus_stats(docs.select("doc_id"), counts)
-    return counts, stats, sparse.term_weights(counts, stats)
+    """The inverted index of the documents: fitted and stored once an application, read by every query after that."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where not in _STORED:
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        folder = f"{checkpoint_folder(spark)}/bm25-{uuid.uuid4().hex}"
+        sparse.fitted(docs, "doc_id", text.tokenize(F.col("text")), folder)
+        _STORED[where] = folder
+    return sparse.loaded(spark, _STORED[where])
 
 
 _BM25 = """t as (select doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) as term from documents),
@@ -102,7 +126,7 @@ f as (select query_id, doc_id, round(sum(1.0::double / (2 + rank - 1)), 6) as sc
 select query_id, doc_id, score, rank from fr where rank <= {K}""")
 def hybrid_rrf(spark, sf_dir):
     """Lists of twice the wanted length from both sides; queries with one list only are ranked by it."""
-    near = ranking.top_k(dense(spark, sf_dir, f"vec_id % {QUERY_STEP} = 0"), ["query_id"], 2 * K, F.desc("score"), F.col("vec_id")).withColumnRenamed("vec_id", "doc_id")
+    near = ranking.top_k(dense_batch(spark, sf_dir, 2 * K), ["query_id"], 2 * K, F.desc("score"), F.col("vec_id")).withColumnRenamed("vec_id", "doc_id")
     worded = ranking.top_k(bm25_scores(spark, sf_dir), ["query_id"], 2 * K, F.desc("score"), F.col("doc_id"))
     return ranking.fused([near, worded], "query_id", "doc_id", K).select("query_id", "doc_id", "score", "rank")
 
@@ -110,8 +134,7 @@ def hybrid_rrf(spark, sf_dir):
 def passages(spark, sf_dir):
     """Passages of each source with scores: vectors as passages, their labels as sections."""
     vectors = table(spark, sf_dir, "embeddings")
-    scored = ranking.dense_scores(vectors, queried(vectors, f"vec_id % {QUERY_STEP} = 0"))
-    return scored.join(vectors.select("vec_id", "label"), "vec_id").withColumn("chunk_index", F.expr("vec_id % 50"))
+    return dense_batch(spark, sf_dir).join(vectors.select("vec_id", "label"), "vec_id").withColumn("chunk_index", F.expr("vec_id % 50"))
 
 
 _PASSAGES = f"p as (select q.vec_id as query_id, e.vec_id, {_COSINE} as score, e.label, e.vec_id % 50 as chunk_index from embeddings e, embeddings q where q.vec_id % {QUERY_STEP} = 0)"
@@ -181,18 +204,27 @@ def inject_context(spark, sf_dir):
     return joined.select("conv_id", "turn", "role", told.alias("text")).unionByName(own)
 
 
-def multi_strategy_scores(spark, sf_dir):
+def asked_variants(asked):
+    """``query_id, variant, text``: each text as it is (0) and as its keywords (1), unless these are the text itself in
+    lower case or have 3 characters at most."""
+    words = text.keywords(F.col("text"))
+    variants = F.array(F.struct(F.lit(0).alias("variant"), F.col("text")), F.when((words != F.lower("text")) & (F.length(words) > 3), F.struct(F.lit(1).alias("variant"), words.alias("text"))))
+    return asked.select("query_id", F.explode(F.array_compact(variants)).alias("v")).select("query_id", "v.variant", "v.text")
+
+
+def multi_strategy_scores(spark, sf_dir, asked=None):
     """Each benchmark text as it is and as its keywords, against the documents; of both the better score."""
     counts, stats, weights = bm25_parts(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array("text", text.keywords(F.col("text")))).alias("text"))
-    terms = asked.withColumn("variant", F.xxhash64("text")).select("query_id", "variant", F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "variant", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = terms.join(weights, "term").select("query_id", "variant", "term", sparse.bm25_weight(F.col("idf"), F.col("tf"), F.lit(1.0), F.lit(1.0)).alias("query_weight"))
-    found = sparse.document_weights(counts, weights, stats, "doc_id", terms.select("term")).join(weighted, "term").groupBy("query_id", "variant", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score"))
-    return found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text") if asked is None else asked
+    terms = asked_variants(asked).select("query_id", "variant", F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "variant", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = checkpointed(terms.withColumn("asked", F.struct("query_id", "variant")).drop("query_id", "variant"))
+    index = sparse.document_weights(counts, weights, stats, "doc_id", terms.select("term"))
+    found = sparse.sparse_scores(index, sparse.query_weights(terms, weights, "asked"), "doc_id", "asked")
+    return found.groupBy("asked.query_id", "doc_id").agg(F.max("score").alias("score"))
 
 
 @query(f"""with {_BM25}, k as (select item_id, text, list_filter(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda v: trim(v, '.,!?:;"''()[]')), lambda v: v <> ''), lambda v: not list_contains({sql_list(lexicons.STOP_WORDS)}, v) and length(v) > 2) as k from benchmark),
-a as (select item_id as query_id, 0 as variant, text from benchmark union all select item_id, 1, case when len(k) > 0 then array_to_string(k, ' ') else text end from k),
+a as (select item_id as query_id, 0 as variant, text from benchmark union all select item_id, 1, case when len(k) > 0 then array_to_string(k, ' ') else text end as t from k where t <> lower(text) and length(t) > 3),
 qt as (select query_id, variant, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) as term from a),
 qw as (select query_id, variant, term, any_value(idf) * count(*) * 2.5::double / (count(*) + 1.5::double) as query_weight from qt join w using (term) group by all),
 b as (select query_id, variant, doc_id, round(sum(weight * query_weight), 6) as score from x join qw using (term) group by all), m as (select query_id, doc_id, max(score) as score from b group by all)
