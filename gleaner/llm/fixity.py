@@ -1,18 +1,22 @@
 """Fixity audit of archive replicas by Merkle trees; DataFrame functions only.
 
-Records are WARC response records in the order of their offsets. A leaf is the hash of a record with its length; a node
-hashes its children, which cover an ordered range of offsets. Replicas compare roots first and descend only into the
-children of nodes that differ, down to the records that are corrupt.
+Records are WARC response records, held in volumes by ranges of their keys and, in a volume, one after the other in the
+order of keys. Each replica is laid out and hashed on its own: a leaf is the hash of an ordered range of records with
+their offsets, lengths and digests, a node above it that of its children with the offsets they cover. Roots are compared
+first, and only the children of nodes that differ are read, down to the records of ranges that differ.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpointed, read_table, with_row_number
+from gleaner.llm.common import checkpointed, read_table
 
-FANOUT = 16
+#: Keys of a volume, records of a leaf's range and children of a node: a volume is a node.
+VOLUME, FANOUT = 256, 16
+#: So many differing nodes are sent to all tasks that read the next level; more are joined by a shuffle.
+BROADCAST_NODES = 200_000
 #: The head of a WARC response record.
 HEAD = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{id}>\r\nWARC-Target-URI: {url}\r\nContent-Length: {length}\r\n\r\n"
 TAIL = "\r\n\r\n"
@@ -37,52 +41,84 @@ def record_table(pages: DataFrame) -> DataFrame:
 
 
 def laid_out(records: DataFrame) -> DataFrame:
-    """The manifest of a replica: ``key, ordinal, start, digest, length``, with offsets in the order of the keys."""
-    return with_row_number(records, ["key"], "ordinal", weight="length", total="start")
+    """A replica as it lies in its volumes: ``key, volume, ordinal, start, digest, length``.
 
+    A volume has at most ``VOLUME`` records, whatever the data, so it is laid out in one place.
+    """
+    volume = F.floor(F.col("key") / VOLUME)
+    order = Window.partitionBy("volume").orderBy("key")
+    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = records.filter("key is not null").withColumn("volume", volume)
+    return placed.select("key", "volume", (F.row_number().over(order) - 1).alias("ordinal"), before.alias("start"), "digest", "length")
+
+
+def _range(ordinal: str = "ordinal") -> Column:
+    """The leaf of a record: ranges of a volume are numbered within the volume's number."""
+    return F.col("volume") * (VOLUME // FANOUT) + F.expr(f"{ordinal} div {FANOUT}")
+
+
+def _hash_of(order: str, *parts: str) -> Column:
+    row = F.struct(order, F.concat_ws(":", *(F.col(p).cast("string") for p in parts)).alias("t"))
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["t"]), "|"), 256)
 
-def merkle_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """From the leaves (``node, digest, start, stop``) up to the root: each level has a row for ``fanout`` of the last.
 
-    A group holds at most ``fanout`` rows, whatever the data.
+def merkle_levels(replica: DataFrame, height: int) -> list[DataFrame]:
+    """The tree of a laid-out replica, from the leaves up: ``node, digest, start, stop`` at each of ``height`` levels.
+
+    A node has at most ``FANOUT`` children, whatever the data; offsets are those in the volume, and above volumes the
+    bytes that a node's children hold.
     """
+    end = F.col("start") + F.col("length")
+    leaves = replica.groupBy(_range().alias("node")).agg(_hash_of("ordinal", "key", "start", "length", "digest").alias("digest"), F.min("start").alias("start"), F.max(end).alias("stop"))
     levels = [checkpointed(leaves)]
-    while levels[-1].select(F.max("node")).first()[0] not in (None, 0):
-        grouped = levels[-1].groupBy(F.expr(f"node div {fanout}").alias("node")).agg(
-            F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("children"), F.min("start").alias("start"), F.max("stop").alias("stop")
-        )
-        levels.append(checkpointed(grouped.select("node", F.sha2(F.array_join(F.transform("children", lambda c: F.concat_ws(":", c["node"].cast("string"), c["digest"])), "|"), 256).alias("digest"), "start", "stop")))
+    while len(levels) < height:
+        whole = len(levels) == 1
+        covers = (F.min("start"), F.max("stop")) if whole else (F.lit(0).cast("long"), F.sum(F.col("stop") - F.col("start")))
+        above = levels[-1].withColumn("child", F.col("node")).groupBy(F.shiftright("child", 4).alias("node"))
+        grouped = above.agg(_hash_of("child", "child", "start", "stop", "digest").alias("digest"), covers[0].alias("start"), covers[1].alias("stop"))
+        levels.append(checkpointed(grouped))
     return levels
 
 
-def audit(manifest: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Records of ``manifest`` (``key, ordinal, start, digest, length``) that ``replica`` (``key, digest, length``) lacks
-    or has otherwise, and those it has besides: ``key, ordinal, start, length, status``.
+def _height(*replicas: DataFrame) -> int:
+    """Levels up to where all nodes of all replicas are one (two where keys are negative too)."""
+    ends = [replica.agg(F.min(_range()), F.max(_range())).first() for replica in replicas]
+    nodes = [n for pair in ends for n in pair if n is not None]
+    height = 1
+    while any(n not in (0, -1) for n in nodes):
+        nodes, height = [n >> 4 for n in nodes], height + 1
+    return height
+
 
-    The replica's records take the manifest's places; a missing one leaves a place empty, and extra ones follow at the
-    end, in places of their own. ``status`` is altered, resized, missing or extra. Keys must be unique; rows without a
-    key are left out. Empty replicas lack every record, and an empty manifest has none to lack.
+def audit(manifest: DataFrame, replica: DataFrame, trace: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Records of ``manifest`` that ``replica`` (both laid out) lacks or has otherwise, and those it has besides:
+    ``key, volume, ordinal, start, length, status``.
+
+    ``status`` is altered (same length), resized, missing or extra; the place is the manifest's, of an extra record the
+    replica's. A lost or added record moves the later ones of its volume: these are read, and are no fault if their
+    bytes are the same. Keys must be unique; rows without a key are left out. An empty replica lacks every record, and
+    an empty manifest has none to lack. ``trace`` is told how many nodes were read at each level.
     """
-    leaf = lambda df: df.select(F.col("ordinal").alias("node"), F.sha2(F.concat_ws("/", "key", "digest", "length"), 256).alias("digest"), "start", (F.col("start") + F.col("length")).alias("stop"))
-    manifest, replica = checkpointed(manifest), checkpointed(replica.filter("key is not null"))
-    held = manifest.select("key", "ordinal", "start").join(replica, "key")
-    extra = replica.join(manifest, "key", "left_anti")
-    ours, theirs = merkle_levels(leaf(manifest), fanout), merkle_levels(leaf(held), fanout)
+    height = _height(manifest, replica)
+    ours, theirs = merkle_levels(manifest, height), merkle_levels(replica, height)
     suspects = None
-    for level in range(len(ours) - 1, -1, -1):
-        here = ours[level]
-        if suspects is not None:
-            here = here.join(suspects, F.expr(f"node div {fanout}") == F.col("parent"), "left_semi")
-        there = theirs[level] if level < len(theirs) else here.limit(0)
-        differ = here.alias("a").join(there.select(F.col("node").alias("n"), F.col("digest").alias("d")), F.col("node") == F.col("n"), "left").filter("d is null or d <> digest")
-        suspects = checkpointed(differ.select(F.col("node").alias("parent")))
-        if suspects.isEmpty():
-            break
-    bad = manifest.join(suspects, F.col("ordinal") == F.col("parent"), "left_semi")
-    told = bad.join(replica.select("key", F.col("digest").alias("d"), F.col("length").alias("l")), "key", "left").select(
-        "key", "ordinal", "start", "length", F.when(F.col("d").isNull(), "missing").when(F.col("l") != F.col("length"), "resized").otherwise("altered").alias("status")
-    )
-    return told.unionByName(extra.select("key", F.lit(None).cast("long").alias("ordinal"), F.lit(None).cast("long").alias("start"), "length", F.lit("extra").alias("status")))
+    for level in range(height - 1, -1, -1):
+        sides = []
+        for tree in (ours, theirs):
+            nodes = tree[level].select("node", F.concat_ws(":", "start", "stop", "digest").alias("digest"))
+            sides.append(nodes if suspects is None else nodes.join(suspects, F.shiftright("node", 4) == F.col("parent"), "left_semi"))
+        a, b = sides
+        met = checkpointed(a.withColumnRenamed("digest", "a").join(b.withColumnRenamed("digest", "b"), "node", "full_outer"))
+        if trace is not None:
+            trace.append((level, met.count()))
+        suspects = met.filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("node").alias("parent"))
+        suspects = F.broadcast(suspects) if suspects.count() <= BROADCAST_NODES else suspects
+    here = lambda df: df.join(suspects, _range() == F.col("parent"), "left_semi")
+    other = here(replica).select("key", *(F.col(c).alias(f"their_{c}") for c in ("volume", "ordinal", "start", "length", "digest")))
+    met = here(manifest).join(other, "key", "full_outer")
+    status = F.when(F.col("digest").isNull(), "extra").when(F.col("their_digest").isNull(), "missing").when(F.col("length") != F.col("their_length"), "resized").when(F.col("digest") != F.col("their_digest"), "altered")
+    place = [F.coalesce(c, f"their_{c}").alias(c) for c in ("volume", "ordinal", "start", "length")]
+    return met.select("key", *place, status.alias("status")).filter("status is not null")
 
 
 def damaged(pages: DataFrame) -> DataFrame:
@@ -95,8 +131,8 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 def op7_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = audit(laid_out(record_table(pages)), record_table(damaged(pages)))
-    return found.select(F.col("key").alias("page_id"), "ordinal", F.col("start").alias("offset"), "length", "status")
+    found = audit(checkpointed(laid_out(record_table(pages))), checkpointed(laid_out(record_table(damaged(pages)))))
+    return found.select(F.col("key").alias("page_id"), "volume", "ordinal", F.col("start").alias("offset"), "length", "status")
 
 
 def _sql_record(html: str) -> str:
@@ -110,8 +146,9 @@ _DAMAGED = "case when page_id % 89 = 5 then substring(coalesce(html, ''), 1, len
 
 OP7_SQL = f"""
 with a as (select page_id, sha256({_sql_record("coalesce(html, '')")}) as digest, strlen({_sql_record("coalesce(html, '')")}) as length from pages),
-m as (select *, row_number() over (order by page_id) - 1 as ordinal, coalesce(sum(length) over (order by page_id rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from a),
+m as (select *, floor(page_id / {VOLUME})::bigint as volume, (row_number() over v - 1)::int as ordinal, coalesce(sum(length) over (v rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from a
+  window v as (partition by floor(page_id / {VOLUME}) order by page_id)),
 b as (select page_id, sha256({_sql_record(_DAMAGED)}) as digest, strlen({_sql_record(_DAMAGED)}) as length from pages where page_id % 101 <> 3)
-select m.page_id, m.ordinal, m."offset", m.length, case when b.page_id is null then 'missing' when b.length <> m.length then 'resized' else 'altered' end as status
+select m.page_id, m.volume, m.ordinal, m."offset", m.length, case when b.page_id is null then 'missing' when b.length <> m.length then 'resized' else 'altered' end as status
 from m left join b using (page_id) where b.page_id is null or b.digest <> m.digest
 """

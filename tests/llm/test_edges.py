@@ -161,14 +161,28 @@ def test_preferences(spark):
 
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"u{i}", "x" * i if i % 5 else None) for i in range(40)] + [(None, "u", "x"), (3, "u3", "xxx")], "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    manifest = fixity.laid_out(fixity.record_table(pages))
-    assert fixity.audit(manifest, fixity.record_table(pages)).count() == 0
+    lay = lambda df: fixity.laid_out(fixity.record_table(df))
+    manifest = lay(pages)
+    assert fixity.audit(manifest, lay(pages)).count() == 0
     other = pages.filter("page_id is null or page_id <> 7").withColumn("html", F.when(F.col("page_id") == 9, F.lit("y" * 9)).when(F.col("page_id") == 11, F.lit("z")).otherwise(F.col("html")))
-    other = other.unionByName(spark.createDataFrame([(99, "new", "n", "clash")], "page_id long, url string, html string, digest string"))
-    got = {r["key"]: r["status"] for r in fixity.audit(manifest, fixity.record_table(other), fanout=3).collect()}
-    assert got == {7: "missing", 9: "altered", 11: "resized", 99: "extra"}
-    assert fixity.audit(manifest, fixity.record_table(pages.filter("false"))).count() == 40
-    assert {r["status"] for r in fixity.audit(manifest.filter("false"), fixity.record_table(pages)).collect()} == {"extra"}
+    other = other.unionByName(spark.createDataFrame([(99, "new", "n", "clash"), (-5, "low", "n", "clash"), (5000, "far", "n", "clash")], "page_id long, url string, html string, digest string"))
+    got = {r["key"]: r["status"] for r in fixity.audit(manifest, lay(other)).collect()}
+    assert got == {7: "missing", 9: "altered", 11: "resized", 99: "extra", -5: "extra", 5000: "extra"}
+    assert fixity.audit(manifest, lay(pages.filter("false"))).count() == 40
+    assert {r["status"] for r in fixity.audit(manifest.filter("false"), lay(pages)).collect()} == {"extra"}
+    assert fixity.audit(manifest.filter("false"), manifest.filter("false")).count() == 0
+
+
+def test_equal_branches_are_not_read(spark):
+    """One changed record among 20,000: at each level only the children of the one differing node are read."""
+    rows = spark.range(20_000).select(F.col("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.lit(10).cast("long").alias("length"))
+    changed = rows.withColumn("digest", F.when(F.col("key") == 12_345, "x").otherwise(F.col("digest")))
+    trace = []
+    got = [tuple(r) for r in fixity.audit(fixity.laid_out(rows), fixity.laid_out(changed), trace).collect()]
+    assert got == [(12_345, 48, 57, 570, 10, "altered")]
+    assert len(trace) == 4 and all(n <= 16 for _, n in trace)
+    trace.clear()
+    assert fixity.audit(fixity.laid_out(rows), fixity.laid_out(rows), trace).count() == 0 and [n for _, n in trace] == [1, 0, 0, 0]
 
 
 def test_pipeline_of_an_empty_table(spark, none, sf_dir):
