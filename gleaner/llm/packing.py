@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -19,9 +18,7 @@ CAPACITY = 1024
 OPEN_BINS = 4096
 #: Pieces that one task packs; what its last bins leave unfilled is small against them.
 PIECES_A_TASK = 50_000
-VOCABULARY = "byte_bpe_50k"
-SPECIAL = "<|endoftext|>"
-SPECIAL_ID = 50256
+VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -69,14 +66,12 @@ class BestFit:
 
 
 def encoder(name: str = VOCABULARY):
-    """Encodes a text to the same ids as the byte-level tokenizer file of that name, its special string included."""
+    """Encodes a text to the ids of the tokenizer file of that name, its special string included, none added."""
     import public_tokenizers
-    import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    made = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-    return lambda text: made.encode_to_numpy(text, allowed_special="all")
+    made = Tokenizer.from_file(public_tokenizers.path(name))
+    return lambda text: np.array(made.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -120,13 +115,14 @@ def _packer(capacity: int, open_bins: int, size: str):
 def pack_items(items: DataFrame, size: str, order: list[str], capacity: int = CAPACITY, open_bins: int = OPEN_BINS, items_a_task: int = PIECES_A_TASK) -> DataFrame:
     """Add ``bin`` (long) and ``offset`` (long) to every item of 1 to ``capacity`` tokens.
 
-    Items are dealt to tasks by a hash of ``order`` and their row, and each task packs its items in one pass with a
-    bounded number of open bins, whatever their number. The items are sorted within a task so that a task that runs
-    again packs the same.
+    Items are dealt to tasks by a hash of ``order`` and their row in ``items``, which is a checkpointed or written table,
+    so that rows that are equal in all columns are spread as well; each task packs its items in one pass with a bounded
+    number of open bins, whatever their number. They are sorted within a task, so that a task that runs again packs the
+    same.
     """
     tasks = max(1, -(-items.count() // items_a_task))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    dealt = items.withColumn("__deal", F.xxhash64(*order)).repartition(tasks, "__deal").sortWithinPartitions("__deal", *order).drop("__deal")
+    dealt = items.withColumn("__deal", F.xxhash64(*order, F.monotonically_increasing_id())).repartition(tasks, "__deal").sortWithinPartitions("__deal", *order).drop("__deal")
     placed = dealt.mapInPandas(_packer(capacity, open_bins, size), f"{kinds}, bin long, offset long")
     return placed.withColumn("bin", F.shiftleft(F.spark_partition_id().cast("long"), 40) + F.col("bin"))
 
@@ -146,7 +142,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OP
     full = pieces.filter(F.col("length") >= capacity)
     rest = pieces.filter(F.col("length") < capacity)
     first = checkpointed(pack_items(rest, "length", ["doc_id", "piece", "start", "length", "ids_crc32"], capacity, open_bins, pieces_a_task))
-    bins = first.groupBy("bin").agg(F.sum("length").alias("filled"))
+    bins = checkpointed(first.groupBy("bin").agg(F.sum("length").alias("filled")))
     second = checkpointed(pack_bins(bins, capacity, open_bins, pieces_a_task))
     packed = first.join(second, "bin").select(*pieces.columns, "sequence_id", (F.col("base") + F.col("offset")).alias("offset"))
     alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -6,8 +6,10 @@ grow from, the trie node it has reached, the token before it and the token count
 reads one character a step; each transition is annotated with how many tokens it adds to the count (this can be
 negative: characters that become one token). States are made when first reached.
 
-A word break resets the state, so the state map of a chunk of text is the characters up to its first break, the count
-after it and the state at its end; such maps compose associatively and are combined by a parallel prefix scan.
+The state map of a chunk of text is its run from the state at a word break: states and counts after its first characters,
+the count of all and the state at its end. Whatever the state before the chunk is, its run meets that of the map after a
+few characters, at a word break at the latest, and is the same from there on; so maps compose at the cost of these few
+characters, associatively, and a text's maps are combined by a parallel prefix scan.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ CHUNK = 1 << 15
 MAX_STATES = 200_000
 MAX_WORDS = 300_000
 MAX_PAIRS = 500_000
+LONGEST_WORD = 64  # longer ones are not held
+#: Characters of a chunk at which a run from another state is looked for.
+MARKS = 256
 INFINITE = float("inf")
 #: Added to the tokens of a transition to store them as a number from 0 to 255; a piece has far fewer characters.
 BIAS = 64
@@ -99,12 +104,14 @@ class Transducer:
         self.alphabet = set(map(ord, vocabulary.alphabet))
         self.edges: dict[tuple[str, bool], list[tuple[str, float]] | None] = {}
         self.follows: dict[int, bool] = {}
+        self.steps: dict[int, int] = {}
         self.forget()
 
     def forget(self) -> None:
+        """Drop all states; what a state means stays valid."""
         self.numbers: dict[tuple, int] = {}
         self.meanings: list[tuple] = []
-        self.steps: dict[int, int] = {}
+        self.steps.clear()
         assert self._state((BIAS,)) == self.START
 
     def _state(self, meaning: tuple) -> int:
@@ -165,7 +172,11 @@ class Transducer:
         return known
 
     def compile(self, state: int, c: int) -> int:
-        """Make the transition of a state on a character."""
+        """Make the transition of a state on a character; too many states are dropped but for the present one."""
+        if len(self.meanings) >= MAX_STATES:
+            meaning = self.meanings[state]
+            self.forget()
+            state = self._state(meaning)
         if c not in self.alphabet:  # one token for each byte; nothing merges with it
             step = len(chr(c).encode("utf-8", "surrogatepass")) + BIAS
         else:
@@ -195,12 +206,14 @@ class Transducer:
 
 
 class ChunkMap(NamedTuple):
-    """What a chunk does to any state before it: the state runs over ``head``; after a break in the chunk, if it has
-    one (``tail`` is then the state at its end), ``count`` tokens follow whatever the state was."""
+    """What the characters ``start`` to ``stop`` of a text do: from a word break they run through ``marks`` (what the
+    state means and the tokens so far after each of the first characters) to ``count`` tokens and the state ``tail``."""
 
-    head: str
+    start: int
+    stop: int
+    marks: list[tuple[tuple, int]]
     count: int
-    tail: int | None
+    tail: tuple
 
 
 class Words(dict):
@@ -210,9 +223,11 @@ class Words(dict):
         self.machine = machine
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        count = self[word] = self.machine.run(SPACE + word, self.machine.START)[1]
+        count = self.machine.run(SPACE + word, self.machine.START)[1]
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = count
         return count
 
 
@@ -222,61 +237,67 @@ class Counter:
     def __init__(self, vocabulary: Vocabulary | None = None):
         self.machine = Transducer(vocabulary or Vocabulary())
         self.words = Words(self.machine)
-
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        """``chunk`` has spaces as ``SPACE``. The first break is before a space that follows another character."""
-        at = 1
-        while True:
-            at = chunk.find(SPACE, at)
-            if at < 0:
-                return ChunkMap(chunk, 0, None)
-            if chunk[at - 1] != SPACE:
+        self.composed = 0  # characters that compositions have run over
+
+    def chunk_map(self, text: str, start: int, stop: int, marks: int = MARKS) -> ChunkMap:
+        """``text`` has spaces as ``SPACE``. After the marks, whole words between breaks are counted at once."""
+        machine, state, total, at, seen = self.machine, self.machine.START, 0, start, []
+        while at < min(start + marks, stop):
+            state, more = machine.run(text[at], state)
+            total, at = total + more, at + 1
+            seen.append((machine.meanings[state], total))
+        found = max(at, start + 1)
+        while True:  # a break is before a space that follows another character
+            found = text.find(SPACE, found, stop)
+            if found < 0 or text[found - 1] != SPACE:
                 break
-            at += 1
-        rest = chunk[at + 1 :].split(SPACE)
-        machine, count, state, spaces = self.machine, 0, None, 1
-        last = len(rest) - 1
-        if "" not in rest:
-            count = sum(map(self.words.__getitem__, rest[:-1]))
-            state, more = machine.run(SPACE + rest[-1], machine.START)
-            return ChunkMap(chunk[:at], count + more, state)
-        for i, word in enumerate(rest):
-            if not word and i < last:
-                spaces += 1
-            elif i < last and spaces == 1:
-                count += self.words[word]
-            else:
-                state, more = machine.run(SPACE * spaces + word, machine.START)
-                count, spaces = count + more, 1
-        return ChunkMap(chunk[:at], count, state)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """The map of two chunks that follow each other."""
-        if a.tail is None:
-            whole = a.head + b.head
-            return self.chunk_map(whole) if b.tail is None else self._join(self.chunk_map(whole), b)
-        state, more = self.machine.run(b.head, a.tail)
-        return ChunkMap(a.head, a.count + more + b.count, state if b.tail is None else b.tail)
-
-    @staticmethod
-    def _join(a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """``a`` ends where ``b`` has its first break."""
-        return ChunkMap(a.head, a.count + b.count, b.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> ChunkMap:
+            found += 1
+        state, more = machine.run(text[at : stop if found < 0 else found], state)
+        total += more
+        if found >= 0:
+            rest, spaces = text[found + 1 : stop].split(SPACE), 1
+            last = len(rest) - 1
+            if "" not in rest:
+                total += sum(map(self.words.__getitem__, rest[:-1]))
+                state, more = machine.run(SPACE + rest[-1], machine.START)
+                return ChunkMap(start, stop, seen, total + more, machine.meanings[state])
+            for i, word in enumerate(rest):
+                if not word and i < last:
+                    spaces += 1
+                elif i < last and spaces == 1:
+                    total += self.words[word]
+                else:
+                    state, more = machine.run(SPACE * spaces + word, machine.START)
+                    total, spaces = total + more, 1
+        return ChunkMap(start, stop, seen, total, machine.meanings[state])
+
+    def compose(self, text: str, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+        """The map of two chunks that follow each other: from the end of ``a``, ``b`` is run until it meets its map."""
+        machine, total = self.machine, 0
+        state = machine._state(a.tail)
+        for i, (meaning, count) in enumerate(b.marks):
+            self.composed += 1
+            state, more = machine.run(text[b.start + i], state)
+            total += more
+            if machine.meanings[state] == meaning:
+                return ChunkMap(a.start, b.stop, a.marks, a.count + total + b.count - count, b.tail)
+        at = b.start + len(b.marks)  # not yet: run on to its end
+        self.composed += b.stop - at
+        state, more = machine.run(text[at : b.stop], state)
+        return ChunkMap(a.start, b.stop, a.marks, a.count + total + more, machine.meanings[state])
+
+    def scan(self, text: str, maps: list[ChunkMap]) -> ChunkMap:
         """Combine the maps of a text's chunks pairwise, in as many levels as the logarithm of their number."""
         while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            maps = [self.compose(text, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
     def count(self, text: str | None, chunk: int = CHUNK) -> int:
         if not text:
             return 0
         text = SPACE + text.replace(" ", SPACE)
-        if len(self.machine.meanings) >= MAX_STATES:
-            self.machine.forget()
-        whole = self.scan([self.chunk_map(text[at : at + chunk]) for at in range(0, len(text), chunk)])
-        return self.machine.run(whole.head, self.machine.START)[1] + whole.count
+        marks = MARKS if len(text) > chunk else 0
+        return self.scan(text, [self.chunk_map(text, at, min(at + chunk, len(text)), marks) for at in range(0, len(text), chunk)]).count
 
 
 @lru_cache(1)
@@ -297,7 +318,9 @@ def _counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each row; null and empty texts have no bytes and no tokens.
 
-    Rows are kept as they come, repeated ones and those without an id included; other columns play no part.
+    Rows are kept as they come, repeated ones and those without an id included; other columns play no part, whatever they
+    are called; an empty table gives no rows. Texts of any length are read whole, in chunks; the machine's states and
+    words are bounded however odd the text is.
     """
     counted = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), _counts(F.col(text)).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

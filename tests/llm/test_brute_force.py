@@ -149,6 +149,16 @@ def test_chunk_maps_compose(texts):
         assert [counter.count(t, chunk) for t in odd] == [len(model.encode(t)) for t in odd]
 
 
+@pytest.mark.parametrize("alphabet", ["日本語漢字仮名東京中国人大小上下", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ab", "(){};=.,+function return var"])
+def test_texts_without_breaks(alphabet, monkeypatch):
+    """Chunks without a word break have maps too: composing runs over few characters, and states stay bounded."""
+    monkeypatch.setattr(tokens, "MAX_STATES", 3000)
+    model, counter, rng = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tokens.MODEL)), tokens.Counter(), random.Random(9)
+    text = "".join(rng.choice(alphabet.replace(" ", "")) for _ in range(60_000))
+    assert counter.count(text, 2000) == len(model.encode(text))
+    assert counter.composed < 0.1 * len(text) and len(counter.machine.meanings) <= 3000 + 1
+
+
 def test_packing(spark, sf_dir, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = queries.QUERIES["op9_bestfit_packing"](spark, sf_dir).collect()
@@ -161,7 +171,7 @@ def test_packing(spark, sf_dir, texts):
         for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
             want[i, k] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
     assert got == want
-    assert len({r["sequence_id"] for r in rows}) <= 1.05 * total / 1024 + 2
+    assert len({r["sequence_id"] for r in rows}) <= 1.03 * total / 1024 + 2
 
 
 def test_special_strings_are_one_token():
