@@ -42,6 +42,16 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _products_of(queries: pd.Series, data: pd.Series, width: int) -> np.ndarray:
+    """Inner products of all rows of both, exact: in doubles where these hold them, else in whole numbers of any size, of
+    which those beyond 64 bits count as the largest or smallest such number."""
+    x, y = _matrix(queries, width), _matrix(data, width)
+    if width * np.abs(x).max(initial=0) * np.abs(y).max(initial=0) < 2**53:
+        return x @ y.T
+    whole = lambda column: np.array([[int(c) for c in v] + [0] * (width - len(v)) for v in column], dtype=object)
+    return np.clip(whole(queries) @ whole(data).T, -(2**63), 2**63 - 1)
+
+
 def _assign(pivots: np.ndarray, width: int):
     half = (pivots**2).sum(axis=1) / 2
 
@@ -89,18 +99,18 @@ def _solve(k: int, width: int):
         if not len(queries) or not len(data):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         data = data.sort_values("vec_id", kind="stable")
-        ids, y, asked = data["vec_id"].to_numpy(), _matrix(data["v"], width), queries["vec_id"].to_numpy()
+        ids, asked = data["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
         found = []
         for at in range(0, len(queries), 256):
             mine = asked[at : at + 256]
-            scores = _matrix(queries["v"].iloc[at : at + 256], width) @ y.T
+            scores = _products_of(queries["v"].iloc[at : at + 256], data["v"], width)
             scores[mine[:, None] == ids[None, :]] = -np.inf
             rows = np.arange(len(mine))
             for _ in range(min(k, len(ids))):
                 best = scores.argmax(axis=1)  # the first of equals
                 top = scores[rows, best]
                 ok = top > -np.inf
-                found.append(pd.DataFrame({"query_id": mine[ok], "vec_id": ids[best[ok]], "score": top[ok].astype(np.int64)}))
+                found.append(pd.DataFrame({"query_id": mine[ok], "vec_id": ids[best[ok]], "score": np.array([int(t) for t in top[ok]], dtype=np.int64)}))
                 scores[rows, best] = -np.inf
         return pd.concat(found)
 
@@ -128,7 +138,9 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = TOP_K, vec_id: s
 
     Vectors are quantised first; null ones, empty ones and those with a null or non-finite component, and rows without
     an id, take no part. Rows that repeat an id count once (the smallest vector). Shorter vectors count as filled with
-    zeros. Ties go to the smaller id; with fewer than k candidates all are returned; an empty table gives no rows.
+    zeros. Products are exact whatever their size; a score beyond 64 bits counts as the largest or smallest such number, and
+    so does a component. Ties go to the smaller id; with fewer than k candidates all are returned; other columns play
+    no part, whatever they are called; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), quantised(vector).alias("v")).filter("vec_id is not null and v is not null")

@@ -24,6 +24,8 @@ HALF = 256
 EMBED, FILTERS, HIDDEN = 6, 24, 12
 #: The bound of the sample that the network is fitted on: so many labelled documents, whole.
 SAMPLE_ROWS = 3000
+#: Longer texts are not trained on, and a step's texts are so long at most: both bound the driver's memory.
+SAMPLE_TEXT_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 #: The steps of training, the same for small and large samples.
 STEPS, BATCH, RATE = 600, 32, 0.01
 THRESHOLD = 0.7
@@ -113,7 +115,8 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int =
     for step in range(1, steps + 1 if texts else 1):
         if len(order) < BATCH:
             order += rng.permutation(len(texts)).tolist()
-        rows, order = order[:BATCH], order[BATCH:]
+        fits = max(1, int((np.cumsum([len(texts[i]) for i in order[:BATCH]]) <= BATCH_BYTES).sum()))
+        rows, order = order[:fits], order[fits:]
         grads = gradients(net, [texts[i] for i in rows], labels[rows])
         rate = RATE * (1 - step / (steps + 1)) + 1e-4
         for p, g, (m, v) in zip(net.params(), grads, moments):
@@ -162,11 +165,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """A bounded sample of whole labelled texts: the ``rows`` ids that a hash puts first, none of them held out."""
+    """A bounded sample of whole labelled texts: the ``rows`` ids that a hash puts first, none of them held out.
+
+    Of an id with several labels or texts the smallest counts; null labels and ids and texts over a megabyte are left
+    out, null texts are empty.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id").dropDuplicates(["doc_id"])
-    found = sorted(((r["doc_id"], r["text"] or "", r["quality"]) for r in picked.toLocalIterator()), key=lambda r: r[0])
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    picked = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    found = sorted(((r["doc_id"], r["text"], r["quality"]) for r in picked.toLocalIterator()), key=lambda r: r[0])
     return [t.encode("utf-8", "replace") for _, t, _ in found], np.array([q for *_, q in found])
 
 
@@ -211,6 +219,10 @@ def op3_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """The documents that the network does not reject."""
+    """The documents that the network does not reject, all their columns as they are.
+
+    Each row is judged by its own text: null texts as empty ones, rows without an id and repeated rows like all others;
+    an empty table gives an empty one.
+    """
     columns = docs.columns
     return docs.withColumn("__score", scorer(net)(F.col("text"))).filter(F.col("__score") >= THRESHOLD).select(*columns)

@@ -135,7 +135,12 @@ def test_top_products(spark):
     rows = [(0, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [None, 1.0]), (5, [inf, 0.0]), (6, [float("nan"), 0.0]), (7, []), (8, [1.0]), (0, [0.9, 0.9]), (None, [1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("cell", F.lit(1))
     got = sorted(map(tuple, knn.top_products(vectors, F.col("vec_id") == 0, k=2).collect()))
-    assert got == [(0, 1, 8, 128 * 256), (0, 2, 1, 2 * 128 * 128)] or got == [(0, 1, 1, 32768), (0, 2, 2, 32768)]
+    assert got == [(0, 1, 1, 32768), (0, 2, 2, 32768)]  # of id 0 the smaller vector; ties by id
+    huge = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e8, 1.0]), (2, [1e8, 2.0]), (3, [-1e15, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, knn.top_products(huge, F.col("vec_id") == 0, k=3).collect())) == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2**63 - 1), (0, 3, 3, -(2**63))]
+    large = spark.createDataFrame([(0, [4e5, 1.0]), (1, [4e5, 1.0]), (2, [4e5, 2.0])], "vec_id long, embedding array<double>")
+    first = 256**2 * 16 * 10**10
+    assert sorted(map(tuple, knn.top_products(large, F.col("vec_id") == 0, k=2).collect())) == [(0, 1, 2, first + 2 * 256**2), (0, 2, 1, first + 256**2)]
     assert knn.top_products(vectors.filter("false"), F.col("vec_id") == 0).count() == 0
     assert knn.top_products(vectors, F.col("vec_id") == 77).count() == 0
 
