@@ -98,6 +98,12 @@ def chunk_notes(notes: DataFrame, path: str = "path", text: str = "text", stem:
     })
 
 
+def named_source(rows: DataFrame, repo: str = "repo_name") -> DataFrame:
+    """Give rows a ``source_name``: the one they have, else their repository's name."""
+    given = F.col("source_name") if "source_name" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn("source_name", F.coalesce(given, F.col(repo)))
+
+
 CODE_CHUNKS = ArrayType(StructType([StructField("section_header", StringType()), StructField("symbol_type", StringType()), StructField("part", StringType())]))
 
 

@@ -56,3 +56,29 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str, differs: Col
 def build_decision(force: Column, exists: Column, auto_update: Column, code: Column, docs: Column) -> Column:
     """What to do about a graph: extract, update (code only) or skip."""
     return F.when(force | ~exists, "extract").when(~auto_update | (~code & ~docs), "skip").when(code & ~docs, "update").otherwise("extract")
+
+
+def started(runs: DataFrame, new: DataFrame) -> DataFrame:
+    """``runs`` (``run_id, started_at, finished_at, status, error``) with the new ones (``run_id, started_at``) running."""
+    fresh = new.select("run_id", "started_at", F.lit(None).cast("timestamp").alias("finished_at"), F.lit("running").alias("status"), F.lit(None).cast("string").alias("error"))
+    return runs.unionByName(fresh)
+
+
+def finished(runs: DataFrame, ended: DataFrame) -> DataFrame:
+    """Runs with what ``ended`` (``run_id, finished_at, status, error``, one row a run) tells of them."""
+    told = ended.select("run_id", F.col("finished_at").alias("__at"), F.col("status").alias("__status"), F.col("error").alias("__error"), F.lit(True).alias("__ended"))
+    joined = runs.join(told, "run_id", "left")
+    now = lambda column, new: F.when(F.col("__ended"), F.col(new)).otherwise(F.col(column)).alias(column)
+    return joined.select("run_id", "started_at", now("finished_at", "__at"), now("status", "__status"), now("error", "__error"))
+
+
+def ids_of(rows: DataFrame, key: str, **equal: object) -> DataFrame:
+    """The keys of the rows with these values: chunks of a repository or file, files of a repository."""
+    for column, value in equal.items():
+        rows = rows.filter(F.col(column) == F.lit(value))
+    return rows.select(key)
+
+
+def of_vault(rows: DataFrame, name: str, column: str = "source_name") -> DataFrame:
+    """The rows of the vault of this name, case aside."""
+    return rows.filter(F.lower(column) == name.lower())

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import estimated_tokens
-from gleaner.operators import chunking
-from gleaner.plans.registry import query, table
+from gleaner.functions import lexicons
+from gleaner.functions.text import estimated_tokens, navigates
+from gleaner.operators import chunking, embedding
+from gleaner.plans.registry import SQL_BLANKS, query, sql_list, table
+from gleaner.sources.files import NOTE_DIRS, has_part
 
 
 @query("""with recursive w as (select doc_id, text, length(text) as n, 0::bigint as pos from documents where length(text) > 2000
@@ -60,17 +62,67 @@ def split_lines(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(chunking.line_pieces(F.col("text"))).alias("chunk_index", "piece"))
 
 
-@query()
+@query("""with recursive o as (select source || '/' || (doc_id // 500) as grp, doc_id, length(text)::bigint as chars, row_number() over (partition by source || '/' || (doc_id // 500) order by doc_id) as i from documents),
+w as (select grp, doc_id, chars, i, 0::bigint as batch, 1 as rows, chars as total from o where i = 1
+union all select o.grp, o.doc_id, o.chars, o.i, case when w.rows >= 30 or w.total >= 48000 then w.batch + 1 else w.batch end, case when w.rows >= 30 or w.total >= 48000 then 1 else w.rows + 1 end, case when w.rows >= 30 or w.total >= 48000 then o.chars else w.total + o.chars end
+from w join o on o.grp = w.grp and o.i = w.i + 1) select grp, doc_id, chars, batch from w""")
 def embed_batches(spark, sf_dir):
-    """Tested against a plain version: sums restart at each batch."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return chunking.embedding_batches(docs, "source", "doc_id", "text").withColumnRenamed("n", "chars")
+    """Sources are cut into ranges of 500 numbers, so that no source is walked in one task."""
+    docs = table(spark, sf_dir, "documents").select(F.expr("source || '/' || (doc_id div 500)").alias("grp"), "doc_id", "text")
+    return chunking.embedding_batches(docs, "grp", "doc_id", "text").withColumnRenamed("n", "chars")
+
 
+#: The counters of a run over all files, most of which are unchanged: every third is new or changed, every seventh fails.
+_RUN = "doc_id % 3 = 0", "doc_id % 7 = 0 and doc_id % 3 = 0"
 
-@query("""select source, count(*) as files, count(*) filter (where length(text) >= 50) as kept, sum(length(text))::bigint as chars,
-sum(case when text = '' then 0 else greatest(1, floor(len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) * 1.3::double)::int) end)::bigint as tokens from documents group by source""")
+
+@query(f"""with p as (select *, {_RUN[0]} as fresh, {_RUN[1]} as failed, length(text) >= 50 as kept from documents)
+select source, count(*) as files_scanned, count(*) filter (where fresh and not failed) as files_parsed, count(*) filter (where not fresh) as files_skipped, count(*) filter (where fresh and not failed and kept) as chunks_produced,
+count(*) filter (where fresh and not failed and kept) as chunks_embedded, count(*) filter (where fresh and not failed and kept) as chunks_stored, count(*) filter (where fresh and not kept) as stale_deleted,
+count(*) filter (where failed) as errors, sum(length(text))::bigint as chars, sum(case when text = '' then 0 else greatest(1, floor(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) * 1.3::double)::int) end)::bigint as tokens,
+sum(length(text))::double / 1000 as elapsed_seconds from p group by source""")
 def ingest_summary(spark, sf_dir):
+    """The seven counters of a run, its errors and its time, here a millisecond for each character."""
     docs = table(spark, sf_dir, "documents")
+    fresh, failed, kept = F.expr(_RUN[0]), F.expr(_RUN[1]), F.length("text") >= chunking.MIN_NOTE
+    made = F.count_if(fresh & ~failed & kept)
     return docs.groupBy("source").agg(
-        F.count(F.lit(1)).alias("files"), F.count(F.when(F.length("text") >= chunking.MIN_NOTE, 1)).alias("kept"), F.sum(F.length("text")).alias("chars"), F.sum(estimated_tokens(F.col("text"))).alias("tokens")
-    )
+        F.count(F.lit(1)).alias("files_scanned"), F.count_if(fresh & ~failed).alias("files_parsed"), F.count_if(~fresh).alias("files_skipped"), made.alias("chunks_produced"), made.alias("chunks_embedded"),
+        made.alias("chunks_stored"), F.count_if(fresh & ~kept).alias("stale_deleted"), F.count_if(failed).alias("errors"), F.sum(F.length("text")).alias("chars"), F.sum(estimated_tokens(F.col("text"))).alias("tokens"),
+        (F.sum(F.length("text")) / 1000).alias("elapsed_seconds"),
+    )
+
+
+@query("""select doc_id, 32 as dims, round(list_sum(list_transform(range(32), lambda i: round((('0x' || substr(sha256(text), 2 * i + 1, 2))::int / 255.0::double), 6))), 4) as total from documents""")
+def embed_docs(spark, sf_dir):
+    """Documents through the stand-in for an embedding model."""
+    found = embedding.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.round(x.cast("double"), 6))
+    return found.select("doc_id", F.size("embedding").alias("dims"), F.round(total, 4).alias("total"))
+
+
+@query("""select doc_id, coalesce(source_name, source) as source_name from (select doc_id, source, case when doc_id % 2 = 0 then 'vault' || doc_id % 3 end as source_name from documents)""")
+def source_names(spark, sf_dir):
+    """The name a file's source is given, else its repository's."""
+    docs = table(spark, sf_dir, "documents").withColumn("source_name", F.expr("case when doc_id % 2 = 0 then 'vault' || doc_id % 3 end"))
+    return chunking.named_source(docs, "source").select("doc_id", "source_name")
+
+
+_NAV = "case doc_id % 4 when 0 then '[[a]]' || chr(10) || chr(10) || '- [[b]]' || chr(10) || substr(text, 1, 60) when 1 then '[[a]]' || chr(10) || '[[b]]' || chr(10) || substr(text, 1, 60) when 2 then ' ' || chr(10) else text end"
+
+
+@query(f"""with n as (select doc_id, case when doc_id % 9 = 0 then {sql_list(lexicons.NAVIGATION_SECTIONS)}[1] else source end as section, {_NAV} as t from documents),
+l as (select *, list_filter(list_transform(string_split(replace(t, chr(13), chr(10)), chr(10)), lambda x: trim(x, {SQL_BLANKS})), lambda x: x <> '') as lines from n)
+select doc_id, list_contains({sql_list(lexicons.NAVIGATION_SECTIONS)}, section) or len(lines) = 0 or len(list_filter(lines, lambda x: contains(x, '[[') and contains(x, ']]') and length(x) < 80)) / len(lines) > 0.6 as navigates from l""")
+def nav_chunk(spark, sf_dir):
+    section = F.when(F.col("doc_id") % 9 == 0, lexicons.NAVIGATION_SECTIONS[0]).otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", navigates(section, F.expr(_NAV)).alias("navigates"))
+
+
+@query(f"""select doc_id, path, regexp_extract(path, '([^/]+)\\.md$', 1) as stem from (select doc_id, case doc_id % 5 when 0 then '.obsidian/' || doc_id || '.md' when 1 then 'a/.trash/x/' || doc_id || '.md' when 2 then 'notes/' || doc_id || '.txt' else source || '/' || doc_id || '.md' end as path from documents)
+where path like '%.md' and not list_has_any(string_split(path, '/'), {sql_list(NOTE_DIRS)})""")
+def scan_notes(spark, sf_dir):
+    """Which paths are notes: what the scan of a folder keeps."""
+    path = F.expr("case doc_id % 5 when 0 then '.obsidian/' || doc_id || '.md' when 1 then 'a/.trash/x/' || doc_id || '.md' when 2 then 'notes/' || doc_id || '.txt' else source || '/' || doc_id || '.md' end")
+    rows = table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).filter(F.endswith(F.col("path"), F.lit(".md")) & ~has_part(F.col("path"), NOTE_DIRS))
+    return rows.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.md$", 1))

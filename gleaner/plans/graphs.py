@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import lexicons
-from gleaner.operators import graph
+from gleaner.operators import export, graph
 from gleaner.operators.ranking import top_k
 from gleaner.plans.registry import query, sql_list, table
+from gleaner.sources.graph_json import parsed_nodes
 
 #: Symbols are parts, in the file of their type and the community of their brand; the repository is their brand's first digit.
 _NODE = {
@@ -168,6 +169,27 @@ def graph_only(spark, sf_dir):
     return best.select("repo", "id", "label", "source_file", F.lit(0.5).alias("score"), "rank")
 
 
+@query(f"""with {_GRAPH}, w as (select repo, source as id from e union all select repo, target from e), d as (select repo, id, count(*) as degree from w group by all),
+g as (select d.*, n.label, n.source_file, n.community, row_number() over (partition by d.repo order by degree desc, ord) as rank from d join n using (repo, id)),
+b as (select repo, source as id, target as other, relation, 'out' as way, ord from e union all select repo, target, source, relation, 'in', ord from e where source <> target),
+r as (select b.*, coalesce(n.label, other) as name, row_number() over (partition by b.repo, b.id, way order by b.ord, other) as rank from b left join n on b.repo = n.repo and b.other = n.id),
+t as (select repo, id, string_agg('- `' || name || '` ← ' || relation, chr(10) order by rank) filter (where way = 'out') as o, string_agg('- `' || name || '` → ' || relation, chr(10) order by rank) filter (where way = 'in') as i from r where rank <= 15 group by all)
+select g.repo, g.id, g.repo || '/nodes/' || regexp_replace(label, '[\\\\/:*?"<>|#\\[\\]^]', '_', 'g') || '.md' as path, '---' || chr(10) || 'repo: ' || g.repo || chr(10) || 'symbol: "' || label || '"' || chr(10) || 'source_file: "' || source_file || '"' || chr(10) || 'degree: ' || degree || chr(10) || 'community: ' || community || chr(10)
+|| 'tags: [god-node]' || chr(10) || '---' || chr(10) || chr(10) || '# `' || label || '`' || chr(10) || chr(10) || '> [[../Overview]] | [[../Community-' || community || ']] | Degree: ' || degree || chr(10) || chr(10) || '**Ficheiro:** `' || source_file || '`' || chr(10)
+|| coalesce(chr(10) || '## Chamadas / Dependências (outgoing)' || chr(10) || chr(10) || o || chr(10), '') || coalesce(chr(10) || '## Usado por (incoming)' || chr(10) || chr(10) || i || chr(10), '') as note
+from g left join t on g.repo = t.repo and g.id = t.id where g.rank <= 5""")
+def node_notes(spark, sf_dir):
+    """A Markdown note for each of the best connected symbols of each repository."""
+    return export.node_notes(gods(spark, sf_dir), nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query(f"""with {_GRAPH} select repo, id, label, source_file, community, ord from n""")
+def graph_load(spark, sf_dir):
+    """Nodes out of JSON documents of their repositories, here one document a node."""
+    node = F.struct("id", "label", "source_file", "community", F.col("ord").cast("long").alias("ord"))
+    return parsed_nodes(nodes(spark, sf_dir).select("repo", F.to_json(F.struct(F.array(node).alias("nodes"))).alias("document")))
+
+
 @query()
 def graph_context(spark, sf_dir):
     """What the graph says about its best connected symbols; tested on a fixture."""

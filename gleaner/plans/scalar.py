@@ -27,7 +27,7 @@ def _sql_graph(chars: str) -> str:
     return f"(list_has_any({_sql_words(chars)}, {sql_list(lexicons.GRAPH_WORDS)}) or {_sql_phrases(lexicons.GRAPH_PHRASES)})"
 
 
-_COMPLEX = f"""case when {_sql_graph(".,!?")} or {_sql_phrases((" and ", " or ", " not ", " && ", " || "))}
+COMPLEX = f"""case when {_sql_graph(".,!?")} or {_sql_phrases((" and ", " or ", " not ", " && ", " || "))}
   or length(text) - length(replace(text, '?', '')) > 1 or len(list_filter({_SPLIT}, lambda w: w <> '')) > 8 then 'complex'
   when len(list_filter({_SPLIT}, lambda w: w <> '')) <= 3 then 'simple' else 'normal' end"""
 _PUNCTUATION = ".,!?:;\"'()[]"
@@ -61,12 +61,12 @@ def keywords(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.keywords(F.col("text")).alias("keywords"))
 
 
-@query(f"select conv_id, turn, {_COMPLEX} as complexity from conversations")
+@query(f"select conv_id, turn, {COMPLEX} as complexity from conversations")
 def complexity(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.complexity(F.col("text")).alias("complexity"))
 
 
-@query(f"""with c as (select conv_id, turn, {_COMPLEX} as kind from conversations), n as (select count(*) as size from documents),
+@query(f"""with c as (select conv_id, turn, {COMPLEX} as kind from conversations), n as (select count(*) as size from documents),
 k as (select conv_id, turn, size, case kind when 'simple' then 3 when 'complex' then 20 else 10 end as k from c, n)
 select conv_id, turn, k, case when size <= 1000 then k else greatest(3, least(30, floor(k * (1 + log10(size / 1000)))::int)) end as scaled from k""")
 def adaptive_k(spark, sf_dir):

@@ -10,7 +10,8 @@ from gleaner.functions import lexicons, text
 from gleaner.functions.vectors import cosine
 from gleaner.operators import ranking, sparse
 from gleaner.operators.ordering import checkpoint_folder, checkpointed
-from gleaner.plans.registry import query, sql_list, table
+from gleaner.plans.registry import SQL_BLANKS, query, sql_list, table
+from gleaner.plans.scalar import COMPLEX as _COMPLEX
 
 K = 10
 #: Folders of stored indexes by application and input.
@@ -244,15 +245,54 @@ def existing_ids(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id")
 
 
-@query(f"""with {_SPARSE}, rr as (select query_id, doc_id, score, max(score) over (partition by query_id) as best from br where rank <= 20), tt as (select * from rr where score >= greatest(0.45::double, best * 0.75::double)),
-e as (select query_id, doc_id, score, source, case when text = '' then 0 else greatest(1, floor(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) * 1.3::double)::int) end as tokens from tt join documents using (doc_id)),
-u as (select *, row_number() over v as rank, sum(tokens) over v as used from e window v as (partition by query_id order by score desc, doc_id rows unbounded preceding))
-select query_id, doc_id, source, score, tokens, rank::int as rank from u where rank = 1 or used <= 4000""")
+_BOUNDS = "k as (select query_id, case when size <= 1000 then k else greatest(3, least(30, floor(k * (1 + log10(size / 1000)))::int)) end as k from (select item_id as query_id, case {kind} when 'simple' then 3 when 'complex' then 20 else 10 end as k, (select count(*) from documents) as size from benchmark))"
+
+
+@query(f"""with {_BM25}, {_BOUNDS.replace("{kind}", _COMPLEX)},
+kw as (select item_id, text, list_filter(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda v: trim(v, '.,!?:;"''()[]')), lambda v: v <> ''), lambda v: not list_contains({sql_list(lexicons.STOP_WORDS)}, v) and length(v) > 2) as k from benchmark),
+a as (select item_id as query_id, 0 as variant, text from benchmark union all select item_id, 1, t from (select item_id, text, case when len(k) > 0 then array_to_string(k, ' ') else text end as t from kw) where t <> lower(text) and length(t) > 3),
+qt as (select query_id, variant, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) as term from a), qc as (select query_id, variant, term, count(*) as tf from qt where not list_contains({sql_list(lexicons.STOP_WORDS)}, term) group by all),
+qw as (select query_id, variant, term, idf * tf * 2.5::double / (tf + 1.5::double) as query_weight from qc join w using (term)),
+b as (select query_id, variant, doc_id, round(sum(weight * query_weight), 6) as score from x join qw using (term) group by all),
+d as (select q.vec_id as query_id, 0 as variant, e.vec_id as doc_id, {_COSINE} as score from embeddings e, embeddings q where q.vec_id in (select item_id from benchmark)),
+u as (select *, row_number() over (partition by query_id, variant, side order by score desc, doc_id) as rank from (select *, 'b' as side from b union all select *, 'd' from d)),
+f as (select query_id, variant, doc_id, round(sum(1.0::double / (2 + rank - 1)), 6) as score from u join k using (query_id) where rank <= 2 * least(3 * k, 50) group by all),
+h as (select * from (select *, row_number() over (partition by query_id, variant order by score desc, doc_id) as rank from f) join k using (query_id) where rank <= least(3 * k, 50)),
+m as (select query_id, doc_id, any_value(k) as k, max(score) as score from h group by query_id, doc_id),
+lt as (select m.*, source, text, list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: trim(x, {SQL_BLANKS})), lambda x: x <> '') as lines from m join documents using (doc_id)),
+na as (select * from lt where len(lines) > 0 and len(list_filter(lines, lambda x: contains(x, '[[') and contains(x, ']]') and length(x) < 80)) / len(lines) <= 0.6),
+th as (select * from (select *, max(score) over (partition by query_id) as best from na) where score >= greatest(0.45::double, best * 0.75::double) and best >= 0.5::double),
+ck as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from th) where rank <= k),
+e as (select query_id, doc_id, score, source, case when text = '' then 0 else greatest(1, floor(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) * 1.3::double)::int) end as tokens from ck),
+o as (select *, row_number() over v as rank, sum(tokens) over v as used from e window v as (partition by query_id order by score desc, doc_id rows unbounded preceding))
+select query_id, doc_id, source, score, tokens, rank::int as rank from o where rank = 1 or used <= 4000""")
 def retrieve(spark, sf_dir):
-    """The flagship: every benchmark question is searched, thresholded, gated and cut to its token budget."""
-    found = checkpointed(ranking.top_k(bm25_scores(spark, sf_dir), ["query_id"], 20, F.desc("score"), F.col("doc_id")).drop("rank"))  # read by each step below
-    good = ranking.above_dynamic_threshold(found, ["query_id"], "score")
-    gate = ranking.relevance_gate(good, ["query_id"], "score").filter("accepted").select("query_id")
+    """The flagship, for every benchmark question: how many results it wants; dense and sparse lists of the question, and a
+    sparse list of its keywords, fused by rank; the best of each passage; no navigation; threshold, gate, token budget."""
+    size = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("size"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    wanted = asked.crossJoin(F.broadcast(size)).select("query_id", text.scaled_k(text.adaptive_k(text.complexity(F.col("text")), K), F.col("size")).alias("k"))
+    wanted = checkpointed(wanted.withColumn("more", F.least(3 * F.col("k"), F.lit(50))))
+    counts, stats, weights = bm25_parts(spark, sf_dir)
+    terms = sparse.term_counts(asked_variants(asked).withColumn("asked", F.struct("query_id", "variant")), "asked", text.tokenize(F.col("text"))).filter(~F.col("term").isin(lexicons.STOP_WORDS))
+    terms = checkpointed(terms)
+    worded = sparse.sparse_scores(sparse.document_weights(counts, weights, stats, "doc_id", terms.select("term")), sparse.query_weights(terms, weights, "asked"), "doc_id", "asked")
+    vectors = table(spark, sf_dir, "embeddings")
+    near = ranking.dense_pairs(vectors, vectors.join(asked, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 100)
+    near = near.select(F.struct("query_id", F.lit(0).alias("variant")).alias("asked"), F.col("vec_id").alias("doc_id"), "score")
+    lists = [_first(found, wanted, 2 * F.col("more")) for found in (near, worded)]
+    fused = ranking.fused(lists, "asked", "doc_id", 50)
+    best = _first(fused.drop("rank"), wanted, F.col("more")).groupBy("asked.query_id", "doc_id").agg(F.max("score").alias("score"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    kept = ranking.within_budget(good.join(gate, "query_id", "left_semi").join(docs, "doc_id"), ["query_id"], "text", 4000, F.desc("score"), F.col("doc_id"))
+    told = checkpointed(best.join(docs, "doc_id").filter(~text.navigates(F.lit(""), F.col("text"))))
+    good = ranking.above_dynamic_threshold(told, ["query_id"], "score")
+    gate = ranking.relevance_gate(good, ["query_id"], "score").filter("accepted").select("query_id")
+    first = ranking.top_k(good.join(gate, "query_id", "left_semi").join(wanted, "query_id"), ["query_id"], F.col("k"), F.desc("score"), F.col("doc_id"))
+    kept = ranking.within_budget(first.drop("rank"), ["query_id"], "text", 4000, F.desc("score"), F.col("doc_id"))
     return kept.select("query_id", "doc_id", "source", "score", "tokens", "rank")
+
+
+def _first(found, wanted, k):
+    """The first rows of each variant of a question, as many as the question wants."""
+    sized = found.withColumn("query_id", F.col("asked.query_id")).join(F.broadcast(wanted) if wanted.count() <= 100_000 else wanted, "query_id").withColumn("__k", k)
+    return ranking.top_k(sized, ["asked"], F.col("__k"), F.desc("score"), F.col("doc_id")).select("asked", "doc_id", "score", "rank")

@@ -109,3 +109,24 @@ def delete_ids(spark, sf_dir):
 def labelled_documents(spark, sf_dir):
     labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
     return labels.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("quality").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("""select event_id as run_id, ts as started_at, case when event_type = 'purchase' then ts + interval 5 minute when event_type = 'click' then ts + interval 1 minute end as finished_at,
+case event_type when 'purchase' then 'completed' when 'click' then 'failed' else 'running' end as status, case event_type when 'click' then 'stopped' end as error from events""")
+def run_log(spark, sf_dir):
+    """Runs that are started, of which some end: events stand for runs."""
+    events = table(spark, sf_dir, "events")
+    none = spark.createDataFrame([], "run_id long, started_at timestamp, finished_at timestamp, status string, error string")
+    runs = manifest.started(none, events.select(F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started_at")))
+    end = lambda kind, wait, status, error: events.filter(F.col("event_type") == kind).select(F.col("event_id").alias("run_id"), (F.col("ts") + F.expr(f"interval {wait} minute")).cast("timestamp").alias("finished_at"), F.lit(status).alias("status"), F.lit(error).cast("string").alias("error"))
+    return manifest.finished(runs, end("purchase", 5, "completed", None).unionByName(end("click", 1, "failed", "stopped")))
+
+
+@query(f"with {_SNAPSHOTS} select path from k where source = 'src1'")
+def repo_ids(spark, sf_dir):
+    return manifest.ids_of(known(spark, sf_dir), "path", source="src1")
+
+
+@query("select doc_id from documents where lower(source) = 'src2'")
+def vault_rows(spark, sf_dir):
+    return manifest.of_vault(table(spark, sf_dir, "documents").withColumnRenamed("source", "source_name"), "SRC2").select("doc_id")

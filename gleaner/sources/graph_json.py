@@ -10,6 +10,8 @@ SCHEMA = (
     "links array<struct<source:string,target:string,relation:string,confidence:string,weight:double>>"
 )
 
+NODES = "nodes array<struct<id:string,label:string,source_file:string,community:string,ord:bigint>>"
+
 
 def read_graph(spark: SparkSession, path: str, repo: str) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables of one graph; malformed files give empty tables."""
@@ -18,3 +20,18 @@ def read_graph(spark: SparkSession, path: str, repo: str) -> tuple[DataFrame, Da
     edges = raw.select(F.lit(repo).alias("repo"), F.posexplode("links").alias("ord", "e")).select("repo", "ord", "e.*").filter("source is not null and target is not null")
     defaults = {"relation": "related_to", "confidence": "EXTRACTED"}
     return nodes.fillna("", ["source_file", "label"]), edges.fillna(defaults).fillna({"weight": 1.0})
+
+
+def parsed_nodes(documents: DataFrame) -> DataFrame:
+    """The nodes of graph documents that are texts (``repo, document``); malformed ones have none."""
+    found = documents.select("repo", F.from_json("document", NODES).alias("g")).select("repo", F.explode("g.nodes").alias("n")).select("repo", "n.*")
+    return found.filter("id is not null").fillna("", ["source_file", "label"])
+
+
+def write_summaries(summaries: DataFrame, folder: str) -> None:
+    """Community summaries (``repo, community, summary``) as JSON; the write is committed as a whole or not at all."""
+    summaries.select("repo", "community", "summary").write.mode("overwrite").json(folder)
+
+
+def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("repo string, community string, summary string").json(folder)

@@ -1,7 +1,8 @@
 """A collection of passages and vectors as versions of a Parquet table.
 
-Each write makes a new version next to the last and then names it in a pointer file, so readers never see half a write;
-old versions beyond the retained ones go.
+Each write makes a new version next to the last, which counts once its job has committed, so readers never see half a
+write; old versions beyond the retained ones go. One writer at a time; a write costs the size of the collection, so
+changes are best gathered into few writes.
 """
 
 from __future__ import annotations
@@ -53,6 +54,22 @@ class Collection:
             self.write(manifest.deleted(self.read(), keys, self.key))
         return asked
 
+    def backup(self, folder: str, name: str, keep: int = KEPT) -> list[str]:
+        """Copy the newest version to ``folder/name``; of all backups there the ``keep`` with the last names stay."""
+        self.read().write.mode("overwrite").parquet(f"{folder}/{name}")
+        names = sorted((s.getPath().getName() for s in self._fs.listStatus(self._path(folder))), reverse=True)
+        for old in names[keep:]:
+            self._fs.delete(self._path(f"{folder}/{old}"), True)
+        return names[:keep]
+
+    def restore(self, folder: str, name: str) -> None:
+        self.write(self.spark.read.parquet(f"{folder}/{name}"))
+
+    def ensure(self, schema: str) -> None:
+        """Make an empty collection where there is none."""
+        if not self.versions():
+            self.write(self.spark.createDataFrame([], schema))
+
     def count(self, **equal: object) -> int:
         rows = self.read()
         for column, value in equal.items():

@@ -14,19 +14,42 @@ from gleaner.operators import governor
 from gleaner.sources.store import Collection
 
 
-def ingest(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], store: Collection, checkpoint: str) -> StreamingQuery:
-    """Chunk the files of each micro-batch and upsert the chunks by id: a batch that runs again changes nothing."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
+def ingest(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], store: Collection, checkpoint: str, every: str | None = None, errors: str | None = None) -> StreamingQuery:
+    """Chunk the files of each micro-batch and upsert the chunks by id: a batch that runs again changes nothing.
+
+    What is there is read at once and the query ends; with ``every`` it goes on, a batch in each such time. With
+    ``errors``, a folder of JSON, a batch that fails is told there (its number, files and error) and the next goes on;
+    else it ends the query.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        try:
             store.upsert(chunk(batch))
+        except Exception as error:  # a model, parser or store may fail in any way
+            if errors is None:
+                raise
+            told = batch.select("path").withColumns({"batch": F.lit(number), "error": F.lit(str(error)[:2000])})
+            told.write.mode("append").json(errors)
+
+    writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def watched(query: StreamingQuery, seconds: float) -> bool:
+    """Let a query run for so long at most; whether it ended by itself."""
+    ended = query.awaitTermination(seconds)
+    if not ended:
+        query.stop()
+    return bool(ended)
 
 
-def note_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New Parquet files of notes (``path, stem, text``); edits in place are found by a snapshot comparison instead."""
-    return spark.readStream.schema("path string, stem string, text string").parquet(folder)
+def note_stream(spark: SparkSession, folder: str, files_a_batch: int | None = None) -> DataFrame:
+    """New Parquet files of notes (``path, stem, text``), so many in a micro-batch; edits in place are found by a snapshot
+    comparison instead."""
+    reader = spark.readStream.schema("path string, stem string, text string")
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(folder)
 
 
 def windowed_load(samples: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
