@@ -51,8 +51,11 @@ def embedded(passages: DataFrame, text: str, embed: Callable[[list[str]], np.nda
     @pandas_udf(ArrayType(FloatType()))
     def vectors(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for column in columns:
-            known = column.dropna()
-            found = [v for part in batches(known.tolist(), rows, chars) for v in np.asarray(tried(embed, part, waits), dtype=np.float32)]
-            yield pd.Series(found, index=known.index, dtype=object).reindex(column.index)
+            out = np.full(len(column), None, dtype=object)
+            known = np.flatnonzero(column.notna())
+            found = [v for part in batches(column.iloc[known].tolist(), rows, chars) for v in np.asarray(tried(embed, part, waits), dtype=np.float32)]
+            for at, vector in zip(known, found):
+                out[at] = vector
+            yield pd.Series(out)
 
     return passages.withColumn("embedding", vectors(F.col(text)))

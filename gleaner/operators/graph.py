@@ -15,6 +15,8 @@ from gleaner.operators.ordering import checkpointed
 from gleaner.operators.ranking import ranked, top_k
 
 LEAST_MEMBERS = 5
+#: Of paths that end with one another so many last characters at most are the key of their join.
+PATH_TAIL = 24
 
 
 def labelled(edges: DataFrame, nodes: DataFrame, end: str, name: str) -> DataFrame:
@@ -119,7 +121,7 @@ def match_chunks(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
 
     1: same file and label. 2: same label, one path ends with the other. 3: such paths, and one label lies in the other.
     Within a tier the first node wins; of nodes with the same file and label the last one counts. The equi-join on
-    labels serves the first two tiers; only chunks without a match there meet their repository's nodes by path.
+    labels serves the first two tiers; only chunks without a match there are joined by the ends of paths.
     """
     index = nodes.filter("source_file <> '' and label <> ''").withColumn("norm", normal_label(F.col("label")))
     index = index.groupBy("repo", "source_file", "norm").agg(F.max_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
@@ -130,7 +132,15 @@ def match_chunks(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     first = by_label.withColumn("tier", tier).groupBy("chunk_id").agg(F.min_by(F.struct("id", "tier"), F.struct("tier", "ord")).alias("m"))
     left = asked.join(first.select("chunk_id"), "chunk_id", "left_anti")
     inside = F.contains(F.col("norm"), F.col("asked")) | F.contains(F.col("asked"), F.col("norm"))
-    by_path = left.join(index, (left["repo"] == index["repo"]) & ends & inside).groupBy("chunk_id").agg(F.min_by("id", F.col("ord")).alias("id"))
+    # Paths that end with one another end in the same characters: those of the shorter one, so its last ones are the key.
+    short = checkpointed(index.groupBy(F.least(F.length("source_file"), F.lit(PATH_TAIL)).alias("n")).count())
+    sizes = [r["n"] for r in short.select("n").union(left.select(F.least(F.length("source_path"), F.lit(PATH_TAIL)))).distinct().collect()]  # PATH_TAIL numbers at most
+    lengths = F.array(*(F.lit(n) for n in sorted(sizes))) if sizes else F.array().cast("array<int>")
+    keyed = lambda df, column: df.withColumn("n", F.explode(F.filter(lengths, lambda n: n <= F.length(column)))).withColumn("tail", F.expr(f"substring({column}, -n, n)"))
+    least = F.least(F.length("source_file"), F.length("source_path"), F.lit(PATH_TAIL))
+    asked_keys, index_keys = keyed(left, "source_path"), keyed(index, "source_file").withColumnRenamed("repo", "__repo").withColumnRenamed("n", "__n").withColumnRenamed("tail", "__tail")
+    met = asked_keys.join(index_keys, (F.col("repo") == F.col("__repo")) & (F.col("n") == F.col("__n")) & (F.col("tail") == F.col("__tail")) & (F.col("n") == least) & ends & inside)
+    by_path = met.groupBy("chunk_id").agg(F.min_by("id", F.col("ord")).alias("id"))
     return first.select("chunk_id", "m.id", "m.tier").unionByName(by_path.select("chunk_id", "id", F.lit(3).alias("tier")))
 
 

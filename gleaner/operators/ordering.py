@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, one machine) is a folder of our own set.
+    Only where that setting is absent on one machine (tests) is a folder of our own set: on a cluster the executors would
+    not see it, so its absence there is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gleaner-checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gleaner-checkpoints-"))
     return sc.getCheckpointDir()
 
 

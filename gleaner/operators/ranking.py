@@ -78,10 +78,10 @@ def dense_pairs(vectors: DataFrame, queries: DataFrame, k: int | None = None) ->
     found = None
     for block in range(blocks):
         asked = [(r["query_id"], r["query"]) for r in dealt.filter(F.col("block") == block).collect()]  # about QUERY_BLOCK rows
-        if asked or (found is None and block == blocks - 1):
-            part = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(_block_scores(asked or [(-1, [0.0])], k), "query_id long, vec_id long, score double")
+        if asked:
+            part = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(_block_scores(asked, k), "query_id long, vec_id long, score double")
             found = part if found is None else found.unionByName(part)
-    return found
+    return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double") if found is None else found
 
 
 def fused(lists: list[DataFrame], by: str, item: str, k: int, constant: int = RRF_K) -> DataFrame:
