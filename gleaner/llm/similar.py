@@ -1,8 +1,9 @@
 """Near-duplicate texts by verified similarity: five words, Jaccard similarity of 0.8 or more.
 
 Candidates come from ball hashing of SimHash fingerprints, as in ``simhash``, and, because texts at 0.8 lie 5 to 11 bits
-apart and no ball that can be emitted reaches so far, from bands of minimum hashes too. Each candidate pair is verified
-on the two whole sets of shingles; verified links make components, of which one row stays.
+apart and no ball that can be emitted reaches so far, from bands of minimum hashes too: each text of a bucket is paired
+with the bucket's centres. Each candidate pair is verified on the two whole sets of shingles; verified links make
+components, of which one row stays.
 """
 
 from __future__ import annotations
@@ -62,26 +63,29 @@ def _text_key(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
-def _stars(rows: DataFrame, key: str) -> DataFrame:
-    """``u, v``: each node of a bucket with the bucket's smallest node and with the one a hash puts first.
+def bucket_members(texts: DataFrame) -> DataFrame:
+    """``bucket, node, members``: the texts (``node, fingerprint, bands``) that share a band or a fingerprint with others."""
+    every = F.concat("bands", F.array(F.xxhash64(F.lit(-1), "fingerprint")))
+    rows = texts.select("node", F.explode(every).alias("bucket"))
+    shared = checkpointed(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    return checkpointed(join_spread(rows, shared.withColumn("copies", F.col("members")), "bucket", "copies"))
 
-    Two centres, so that a centre that is like none of the others doesn't hide links; buckets are never paired out.
-    """
-    centres = rows.groupBy(key).agg(F.min("node").alias("a"), F.min_by("node", F.xxhash64(F.lit(3), "node")).alias("b"), F.count(F.lit(1)).alias("members"))
-    met = join_spread(rows, checkpointed(centres.filter("members > 1")), key, "members")
-    pairs = met.select("node", F.explode(F.array("a", "b")).alias("other")).filter("node <> other")
-    return pairs.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+
+def _star(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """``u, v``: each member of a bucket with the heaviest (``node, weight``); buckets are never paired out."""
+    weighed = members.join(weights, "node", "left")
+    rank = F.struct(F.coalesce("weight", F.lit(0)).cast("long"), F.xxhash64(F.lit(3), "node"))
+    centres = checkpointed(weighed.groupBy("bucket").agg(F.max_by("node", rank).alias("centre"), F.count(F.lit(1)).alias("rows")))
+    pairs = join_spread(members.select("bucket", "node"), centres, "bucket", "rows").filter("node <> centre")
+    return pairs.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """``u, v``: pairs of ``texts`` (``node, fingerprint, bands``) that may be similar, each once."""
-    banded = texts.select("node", F.explode("bands").alias("band"))
-    same = _stars(texts.select("node", "fingerprint"), "fingerprint")
+def ball_pairs(texts: DataFrame) -> DataFrame:
+    """``u, v``: a text of each of two fingerprints within the ball's reach."""
     owner = checkpointed(texts.groupBy("fingerprint").agg(F.min("node").alias("node")))
-    links = fingerprint_links(owner)
     ends = lambda side, name: owner.select(F.col("fingerprint").alias(side), F.col("node").alias(name))
-    near = links.join(ends("a", "u"), "a").join(ends("b", "v"), "b").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    return _stars(banded, "band").unionByName(same).unionByName(near).distinct()
+    near = fingerprint_links(owner).join(ends("a", "u"), "a").join(ends("b", "v"), "b")
+    return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -104,15 +108,22 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     keyed = docs.withColumn(KEY, _text_key(text))
     name = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"))
     sketched = keyed.select(name.alias("name"), KEY, _sketches(F.col(text)).alias("s")).select(KEY, "name", "s.fingerprint", "s.bands")
-    texts = sketched.groupBy(KEY).agg(F.min("name").alias("name"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    texts = sketched.groupBy(KEY).agg(F.min("name").alias("name"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     texts = checkpointed(texts.withColumn("node", F.monotonically_increasing_id()))
-    pairs = checkpointed(candidates(texts))
+    members = bucket_members(texts)
+    # Near copies are often like their original and not like each other, so that the centre matters: the text with most
+    # copies, the one a hash puts first, and in a second round the one with most verified links.
+    pairs = _star(members, texts.select("node", F.col("copies").alias("weight"))).unionByName(_star(members, texts.select("node", F.lit(0).alias("weight"))))
+    pairs = checkpointed(pairs.unionByName(ball_pairs(texts)).distinct())
     wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", KEY, F.col("name.id").alias("id")), "node"))
     # One row has each of these texts: that of the smallest id.
     picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     found = keyed.select(F.col(doc_id).alias("mine"), KEY, F.col(text).alias("text")).join(picked, KEY).filter(F.col("mine").eqNullSafe(F.col("id")))
-    sets = found.select("node", _shingle_sets(F.col("text")).alias("shingles")).dropDuplicates(["node"])
-    parts = connected_components(verified(pairs, checkpointed(sets), similarity), "u", "v")
+    sets = checkpointed(found.select("node", _shingle_sets(F.col("text")).alias("shingles")).dropDuplicates(["node"]))
+    links = checkpointed(verified(pairs, sets, similarity))
+    degrees = checkpointed(links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("weight")))
+    more = _star(members, degrees).distinct().join(pairs, ["u", "v"], "left_anti")
+    parts = connected_components(links.unionByName(verified(more, sets, similarity)), "u", "v")
     labelled = texts.select("node", KEY, "name").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("label")).agg(F.min(F.struct("name", KEY)).alias("kept"))
     row = lambda i, k: F.concat_ws(":", i.cast("string"), k)
     kept = checkpointed(labelled.select(row(F.col("kept.name.id"), F.col(f"kept.{KEY}")).alias(ROW)))
