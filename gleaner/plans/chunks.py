@@ -35,9 +35,27 @@ def header_sections(spark, sf_dir):
     return chunking.header_sections(notes).select("doc_id", "section_index", "header", F.length("body").alias("chars"))
 
 
-@query()
+def _sql_pieces(rows: str, keys: str) -> str:
+    """The windows of long texts of ``rows`` (``keys``, text) as recursive SQL: ``keys, pos, piece``."""
+    window = "substr(text, pos + 1, 2000)"
+    stop = f"case when strpos(reverse({window}), ' .') > 0 and 2000 - strpos(reverse({window}), ' .') - 1 > 0 then 2000 - strpos(reverse({window}), ' .') else 2000 end"
+    return f"""w as (select {keys}, text, length(text) as n, 0::bigint as pos from {rows} where length(text) > 2000
+union all select {keys}, text, n, case when least(stop, n) - 200 > pos and stop < n then stop - 200 else stop end from (select {keys}, text, n, pos, case when pos + 2000 >= n then pos + 2000 else pos + {stop} end as stop from w) where stop < n),
+p as (select {keys}, pos, trim(substr(text, pos + 1, case when pos + 2000 >= n then 2000 else {stop} end), ' ' || chr(10) || chr(9) || chr(13)) as piece from w union all select {keys}, 0, text from {rows} where length(text) <= 2000)"""
+
+
+_BLANK = "' ' || chr(10) || chr(9) || chr(13)"
+
+
+@query(f"""with recursive n as (select doc_id, source || '/' || doc_id || '.md' as path, trim(regexp_replace(trim({_NOTE}, {_BLANK}), '^---\\s*\\n(?s:.*?)\\n---\\s*\\n', ''), {_BLANK}) as t from documents),
+h as (select *, case when regexp_extract(t, '^#\\s+([^\\n]+)', 1) <> '' then trim(regexp_extract(t, '^#\\s+([^\\n]+)', 1)) else doc_id::varchar end as title, string_split(regexp_replace(t, '(^|\\n)(#{{1,3}})[ \\t]+([^\\n]+)', '\\1' || chr(1) || '\\3' || chr(1), 'g'), chr(1)) as q from n where t <> ''),
+x as (select *, unnest(range(0, len(q) // 2 + 1)) as i from h), s as (select path, title, i, case when i = 0 then '' else trim(q[2 * i]) end as header, trim(q[2 * i + 1], {_BLANK}) as text from x),
+b as (select * from s where text <> ''), {_sql_pieces("b", "path, title, i, header")},
+c as (select *, (row_number() over (partition by path, i order by pos) - 1)::int as chunk_index from p where piece <> '')
+select path as source_path, title as note_title, header as section_header, chunk_index, piece as display_text, substr(sha256(path || ':' || header || ':' || chunk_index || ':' || piece), 1, 16) as chunk_id,
+'Nota: ' || title || case when header <> '' then ' | Secção: ' || header else '' end || chr(10) || piece as embedding_text from c where length(trim(piece, {_BLANK})) >= 50""")
 def chunk_notes(spark, sf_dir):
-    """Tested against a plain version: the splitter is sequential."""
+    """Notes through front matter, title, sections, link filter, windows and ids."""
     docs = table(spark, sf_dir, "documents")
     notes = docs.select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"), F.col("doc_id").cast("string").alias("stem"), F.expr(_NOTE).alias("text"))
     return chunking.chunk_notes(notes)
@@ -93,12 +111,12 @@ def ingest_summary(spark, sf_dir):
     )
 
 
-@query("""select doc_id, 32 as dims, round(list_sum(list_transform(range(32), lambda i: round((('0x' || substr(sha256(text), 2 * i + 1, 2))::int / 255.0::double), 6))), 4) as total from documents""")
+@query("""select doc_id, 32 as dims, list_sum(list_transform(range(32), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::int))::bigint as total from documents""")
 def embed_docs(spark, sf_dir):
     """Documents through the stand-in for an embedding model."""
     found = embedding.embedded(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.round(x.cast("double"), 6))
-    return found.select("doc_id", F.size("embedding").alias("dims"), F.round(total, 4).alias("total"))
+    total = F.aggregate("embedding", F.lit(0).cast("long"), lambda s, x: s + F.round(x * 255).cast("long"))
+    return found.select("doc_id", F.size("embedding").alias("dims"), total.alias("total"))
 
 
 @query("""select doc_id, coalesce(source_name, source) as source_name from (select doc_id, source, case when doc_id % 2 = 0 then 'vault' || doc_id % 3 end as source_name from documents)""")
