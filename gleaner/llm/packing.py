@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,9 @@ CAPACITY = 1024
 OPEN_BINS = 4096
 #: Pieces that one task packs; what its last bins leave unfilled is small against them.
 PIECES_A_TASK = 50_000
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY = "byte_bpe_50k"
+SPECIAL = "<|endoftext|>"
+SPECIAL_ID = 50256
 END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -66,12 +69,15 @@ class BestFit:
 
 
 def encoder(name: str = VOCABULARY):
-    """Encodes a text to the ids of the tokenizer file of that name, its special string included, none added."""
+    """Encodes a text to the same ids as the tokenizers library from the .json file of that name, its special string
+    included, none added: the same vocabulary as ranks, which another library encodes several times as fast."""
     import public_tokenizers
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    made = Tokenizer.from_file(public_tokenizers.path(name))
-    return lambda text: np.array(made.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    made = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
+    return lambda text: made.encode_to_numpy(text, allowed_special="all")
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
