@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import chat, decontam, fixity, html_main, knn, packing, quality, sharding, simhash, tokens
+from gleaner.llm import ann, chat, decontam, fixity, html_main, knn, packing, pq_codes, quality, sharding, simhash, spelling, tokens
 
 QUERIES = {
     "op1_preference_format": chat.op1_preference_format,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_simhash_ball": simhash.op8_simhash_ball,
     "op9_bestfit_packing": packing.op9_bestfit_packing,
     "op10_dom_graphical": html_main.op10_dom_graphical,
+    "op11_adaptive_scan": ann.op11_adaptive_scan,
+    "op12_delta_lloyd": pq_codes.op12_delta_lloyd,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 #: The other operators need byte hashes, tokenizers, trained models or graph search, which SQL hasn't: their tests use brute force.
-ORACLES: dict[str, str] = {"op1_preference_format": chat.OP1_SQL, "op6_voronoi_topk": knn.OP6_SQL, "op7_merkle_fixity": fixity.OP7_SQL}
+ORACLES: dict[str, str] = {"op1_preference_format": chat.OP1_SQL, "op6_voronoi_topk": knn.OP6_SQL, "op7_merkle_fixity": fixity.OP7_SQL, "op12_delta_lloyd": pq_codes.OP12_SQL, "op13_spelling_variants": spelling.OP13_SQL}
