@@ -84,28 +84,30 @@ class Trie:
         A state is a place in the word and whether an edit was made; after the edit only the word's own letters lead on.
         """
         first, find, size, found = self.first, self.labels.find, len(word), {}
-        stack = [(0, 0, False, "")]
+        stack: list[tuple[int, int, tuple[int, str, int] | None]] = [(0, 0, None)]
         while stack:
-            node, at, edited, made = stack.pop()
-            if edited:
+            node, at, edit = stack.pop()
+            if edit:
                 while at < size and node >= 0:
                     node, at = find(word[at], first[node], first[node + 1]), at + 1
                 if node >= 0 and self.counts[node]:
-                    found[made] = self.counts[node]
+                    cut, letter, rest = edit
+                    found[word[:cut] + letter + word[rest:]] = self.counts[node]
                 continue
             lo, hi = first[node], first[node + 1]
-            head, rest, own = word[:at], word[at + 1 :], word[at] if at < size else ""
-            then = word[at + 1] if at + 1 < size else ""
+            own, then = word[at : at + 1], word[at + 1 : at + 2]
             for child in range(lo, hi):
                 letter, more, end = self.labels[child], first[child], first[child + 1]
-                if not own or find(own, more, end) >= 0:
-                    stack.append((child, at, True, head + letter + word[at:]))
-                if own and letter != own and (not then or find(then, more, end) >= 0):
-                    stack.append((child, at + 1, True, head + letter + rest))
+                if letter != own:  # a letter put before its like is put after it as well
+                    if not own or find(own, more, end) >= 0:
+                        stack.append((child, at, (at, letter, at)))
+                    if own and (not then or find(then, more, end) >= 0):
+                        stack.append((child, at + 1, (at, letter, at + 1)))
             if own:
-                stack.append((node, at + 1, True, head + rest))
+                if own != then:  # of equal letters in a row the last is deleted
+                    stack.append((node, at + 1, (at, "", at + 1)))
                 if (same := find(own, lo, hi)) >= 0:
-                    stack.append((same, at + 1, False, ""))
+                    stack.append((same, at + 1, None))
         return found
 
 
