@@ -1,9 +1,11 @@
 """Near-duplicate texts by verified similarity: five words, Jaccard similarity of 0.8 or more.
 
 Candidates come from ball hashing of SimHash fingerprints, as in ``simhash``, and, because texts at 0.8 lie 5 to 11 bits
-apart and no ball that can be emitted reaches so far, from bands of minimum hashes too: each text of a bucket is paired
-with the bucket's centres. Each candidate pair is verified on the two whole sets of shingles; verified links make
-components, of which one row stays.
+apart and no ball that can be emitted reaches so far, from bands of minimum hashes too. The texts of a small bucket are
+paired with each other. Those of a larger one are first paired with the bucket's centres; buckets that are then in more
+than one component go through an exact set join by prefixes, in which texts already linked are not compared again.
+Each candidate pair is verified on the two whole sets of shingles; verified links make components, of which one row
+stays.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at 0.8 shares one of 16 bands of 5 minimum hashes with probability 0.998.
 BANDS, BAND_ROWS = 16, 5
+#: Buckets of at most so many texts are paired out; a set has a copy for so many of its pairs.
+SMALL, PAIRS_A_COPY = 16, 500
 #: So many texts with a candidate partner are picked from the documents by a broadcast, more by a shuffle.
 BROADCAST_KEYS = 500_000
 ODD = np.random.default_rng(20240607).integers(0, 1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,13 +75,61 @@ def bucket_members(texts: DataFrame) -> DataFrame:
     return checkpointed(join_spread(rows, shared.withColumn("copies", F.col("members")), "bucket", "copies"))
 
 
+def _ordered(left: str, right: str) -> list[Column]:
+    return [F.greatest(left, right).alias("u"), F.least(left, right).alias("v")]
+
+
+def small_pairs(members: DataFrame) -> DataFrame:
+    """``u, v``: all pairs of buckets of at most ``SMALL`` texts."""
+    few = members.filter(F.col("members") <= SMALL)
+    return few.alias("a").join(few.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") > F.col("b.node"))).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
 def _star(members: DataFrame, weights: DataFrame) -> DataFrame:
     """``u, v``: each member of a bucket with the heaviest (``node, weight``); buckets are never paired out."""
     weighed = members.join(weights, "node", "left")
     rank = F.struct(F.coalesce("weight", F.lit(0)).cast("long"), F.xxhash64(F.lit(3), "node"))
     centres = checkpointed(weighed.groupBy("bucket").agg(F.max_by("node", rank).alias("centre"), F.count(F.lit(1)).alias("rows")))
-    pairs = join_spread(members.select("bucket", "node"), centres, "bucket", "rows").filter("node <> centre")
-    return pairs.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))
+    return join_spread(members.select("bucket", "node"), centres, "bucket", "rows").filter("node <> centre").select(*_ordered("node", "centre"))
+
+
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Add ``label``, the component of each node by the links so far."""
+    return nodes.join(connected_components(links, "u", "v"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def open_texts(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label``: the texts of buckets that the links leave in more than one component."""
+    labelled = checkpointed(_labelled(members.select("bucket", "node"), links))
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("rows")).filter("a <> b")
+    return checkpointed(join_spread(labelled, checkpointed(split.select("bucket", "rows")), "bucket", "rows").select("node", "label").distinct())
+
+
+def prefix_pairs(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``u, v``: every pair of ``texts`` (``node, label``) of different labels that can reach the similarity.
+
+    Shingles are in one order, the rarest among these texts first. Of a pair at ``similarity`` the smaller set's first
+    shingles beyond a share of 2t / (1 + t) and the larger set's beyond t have one in common, and from their first common
+    one on enough are left in both; only what meets so is paired. In a shingle's list the texts of its most frequent
+    label are compared with those of other labels alone.
+    """
+    t = similarity
+    tokens = checkpointed(texts.join(sets, "node").select("node", "label", F.explode("shingles").alias("shingle")))
+    shared = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    order = F.array_sort(F.collect_list(F.struct("df", "shingle")))
+    lists = tokens.join(shared, "shingle").groupBy("node", "label").agg(order.alias("tokens")).withColumn("n", F.size("tokens"))
+    probed = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
+    lists = lists.select("node", "label", "n", F.posexplode(F.slice("tokens", F.lit(1), probed.cast("int"))).alias("at", "token")).filter("token.df > 1")
+    lists = checkpointed(lists.select("node", "label", "n", "at", "token.shingle"))
+    counts = lists.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = checkpointed(counts.groupBy("shingle").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("rows")).filter("labels > 1").drop("labels"))
+    met = checkpointed(join_spread(lists, main, "shingle", "rows").withColumn("minor", F.col("label") != F.col("main")).drop("main"))
+    indexed = met.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1)
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    apart = (a("shingle") == b("shingle")) & (a("label") != b("label")) & (F.struct(a("n"), a("node")) < F.struct(b("n"), b("node"))) & (a("n") >= b("n") * t - 1e-9)
+    enough = F.least(a("n") - a("at"), b("n") - b("at")) >= (a("n") + b("n")) * (t / (1 + t)) - 1e-9
+    pairs = [x.alias("a").join(y.alias("b"), apart & enough).select(*_ordered("a.node", "b.node")) for x, y in ((indexed.filter("minor"), met), (indexed.filter("not minor"), met.filter("minor")))]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 def ball_pairs(texts: DataFrame) -> DataFrame:
@@ -88,11 +140,20 @@ def ball_pairs(texts: DataFrame) -> DataFrame:
     return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """Add the set of one end. An end of many pairs has its set in copies, one for ``PAIRS_A_COPY`` pairs."""
+    copies = checkpointed(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("rows")).withColumn("parts", F.ceil(F.col("rows") / PAIRS_A_COPY).cast("int")))
+    salted = join_spread(pairs, copies, end, "rows").withColumn("salt", F.pmod(F.xxhash64("u", "v"), F.col("parts")).cast("int")).drop("parts")
+    spread = copies.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(name)), end).select(end, name, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    return salted.join(spread, [end, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The ``pairs`` (``u, v``) whose sets of shingles (``node, shingles``) have at least this Jaccard similarity."""
-    side = lambda name, column: sets.select(F.col("node").alias(name), F.col("shingles").alias(column))
-    both = pairs.join(side("u", "su"), "u").join(side("v", "sv"), "v")
-    both = both.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("shared"))
+    sizes = lambda end: sets.select(F.col("node").alias(end), F.size("shingles").alias(f"n{end}"))
+    near = pairs.join(sizes("u"), "u").join(sizes("v"), "v").filter(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
+    both = _with_set(_with_set(checkpointed(near), sets, "u", "su"), sets, "v", "sv")
+    both = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("su", "sv")).alias("shared"))
     return both.filter((F.col("shared") >= similarity * (F.col("nu") + F.col("nv") - F.col("shared"))) | ((F.col("nu") == 0) & (F.col("nv") == 0))).select("u", "v")
 
 
@@ -111,10 +172,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     texts = sketched.groupBy(KEY).agg(F.min("name").alias("name"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     texts = checkpointed(texts.withColumn("node", F.monotonically_increasing_id()))
     members = bucket_members(texts)
+    large = checkpointed(members.filter(F.col("members") > SMALL))
     # Near copies are often like their original and not like each other, so that the centre matters: the text with most
     # copies, the one a hash puts first, and in a second round the one with most verified links.
-    pairs = _star(members, texts.select("node", F.col("copies").alias("weight"))).unionByName(_star(members, texts.select("node", F.lit(0).alias("weight"))))
-    pairs = checkpointed(pairs.unionByName(ball_pairs(texts)).distinct())
+    pairs = _star(large, texts.select("node", F.col("copies").alias("weight"))).unionByName(_star(large, texts.select("node", F.lit(0).alias("weight"))))
+    pairs = checkpointed(pairs.unionByName(small_pairs(members)).unionByName(ball_pairs(texts)).distinct())
     wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", KEY, F.col("name.id").alias("id")), "node"))
     # One row has each of these texts: that of the smallest id.
     picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
@@ -122,8 +184,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     sets = checkpointed(found.select("node", _shingle_sets(F.col("text")).alias("shingles")).dropDuplicates(["node"]))
     links = checkpointed(verified(pairs, sets, similarity))
     degrees = checkpointed(links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("weight")))
-    more = _star(members, degrees).distinct().join(pairs, ["u", "v"], "left_anti")
-    parts = connected_components(links.unionByName(verified(more, sets, similarity)), "u", "v")
+    more = checkpointed(_star(large, degrees).distinct().join(pairs, ["u", "v"], "left_anti"))
+    links = checkpointed(links.unionByName(verified(more, sets, similarity)))
+    rest = open_texts(large, links)
+    if not rest.isEmpty():
+        known = pairs.unionByName(more)
+        links = links.unionByName(verified(checkpointed(prefix_pairs(rest, sets, similarity).join(known, ["u", "v"], "left_anti")), sets, similarity))
+    parts = connected_components(links, "u", "v")
     labelled = texts.select("node", KEY, "name").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("label")).agg(F.min(F.struct("name", KEY)).alias("kept"))
     row = lambda i, k: F.concat_ws(":", i.cast("string"), k)
     kept = checkpointed(labelled.select(row(F.col("kept.name.id"), F.col(f"kept.{KEY}")).alias(ROW)))
