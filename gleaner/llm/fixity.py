@@ -15,6 +15,8 @@ from gleaner.llm.common import checkpointed, read_table
 
 #: Keys of a volume, records of a leaf's range and children of a node: a volume is a node.
 VOLUME, FANOUT = 256, 16
+#: Hexadecimal digits of a digest that are summed together.
+PART = 15
 #: So many differing nodes are sent to all tasks that read the next level; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 #: The head of a WARC response record.
@@ -33,11 +35,22 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(*parts, F.lit(rest), body, F.lit(TAIL))
 
 
+def _folded(digest: Column) -> Column:
+    """The digest of all records of a key: that of the one there is, or one of their number and of the sums of parts of
+    their digests, in which no record's change or loss is hidden and which combines before the shuffle."""
+    sums = (F.sum(F.conv(F.substring(digest, at, PART), 16, 10).cast("decimal(20,0)")).cast("string") for at in range(1, 64 - PART, PART))
+    return F.when(F.count(F.lit(1)) == 1, F.min(digest)).otherwise(F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums), 256))
+
+
 def record_table(pages: DataFrame) -> DataFrame:
-    """``key, url, digest, length`` of each page's record: the records themselves are not shuffled."""
+    """``key, digest, length`` of each page's records: the records themselves are not shuffled.
+
+    All records of a repeated ``page_id`` count, the same ones too: as one entry with their folded digest and all their
+    bytes. Pages without an id are left out.
+    """
     text = record(F.col("page_id"), F.col("url"), F.col("html"))
     rows = pages.filter("page_id is not null").select(F.col("page_id").alias("key"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("length"))
-    return rows.groupBy("key").agg(F.min(F.struct("digest", "length")).alias("r")).select("key", "r.digest", "r.length")
+    return rows.groupBy("key").agg(_folded(F.col("digest")).alias("digest"), F.sum("length").alias("length"))
 
 
 def laid_out(records: DataFrame) -> DataFrame:
@@ -144,11 +157,19 @@ def _sql_record(html: str) -> str:
 
 _DAMAGED = "case when page_id % 89 = 5 then substring(coalesce(html, ''), 1, length(coalesce(html, '')) // 2) when page_id % 83 = 7 then '#' || substring(coalesce(html, ''), 2) else coalesce(html, '') end"
 
+_FOLD = "case when count(*) = 1 then min(digest) else sha256(concat_ws(':', count(*)::varchar, " + ", ".join(f"sum(('0x' || substring(digest, {at}, {PART}))::bigint)::varchar" for at in range(1, 64 - PART, PART)) + ")) end"
+
+
+def _sql_table(html: str, where: str) -> str:
+    text = _sql_record(html)
+    return f"select page_id, {_FOLD} as digest, sum(length)::bigint as length from (select page_id, sha256({text}) as digest, strlen({text}) as length from pages where page_id is not null and {where}) group by page_id"
+
+
 OP7_SQL = f"""
-with a as (select page_id, sha256({_sql_record("coalesce(html, '')")}) as digest, strlen({_sql_record("coalesce(html, '')")}) as length from pages),
+with a as ({_sql_table("coalesce(html, '')", "true")}),
 m as (select *, floor(page_id / {VOLUME})::bigint as volume, (row_number() over v - 1)::int as ordinal, coalesce(sum(length) over (v rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from a
   window v as (partition by floor(page_id / {VOLUME}) order by page_id)),
-b as (select page_id, sha256({_sql_record(_DAMAGED)}) as digest, strlen({_sql_record(_DAMAGED)}) as length from pages where page_id % 101 <> 3)
+b as ({_sql_table(_DAMAGED, "page_id % 101 <> 3")})
 select m.page_id, m.volume, m.ordinal, m."offset", m.length, case when b.page_id is null then 'missing' when b.length <> m.length then 'resized' else 'altered' end as status
 from m left join b using (page_id) where b.page_id is null or b.digest <> m.digest
 """

@@ -178,6 +178,17 @@ def test_fixity(spark):
     assert fixity.audit(manifest.filter("false"), manifest.filter("false")).count() == 0
 
 
+def test_fixity_of_repeated_records(spark):
+    """All records of an id are audited: a changed, lost or added copy shows, their order doesn't."""
+    rows = [(1, "u", "a" * 9), (1, "u", "b" * 9), (1, "u", "b" * 9), (2, "u", "c")]
+    lay = lambda rows: fixity.laid_out(fixity.record_table(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)))
+    told = lambda rows: {r["key"]: r["status"] for r in fixity.audit(lay(ROWS_OF_PAGES), lay(rows)).collect()}
+    ROWS_OF_PAGES = rows
+    assert told(rows[::-1]) == {}
+    assert told([rows[0], (1, "u", "x" * 9), *rows[2:]]) == {1: "altered"} and told([rows[0], *rows[2:]]) == {1: "resized"}
+    assert told([rows[0], rows[0], *rows[2:]]) == {1: "altered"} and told([*rows, rows[3]]) == {2: "resized"} and told(rows[:3]) == {2: "missing"}
+
+
 def test_equal_branches_are_not_read(spark):
     """One changed record among 20,000: at each level only the children of the one differing node are read."""
     rows = spark.range(20_000).select(F.col("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.lit(10).cast("long").alias("length"))
