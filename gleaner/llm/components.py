@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import checkpointed
+from gleaner.llm.common import checkpointed, stored
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -29,7 +29,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return checkpointed(out.filter("u <> v").distinct())
+    out = out.filter("u <> v").distinct()
+    return checkpointed(out) if large else stored(out)
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     repeated edges are allowed, edges with a null end are dropped, and an empty table gives an empty result.
     """
     now = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
-    now = checkpointed(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = stored(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _state(now)
     for _ in range(max_rounds):
         if seen[0] == 0:

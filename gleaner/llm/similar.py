@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from gleaner.llm.common import checkpointed, join_spread
+from gleaner.llm.common import checkpointed, join_spread, stored
 from gleaner.llm.components import connected_components
 from gleaner.llm.simhash import fingerprint, fingerprint_links, shingle_hashes
 
@@ -72,7 +72,7 @@ def bucket_members(texts: DataFrame) -> DataFrame:
     every = F.concat("bands", F.array(F.xxhash64(F.lit(-1), "fingerprint")))
     rows = texts.select("node", F.explode(every).alias("bucket"))
     shared = checkpointed(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    return checkpointed(join_spread(rows, shared.withColumn("copies", F.col("members")), "bucket", "copies"))
+    return stored(join_spread(rows, shared.withColumn("copies", F.col("members")), "bucket", "copies"))
 
 
 def _ordered(left: str, right: str) -> list[Column]:
@@ -100,9 +100,9 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def open_texts(members: DataFrame, links: DataFrame) -> DataFrame:
     """``node, label``: the texts of buckets that the links leave in more than one component."""
-    labelled = checkpointed(_labelled(members.select("bucket", "node"), links))
+    labelled = stored(_labelled(members.select("bucket", "node"), links))
     split = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("rows")).filter("a <> b")
-    return checkpointed(join_spread(labelled, checkpointed(split.select("bucket", "rows")), "bucket", "rows").select("node", "label").distinct())
+    return stored(join_spread(labelled, checkpointed(split.select("bucket", "rows")), "bucket", "rows").select("node", "label").distinct())
 
 
 def prefix_pairs(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -114,16 +114,16 @@ def prefix_pairs(texts: DataFrame, sets: DataFrame, similarity: float = SIMILARI
     label are compared with those of other labels alone.
     """
     t = similarity
-    tokens = checkpointed(texts.join(sets, "node").select("node", "label", F.explode("shingles").alias("shingle")))
+    tokens = stored(texts.join(sets, "node").select("node", "label", F.explode("shingles").alias("shingle")))
     shared = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     order = F.array_sort(F.collect_list(F.struct("df", "shingle")))
     lists = tokens.join(shared, "shingle").groupBy("node", "label").agg(order.alias("tokens")).withColumn("n", F.size("tokens"))
     probed = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
     lists = lists.select("node", "label", "n", F.posexplode(F.slice("tokens", F.lit(1), probed.cast("int"))).alias("at", "token")).filter("token.df > 1")
-    lists = checkpointed(lists.select("node", "label", "n", "at", "token.shingle"))
+    lists = stored(lists.select("node", "label", "n", "at", "token.shingle"))
     counts = lists.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k"))
     main = checkpointed(counts.groupBy("shingle").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("rows")).filter("labels > 1").drop("labels"))
-    met = checkpointed(join_spread(lists, main, "shingle", "rows").withColumn("minor", F.col("label") != F.col("main")).drop("main"))
+    met = stored(join_spread(lists, main, "shingle", "rows").withColumn("minor", F.col("label") != F.col("main")).drop("main"))
     indexed = met.filter(F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1)
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     apart = (a("shingle") == b("shingle")) & (a("label") != b("label")) & (F.struct(a("n"), a("node")) < F.struct(b("n"), b("node"))) & (a("n") >= b("n") * t - 1e-9)
@@ -140,21 +140,29 @@ def ball_pairs(texts: DataFrame) -> DataFrame:
     return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
-    """Add the set of one end. An end of many pairs has its set in copies, one for ``PAIRS_A_COPY`` pairs."""
+def _salted(pairs: DataFrame, end: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs with the copy (``end`` + ``_copy``) that they meet of one end's set, and how many copies it has: one for
+    ``PAIRS_A_COPY`` pairs."""
     copies = checkpointed(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("rows")).withColumn("parts", F.ceil(F.col("rows") / PAIRS_A_COPY).cast("int")))
-    salted = join_spread(pairs, copies, end, "rows").withColumn("salt", F.pmod(F.xxhash64("u", "v"), F.col("parts")).cast("int")).drop("parts")
-    spread = copies.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(name)), end).select(end, name, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    return salted.join(spread, [end, "salt"]).drop("salt")
+    dealt = join_spread(pairs, copies, end, "rows").withColumn(f"{end}_copy", F.pmod(F.xxhash64("u", "v"), F.col("parts")).cast("int")).drop("parts")
+    return stored(dealt), copies.select(end, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"{end}_copy"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The ``pairs`` (``u, v``) whose sets of shingles (``node, shingles``) have at least this Jaccard similarity."""
+    """The ``pairs`` (``u, v``) whose sets of shingles (``node, shingles``) have at least this Jaccard similarity.
+
+    Sizes are compared first, and what is left is dealt to copies of the sets before any set is joined to it.
+    """
     sizes = lambda end: sets.select(F.col("node").alias(end), F.size("shingles").alias(f"n{end}"))
     near = pairs.join(sizes("u"), "u").join(sizes("v"), "v").filter(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
-    both = _with_set(_with_set(checkpointed(near), sets, "u", "su"), sets, "v", "sv")
+    dealt, copies_u = _salted(checkpointed(near), "u")
+    dealt, copies_v = _salted(dealt, "v")
+    both = dealt
+    for end, copies in (("u", copies_u), ("v", copies_v)):
+        both = both.join(copies.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"s{end}")), end), [end, f"{end}_copy"])
     both = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("su", "sv")).alias("shared"))
-    return both.filter((F.col("shared") >= similarity * (F.col("nu") + F.col("nv") - F.col("shared"))) | ((F.col("nu") == 0) & (F.col("nv") == 0))).select("u", "v")
+    same = (F.col("shared") >= similarity * (F.col("nu") + F.col("nv") - F.col("shared"))) | ((F.col("nu") == 0) & (F.col("nv") == 0))
+    return stored(both.filter(same).select("u", "v"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -176,20 +184,20 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc
     # Near copies are often like their original and not like each other, so that the centre matters: the text with most
     # copies, the one a hash puts first, and in a second round the one with most verified links.
     pairs = _star(large, texts.select("node", F.col("copies").alias("weight"))).unionByName(_star(large, texts.select("node", F.lit(0).alias("weight"))))
-    pairs = checkpointed(pairs.unionByName(small_pairs(members)).unionByName(ball_pairs(texts)).distinct())
-    wanted = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", KEY, F.col("name.id").alias("id")), "node"))
+    pairs = stored(pairs.unionByName(small_pairs(members)).unionByName(ball_pairs(texts)).distinct())
+    wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(texts.select("node", KEY, F.col("name.id").alias("id")), "node"))
     # One row has each of these texts: that of the smallest id.
     picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     found = keyed.select(F.col(doc_id).alias("mine"), KEY, F.col(text).alias("text")).join(picked, KEY).filter(F.col("mine").eqNullSafe(F.col("id")))
-    sets = checkpointed(found.select("node", _shingle_sets(F.col("text")).alias("shingles")).dropDuplicates(["node"]))
-    links = checkpointed(verified(pairs, sets, similarity))
+    sets = stored(found.select("node", _shingle_sets(F.col("text")).alias("shingles")).dropDuplicates(["node"]))
+    links = verified(pairs, sets, similarity)
     degrees = checkpointed(links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("weight")))
-    more = checkpointed(_star(large, degrees).distinct().join(pairs, ["u", "v"], "left_anti"))
-    links = checkpointed(links.unionByName(verified(more, sets, similarity)))
+    more = stored(_star(large, degrees).distinct().join(pairs, ["u", "v"], "left_anti"))
+    links = links.unionByName(verified(more, sets, similarity))
     rest = open_texts(large, links)
     if not rest.isEmpty():
-        known = pairs.unionByName(more)
-        links = links.unionByName(verified(checkpointed(prefix_pairs(rest, sets, similarity).join(known, ["u", "v"], "left_anti")), sets, similarity))
+        last = stored(prefix_pairs(rest, sets, similarity).join(pairs.unionByName(more), ["u", "v"], "left_anti"))
+        links = links.unionByName(verified(last, sets, similarity))
     parts = connected_components(links, "u", "v")
     labelled = texts.select("node", KEY, "name").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("label")).agg(F.min(F.struct("name", KEY)).alias("kept"))
     row = lambda i, k: F.concat_ws(":", i.cast("string"), k)
