@@ -10,12 +10,13 @@ import ast
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from gleaner.functions.text import BLANKS, content_hash, only_links, without_front_matter
+from gleaner.operators import symbols
 
 MAX_CHARS, OVERLAP, MIN_NOTE, MIN_CODE = 2000, 200, 50, 80
 BREAK = "\u0001"
@@ -149,16 +150,35 @@ def _code_chunks(names: pd.Series, sources: pd.Series) -> pd.Series:
     return pd.Series([chunks(n, s) for n, s in zip(names, sources)])
 
 
+def _parsed_chunks(files: DataFrame) -> DataFrame:
+    cut = files.select("path", "repo_name", "note_title", _code_chunks("note_title", F.col("source")).alias("c"))
+    kept = F.filter(F.transform("c", lambda x, i: F.struct(x["section_header"].alias("section_header"), x["symbol_type"].alias("symbol_type"), F.btrim(x["part"], F.lit(BLANKS)).alias("display_text"), i.alias("piece"))), lambda x: F.length(x["display_text"]) >= MIN_CODE)
+    rows = cut.select("path", "repo_name", "note_title", F.posexplode(kept).alias("place", "k")).select("path", "repo_name", "note_title", "place", "k.*")
+    return rows.withColumn("chunk_index", F.when(F.col("symbol_type") == "text", F.col("piece")).otherwise(F.col("place"))).drop("place", "piece")
+
+
+def _brace_chunks(files: DataFrame) -> DataFrame:
+    """Long definitions and methods are cut by lines; what is left of a file is one chunk."""
+    found = symbols.symbols(files.select("path", "source", symbols.language(F.col("path")).alias("lang")))
+    pieces = F.when((F.length("text") > MAX_CHARS) & (F.col("symbol_type") != "module"), line_pieces(F.col("text"))).otherwise(F.array("text"))
+    rows = found.join(files.select("path", "repo_name", "note_title"), "path").withColumn("pieces", pieces)
+    rows = rows.select("path", "repo_name", "note_title", "item", "part", "section_header", "symbol_type", F.size("pieces").alias("n"), F.posexplode("pieces").alias("piece", "display_text"))
+    rows = rows.withColumn("display_text", F.btrim("display_text", F.lit(BLANKS))).filter(F.length("display_text") >= MIN_CODE)
+    name = F.when(F.col("symbol_type") == "module", F.concat("note_title", F.lit(" (module-level)"))).otherwise(F.col("section_header"))
+    label = F.when(F.col("n") > 1, F.concat(name, F.lit(" (part "), (F.col("piece") + 1).cast("string"), F.lit(")"))).otherwise(name)
+    place = F.row_number().over(Window.partitionBy("path").orderBy("item", "part", "piece")) - 1
+    return rows.select("path", "repo_name", "note_title", label.alias("section_header"), "symbol_type", "display_text", place.alias("chunk_index"))
+
+
 def chunk_code(files: DataFrame) -> DataFrame:
-    """Chunks of code files (``path, repo_name, source``): Python by symbol, other languages by lines.
+    """Chunks of code files (``path, repo_name, source``): Python and languages with braces by symbol, others by lines.
 
-    A chunk's index counts the kept chunks of its file, for text the pieces; chunks of under 80 characters go.
+    A chunk's index counts the kept chunks of its file, for text the pieces; chunks of under 80 characters go. Paths are
+    different.
     """
-    name = F.element_at(F.split("path", "/"), -1)
-    cut = files.filter(F.btrim(F.col("source"), F.lit(BLANKS)) != "").select("path", "repo_name", name.alias("note_title"), _code_chunks(name, F.col("source")).alias("c"))
-    kept = F.filter(F.transform("c", lambda x, i: F.struct(x["section_header"].alias("section_header"), x["symbol_type"].alias("symbol_type"), F.btrim(x["part"], F.lit(BLANKS)).alias("display_text"), i.alias("piece"))), lambda x: F.length(x["display_text"]) >= MIN_CODE)
-    rows = cut.select("path", "repo_name", "note_title", F.posexplode(kept).alias("place", "k")).select("path", "repo_name", "note_title", "place", "k.*")
-    rows = rows.withColumn("chunk_index", F.when(F.col("symbol_type") == "text", F.col("piece")).otherwise(F.col("place"))).drop("place", "piece")
+    named = files.filter(F.btrim(F.col("source"), F.lit(BLANKS)) != "").select("path", "repo_name", F.element_at(F.split("path", "/"), -1).alias("note_title"), "source")
+    braced = symbols.language(F.col("path")).isNotNull()
+    rows = _parsed_chunks(named.filter(~braced)).unionByName(_brace_chunks(named.filter(braced)))
     kind = F.concat(F.upper(F.substring("symbol_type", 1, 1)), F.substring("symbol_type", 2, 20))
     prefix = F.concat(F.lit("Repo: "), F.col("repo_name"), F.lit(" | Ficheiro: "), F.col("path"), F.lit(" | "), kind, F.lit(": "), F.col("section_header"))
     return rows.withColumns({

@@ -6,6 +6,8 @@ relation, weight``. Labels fall back to ids where an end has no node.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from gleaner.operators.ranking import ranked, top_k
 LEAST_MEMBERS = 5
 #: Of paths that end with one another so many last characters at most are the key of their join.
 PATH_TAIL = 24
+#: Characters of the grams by which labels are looked up in others.
+GRAM = 4
 
 
 def labelled(edges: DataFrame, nodes: DataFrame, end: str, name: str) -> DataFrame:
@@ -57,11 +61,50 @@ def neighbors(edges: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
     return labelled(kept, nodes, "neighbor", "neighbor_label")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The different runs of ``size`` characters of a text that has so many."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """``short, long``: the different texts of both (one column each, of that name) of which the second contains the first.
+
+    An equality join on grams: what contains a text has all its grams of ``GRAM`` characters, so the text is looked up by
+    the one that fewest of the others have. Texts that are shorter are a gram themselves; the empty text is in all.
+    """
+    short, long = short.filter("short is not null").distinct(), long.filter("long is not null").distinct()
+    sizes = [r["n"] for r in short.select(F.least(F.length("short"), F.lit(GRAM)).alias("n")).filter("n > 0").distinct().collect()]  # GRAM numbers at most
+    every = F.concat(*(_grams(F.col("long"), n) for n in sorted(sizes))) if sizes else F.array().cast("array<string>")
+    index = checkpointed(long.select("long", F.explode(every).alias("gram")))
+    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length("short") < GRAM, F.array("short")).otherwise(_grams(F.col("short"), GRAM))
+    keys = short.filter("short <> ''").select("short", F.explode(own).alias("gram")).join(common, "gram", "left")
+    # A gram that no other text has rules the text out, and is the rarest.
+    rarest = keys.groupBy("short").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    met = rarest.join(index, "gram").filter(F.contains("long", F.col("short"))).select("short", "long")
+    return met.unionByName(long.crossJoin(F.broadcast(short.filter("short = ''"))).select("short", "long"))
+
+
 def find_by_label(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted, repo, id``: the first node whose label contains the wanted one or lies in it, case aside."""
-    low, asked = F.lower("label"), F.lower("wanted")
-    met = nodes.join(F.broadcast(wanted), F.contains(low, asked) | F.contains(asked, low))
-    return met.groupBy("wanted").agg(F.min_by(F.struct("repo", "id"), F.struct("ord", "id")).alias("n")).select("wanted", "n.*")
+    first = F.min(F.struct("ord", "id", "repo"))
+    labels = checkpointed(nodes.groupBy(F.lower("label").alias("low")).agg(first.alias("n")))
+    asked = wanted.select("wanted", F.lower("wanted").alias("asked")).distinct()
+    lows, asks = labels.select("low"), asked.select("asked")
+    inside = contained(asks.toDF("short"), lows.toDF("long")).select(F.col("short").alias("asked"), F.col("long").alias("low"))
+    around = contained(lows.toDF("short"), asks.toDF("long")).select(F.col("long").alias("asked"), F.col("short").alias("low"))
+    best = inside.unionByName(around).join(labels, "low").groupBy("asked").agg(F.min("n").alias("n"))
+    return asked.join(best, "asked").select("wanted", "n.repo", "n.id")
+
+
+def find_in_repo(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``repo, wanted, id``: the first node of the repository (of ``repo, wanted``) whose label contains the wanted one,
+    case aside."""
+    labels = nodes.groupBy("repo", F.lower("label").alias("low")).agg(F.min(F.struct("ord", "id")).alias("n"))
+    asked = wanted.select("repo", "wanted", F.lower("wanted").alias("asked")).distinct()
+    pairs = contained(asked.select(F.col("asked").alias("short")), labels.select(F.col("low").alias("long")))
+    met = asked.join(pairs, F.col("asked") == F.col("short")).join(labels, (asked["repo"] == labels["repo"]) & (F.col("long") == F.col("low")))
+    return met.groupBy(asked["repo"], "wanted").agg(F.min("n").alias("n")).select("repo", "wanted", "n.id")
 
 
 def cross_links(nodes: DataFrame) -> DataFrame:
@@ -144,20 +187,72 @@ def match_chunks(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
     return first.select("chunk_id", "m.id", "m.tier").unionByName(by_path.select("chunk_id", "id", F.lit(3).alias("tier")))
 
 
+def _links(edges: DataFrame) -> DataFrame:
+    """``repo, id, next``: both ways along each edge, each once."""
+    return edges.select("repo", F.col("source").alias("id"), F.col("target").alias("next")).unionByName(edges.select("repo", F.col("target").alias("id"), F.col("source").alias("next"))).distinct()
+
+
 def shortest_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, id, steps``: the length of the shortest path, either way along edges, from each start to what it reaches.
 
-    Each round joins the last frontier with the edges; nodes that were reached before leave it, until none is left.
+    Each round joins the last frontier with the edges. A neighbour of a frontier is in it, in the one before or in the
+    next one, so these two are all that is left out, and each frontier is written once.
     """
-    links = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("id"), F.col("source").alias("next"))).distinct()
-    reached = checkpointed(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("steps")).distinct())
-    frontier, step = reached, 0
+    links = checkpointed(_links(edges).select("id", "next").distinct())
+    frontier = checkpointed(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("steps")).distinct())
+    levels = [frontier]
     while not frontier.isEmpty():
-        step += 1
         grown = frontier.join(links, "id").select("start", F.col("next").alias("id")).distinct()
-        frontier = checkpointed(grown.join(reached, ["start", "id"], "left_anti").withColumn("steps", F.lit(step)))
-        reached = checkpointed(reached.unionByName(frontier))
-    return reached
+        seen = frontier.unionByName(levels[-2]) if len(levels) > 1 else frontier
+        frontier = checkpointed(grown.join(seen, ["start", "id"], "left_anti").withColumn("steps", F.lit(len(levels))))
+        levels.append(frontier)
+    return functools.reduce(DataFrame.unionByName, levels)
+
+
+def _grown(frontier: DataFrame, before: DataFrame, links: DataFrame, ahead: bool) -> DataFrame:
+    """The next frontier: to each new node the smallest of the paths that lead there."""
+    more = frontier.join(links, ["repo", "id"])
+    path = F.concat("path", F.array("next_ord")) if ahead else F.concat(F.array("next_ord"), "path")
+    grown = more.select("pair", "repo", F.col("next").alias("id"), path.alias("path"))
+    seen = frontier.select("pair", "id").unionByName(before.select("pair", "id"))
+    return checkpointed(grown.groupBy("pair", "repo", "id").agg(F.min("path").alias("path")).join(seen, ["pair", "id"], "left_anti"))
+
+
+def label_paths(edges: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``repo, source_label, target_label, path``: the labels on the shortest path, either way along edges, between the
+    first nodes of the repository whose labels contain those of ``asked`` (``repo, source_label, target_label``).
+
+    Of paths of the same length the smallest by the order of nodes counts; without a node or a path it is empty.
+    Frontiers grow from both ends by turns, each node with the smallest path to it, until a pair's meet; a pair that has
+    met, or whose frontier is empty, leaves. Nodes without a label are told by their ids.
+    """
+    asked = asked.select("repo", "source_label", "target_label").distinct()
+    found = checkpointed(find_in_repo(nodes, asked.select("repo", F.col("source_label").alias("wanted")).unionByName(asked.select("repo", F.col("target_label").alias("wanted")))))
+    end = lambda label, name: found.select("repo", F.col("wanted").alias(label), F.col("id").alias(name))
+    pairs = asked.join(end("source_label", "source"), ["repo", "source_label"]).join(end("target_label", "target"), ["repo", "target_label"])
+    pairs = checkpointed(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    place = nodes.select("repo", "id", "ord")
+    links = _links(edges).join(place.select("repo", F.col("id").alias("next"), F.col("ord").alias("next_ord")), ["repo", "next"])
+    links = checkpointed(links.join(place.select("repo", "id"), ["repo", "id"]))
+    start = lambda name: checkpointed(pairs.select("pair", "repo", F.col(name).alias("id")).join(place, ["repo", "id"]).select("pair", "repo", "id", F.array("ord").alias("path")))
+    sides, before = [start("source"), start("target")], [None, None]
+    done, turn = [], 0
+    while True:
+        # The meeting node ends one path and begins the other.
+        whole = F.concat("path", F.expr("slice(rest, 2, size(rest))"))
+        met = sides[0].join(sides[1].select("pair", "id", F.col("path").alias("rest")), ["pair", "id"]).groupBy("pair").agg(F.min(whole).alias("path"))
+        met = checkpointed(met)
+        done.append(met)
+        sides = [s.join(met, "pair", "left_anti").join(o.select("pair").distinct(), "pair", "left_semi") for s, o in (sides, sides[::-1])]
+        if sides[turn].isEmpty():
+            break
+        last, sides[turn] = sides[turn], _grown(sides[turn], sides[turn].limit(0) if before[turn] is None else before[turn], links, turn == 0)
+        before[turn], turn = last, 1 - turn
+    steps = functools.reduce(DataFrame.unionByName, done).select("pair", F.posexplode("path").alias("at", "ord"))
+    named = steps.join(pairs.select("pair", "repo"), "pair").join(nodes.select("repo", "ord", F.coalesce("label", "id").alias("label")), ["repo", "ord"])
+    listed = named.groupBy("pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("path"))
+    told = pairs.join(listed, "pair").select("repo", "source_label", "target_label", "path")
+    return asked.join(told, ["repo", "source_label", "target_label"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
 def structural_context(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, summaries: DataFrame, gods: DataFrame, k: int = 5, most: int = 3, budget: int = 1000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import estimated_tokens
 from gleaner.functions.vectors import dot
-from gleaner.operators.ordering import with_row_number
+from gleaner.operators.ordering import checkpoint_folder, checkpointed, with_row_number
 
 #: So many query vectors are sent to the tasks at once.
 QUERY_BLOCK = 4096
@@ -46,7 +47,7 @@ def _units(column: pd.Series) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _block_scores(asked: list[tuple[int, list[float]]], k: int | None):
+def _block_scores(asked: list[tuple[int, list[float]]], k: int):
     ids = np.array([i for i, _ in asked], dtype=np.int64)
     units = _units(pd.Series([q for _, q in asked]))
 
@@ -57,7 +58,7 @@ def _block_scores(asked: list[tuple[int, list[float]]], k: int | None):
             for at in range(0, len(ids) if len(batch) else 0, 128):
                 scores = np.round(units[at : at + 128] @ found, 6) + 0.0
                 known = ~np.isnan(scores)
-                if k is not None and k < len(mine):
+                if k < len(mine):
                     least = np.partition(np.where(known, scores, -np.inf), -k, axis=1)[:, -k]
                     known &= scores >= least[:, None]  # ties of the k-th are settled by the caller
                 q, v = np.nonzero(known)
@@ -66,22 +67,34 @@ def _block_scores(asked: list[tuple[int, list[float]]], k: int | None):
     return score
 
 
-def dense_pairs(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """``query_id, vec_id, score`` of a stated set of queries (``query_id, query``) and all vectors, as matrix products.
+def dense_pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the k best vectors of each of a stated set of queries (``query_id, query``).
 
-    Queries go to the tasks in blocks of up to ``QUERY_BLOCK``, each block with one scan of the vectors; nothing is
-    paired by a join. With ``k`` each batch of vectors keeps what may be among the k best, so the shuffle after it is
-    small. Vectors and queries without length have no scores.
+    Queries go to the tasks in blocks of about ``QUERY_BLOCK``, each block with one scan of the vectors as matrix
+    products; nothing is paired by a join. Each batch of vectors keeps what may be among the k best, so the shuffle after
+    it is small. The driver holds one block at a time: where there are more, each block's result is written to the shared
+    folder before the next is read, and plans don't grow with the number of queries. Vectors and queries without length
+    have no scores.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    dealt = queries.filter("query is not null").select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
-    found = None
+    spark = vectors.sparkSession
+    asked = queries.filter("query is not null").select("query_id", "query")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    dealt = checkpointed(dealt) if blocks > 1 else dealt
+
+    def best(block: int) -> DataFrame:
+        mine = [(r["query_id"], r["query"]) for r in dealt.filter(F.col("block") == block).collect()]  # about QUERY_BLOCK rows
+        if not mine:
+            return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+        found = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(_block_scores(mine, k), "query_id long, vec_id long, score double")
+        return top_k(found, ["query_id"], k, F.desc("score"), F.col("vec_id"))
+
+    if blocks == 1:
+        return best(0)
+    folder = f"{checkpoint_folder(spark)}/dense-{uuid.uuid4().hex}"
     for block in range(blocks):
-        asked = [(r["query_id"], r["query"]) for r in dealt.filter(F.col("block") == block).collect()]  # about QUERY_BLOCK rows
-        if asked:
-            part = vectors.filter("embedding is not null").select("vec_id", "embedding").mapInPandas(_block_scores(asked, k), "query_id long, vec_id long, score double")
-            found = part if found is None else found.unionByName(part)
-    return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double") if found is None else found
+        best(block).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def fused(lists: list[DataFrame], by: str, item: str, k: int, constant: int = RRF_K) -> DataFrame:

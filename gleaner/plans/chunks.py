@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import lexicons
 from gleaner.functions.text import estimated_tokens, navigates
-from gleaner.operators import chunking, embedding
+from gleaner.operators import chunking, embedding, symbols
 from gleaner.plans.registry import SQL_BLANKS, query, sql_list, table
 from gleaner.sources.files import NOTE_DIRS, has_part
 
@@ -69,10 +69,37 @@ _CODE = """case doc_id % 2 when 0 then 'import os' || chr(10) || 'TEXT = ' || to
 def chunk_code(spark, sf_dir):
     """Tested against fixtures: SQL has no parser of Python."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".go"))
+    path = F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".py").when(F.col("doc_id") % 4 == 1, ".go").otherwise(".rb"))
     return chunking.chunk_code(docs.select(path.alias("path"), F.col("source").alias("repo_name"), F.expr(_CODE).alias("source")))
 
 
+#: Sources of nine languages made of documents, with braces in strings and comments.
+_BRACES = {
+    "js": r"""'import x from "y";\n\n/* { not open */\nfunction greet' || doc_id || '(name) {\n  // }\n  return "' || q || ' {";\n}\n\nexport class Box {\n  open(a) { return a; }\n}\nclass Store {\n  constructor(v) {\n    this.v = `' || q || '`;\n  }\n\n  static async load(x) {\n    return x;\n  }\n}\nconst size = 3;\n'""",
+    "ts": r"""'interface User {\n  name: string;\n}\ntype Id = string;\nexport const late = "' || q || '";\nclass A {\n  private x: number = 1;\n  add(u: User): void {\n    this.x += 1;\n  }\n}\n'""",
+    "java": r"""'package a.b;\n\nimport c.D;\n\n@Deprecated\npublic class Calc' || doc_id || '\n    extends Base\n{\n    private int v = f(1);\n\n    public Calc' || doc_id || '(int v) {\n        this.v = v;\n    }\n\n    @Override\n    public String text() {\n        return "' || q || '}";\n    }\n}\n'""",
+    "go": r"""'package main\n\nimport "fmt"\n\nfunc (s *Server) Run' || doc_id || '(a int) string {\n\treturn "' || q || '"\n}\n\nfunc hello() {\n}\n\ntype Server struct {\n\tPort int\n}\n'""",
+    "rs": r"""'use a::b;\n\n#[derive(Debug)]\npub struct Point {\n    x: f64,\n}\n\nimpl Show for Point {\n    pub fn text(&self) -> String {\n        let c = ' || chr(39) || '{' || chr(39) || ';\n        "' || q || '"\n    }\n}\n'""",
+    "c": r"""'#include <a.h>\n\nstruct pair {\n    int a;\n};\n\nstatic int count = 3;\n\nint main(void)\n{\n    puts("' || q || '");\n}\ntypedef int number;\n'""",
+    "cpp": r"""'#include <a>\nnamespace a {\nint f() { return 1; }\n}\ntemplate <typename T>\nT g(T x) {\n    return x;\n}\nclass C {\n    void m() { s = "' || q || '"; }\n};\n'""",
+    "cs": r"""'using A;\n\nnamespace N {\n    class Inner { }\n}\n[Flags]\npublic class Shop {\n    public Shop(int a) {\n        x = a;\n    }\n    string Say() {\n        return "' || q || '";\n    }\n}\n'""",
+    "rb": r"""'def a\nend\n'""",
+}
+_ENDINGS = "case doc_id % 9 " + " ".join(f"when {i} then '{ending}'" for i, ending in enumerate(_BRACES)) + " end"
+_BRACED = "case doc_id % 9 " + " ".join(f"when {i} then {source}" for i, source in enumerate(_BRACES.values())) + " end"
+
+
+@query(f"""with d as (select *, translate(text, chr(92) || '"`', '') as q from documents), e as (select 'src/' || doc_id || '.' || {_ENDINGS} as path, {_ENDINGS} as ending, replace(replace({_BRACED}, chr(92) || 'n', chr(10)), chr(92) || 't', chr(9)) as source from d),
+f as (select path, source, case ending {" ".join(f"when '{e}' then '{lang}'" for e, lang in symbols.ENDINGS.items())} end as lang from e), {symbols.oracle("f")}
+select path, item, part, section_header, symbol_type, sha256(text) as digest, length(text)::int as chars from symbols""")
+def brace_symbols(spark, sf_dir):
+    """Definitions, methods and leftovers of sources in languages with braces."""
+    docs = table(spark, sf_dir, "documents").withColumn("q", F.translate("text", '\\"`', ""))
+    files = docs.select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit("."), F.expr(_ENDINGS)).alias("path"), F.expr(_BRACED).alias("source"))
+    found = symbols.symbols(files.withColumn("lang", symbols.language(F.col("path"))))
+    return found.select("path", "item", "part", "section_header", "symbol_type", F.sha2("text", 256).alias("digest"), F.length("text").alias("chars"))
+
+
 @query()
 def split_lines(spark, sf_dir):
     """Tested against a plain version: the splitter is sequential."""

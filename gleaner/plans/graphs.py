@@ -142,15 +142,38 @@ def graph_stats(spark, sf_dir):
     return graph.graph_report(nodes(spark, sf_dir), edges(spark, sf_dir)).select("repo", "nodes", "edges")
 
 
-@query(f"""with recursive {_GRAPH}, l as (select distinct source as id, target as next from e union select distinct target, source from e),
-s as (select repo, 'p' || min(ord) as start from n group by repo), p(start, id, steps) as (select start, start, 0 from s union select p.start, l.next, p.steps + 1 from p join l on p.id = l.id where p.steps < 50)
-select start, id, min(steps)::int as steps from p group by all""")
+@query(f"""with recursive {_GRAPH}, l as materialized (select distinct source as id, target as next from e union select distinct target, source from e),
+s as (select repo, 'p' || min(ord) as start from n group by repo), p(start, id, steps) using key (start, id) as (select start, start, 0 from s
+union select p.start, l.next, any_value(p.steps) + 1 from p join l on p.id = l.id left join recurring.p v on v.start = p.start and v.id = l.next where v.id is null group by p.start, l.next)
+select start, id, steps from p""")
 def shortest_path(spark, sf_dir):
     """From the first symbol of each repository to every symbol that it reaches."""
     starts = nodes(spark, sf_dir).groupBy("repo").agg(F.concat(F.lit("p"), F.min("ord").cast("string")).alias("start")).select("start")
     return graph.shortest_paths(edges(spark, sf_dir), starts)
 
 
+def path_questions(spark, sf_dir):
+    """From one symbol in a hundred to the third one after it: named as users do, by a part of the label."""
+    ends = nodes(spark, sf_dir).select("repo", "ord", F.upper("label").alias("label"))
+    after = ends.select((F.col("ord") - 3).alias("ord"), F.expr("substring(label, 3)").alias("target_label"))
+    return ends.filter("ord % 100 = 0").join(after, "ord").select("repo", F.col("label").alias("source_label"), "target_label")
+
+
+@query(f"""with recursive {_GRAPH}, l as materialized (select distinct x.id, n.ord as next, x.repo from (select repo, source as id, target as next from e union select repo, target, source from e) x join n on n.repo = x.repo and n.id = x.next),
+a as (select distinct x.repo, upper(x.label) as source_label, substring(upper(y.label), 3) as target_label from n x join n y on y.ord = x.ord + 3 where x.ord % 100 = 0),
+f as materialized (select a.*, (select min(ord) from n where n.repo = a.repo and contains(lower(n.label), lower(source_label))) as source, (select min(ord) from n where n.repo = a.repo and contains(lower(n.label), lower(target_label))) as target from a),
+g as materialized (select l.repo, n.ord, l.next from l join n on n.repo = l.repo and n.id = l.id),
+p(repo, source, ord, path) using key (repo, source, ord) as (select distinct repo, source, source, [source] from f where source is not null and target is not null
+union select p.repo, p.source, g.next, min(list_append(p.path, g.next)) from p join g on g.repo = p.repo and g.ord = p.ord left join recurring.p v on v.repo = p.repo and v.source = p.source and v.ord = g.next where v.ord is null group by p.repo, p.source, g.next),
+x as (select f.repo, source_label, target_label, p.path from f left join p on p.repo = f.repo and p.source = f.source and p.ord = f.target),
+t as (select repo, source_label, target_label, unnest(path) as ord, generate_subscripts(path, 1) as at from x)
+select x.repo, x.source_label, x.target_label, coalesce((select string_agg(n.label, ' > ' order by t.at) from t join n on n.repo = t.repo and n.ord = t.ord where t.repo = x.repo and t.source_label = x.source_label and t.target_label = x.target_label), '') as path from x""")
+def path_labels(spark, sf_dir):
+    """The labels on the shortest path between two symbols that are named by parts of their labels."""
+    found = graph.label_paths(edges(spark, sf_dir), nodes(spark, sf_dir), path_questions(spark, sf_dir))
+    return found.withColumn("path", F.array_join("path", " > "))
+
+
 def gods(spark, sf_dir):
     """The five best connected symbols of each repository."""
     degrees = graph.degrees(edges(spark, sf_dir), nodes(spark, sf_dir)).join(nodes(spark, sf_dir).select("repo", "id", "ord"), ["repo", "id"])

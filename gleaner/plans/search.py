@@ -7,15 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleaner.functions import lexicons, text
-from gleaner.functions.vectors import cosine
 from gleaner.operators import ranking, sparse
 from gleaner.operators.ordering import checkpoint_folder, checkpointed
 from gleaner.plans.registry import SQL_BLANKS, query, sql_list, table
 from gleaner.plans.scalar import COMPLEX as _COMPLEX
 
 K = 10
-#: Folders of stored indexes by application and input.
-_STORED: dict[tuple[str, str], str] = {}
+#: Folders of stored indexes by application and input, with the state of the input's files that they were fitted to.
+_STORED: dict[tuple[str, str], tuple[tuple, str]] = {}
 #: The stated query set of batch searches: every vector whose id is divisible by this, against all vectors.
 QUERY_STEP = 100
 _COSINE = "round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6)"
@@ -30,8 +29,8 @@ def dense(spark, sf_dir, condition="vec_id = 0", where=None):
     return ranking.dense_scores(vectors, queried(vectors, condition), where)
 
 
-def dense_batch(spark, sf_dir, k=None):
-    """The stated query set against all vectors; with ``k`` only what may be among the k best."""
+def dense_batch(spark, sf_dir, k):
+    """The k best of all vectors, with their rank, for each of the stated query set."""
     vectors = table(spark, sf_dir, "embeddings")
     return ranking.dense_pairs(vectors, queried(vectors, f"vec_id % {QUERY_STEP} = 0"), k)
 
@@ -68,18 +67,25 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 
 @query(f"with {_DENSE} select query_id, vec_id, score, rank from r where rank <= {K}")
 def topk_batch(spark, sf_dir):
-    return ranking.top_k(dense_batch(spark, sf_dir, K), ["query_id"], K, F.desc("score"), F.col("vec_id"))
+    return dense_batch(spark, sf_dir, K)
+
+
+def files_state(spark, path):
+    """How many files a table has, and a sum over their names, sizes and times: contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return tuple(files.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("path", "length", "modificationTime"), 24))).first())
 
 
 def bm25_parts(spark, sf_dir):
-    """The inverted index of the documents: fitted and stored once an application, read by every query after that."""
-    where = (spark.sparkContext.applicationId, sf_dir)
-    if where not in _STORED:
+    """The inverted index of the documents, fitted and stored once an application and read by every query after that;
+    when the table's files have changed it is fitted anew."""
+    where, state = (spark.sparkContext.applicationId, sf_dir), files_state(spark, f"{sf_dir}/documents.parquet")
+    if where not in _STORED or _STORED[where][0] != state:
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
         folder = f"{checkpoint_folder(spark)}/bm25-{uuid.uuid4().hex}"
         sparse.fitted(docs, "doc_id", text.tokenize(F.col("text")), folder)
-        _STORED[where] = folder
-    return sparse.loaded(spark, _STORED[where])
+        _STORED[where] = state, folder
+    return sparse.loaded(spark, _STORED[where][1])
 
 
 _BM25 = """t as (select doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) as term from documents),
@@ -127,18 +133,23 @@ f as (select query_id, doc_id, round(sum(1.0::double / (2 + rank - 1)), 6) as sc
 select query_id, doc_id, score, rank from fr where rank <= {K}""")
 def hybrid_rrf(spark, sf_dir):
     """Lists of twice the wanted length from both sides; queries with one list only are ranked by it."""
-    near = ranking.top_k(dense_batch(spark, sf_dir, 2 * K), ["query_id"], 2 * K, F.desc("score"), F.col("vec_id")).withColumnRenamed("vec_id", "doc_id")
+    near = dense_batch(spark, sf_dir, 2 * K).withColumnRenamed("vec_id", "doc_id")
     worded = ranking.top_k(bm25_scores(spark, sf_dir), ["query_id"], 2 * K, F.desc("score"), F.col("doc_id"))
     return ranking.fused([near, worded], "query_id", "doc_id", K).select("query_id", "doc_id", "score", "rank")
 
 
+#: So many are fetched for K wanted ones.
+FETCHED = min(3 * K, 50)
+
+
 def passages(spark, sf_dir):
-    """Passages of each source with scores: vectors as passages, their labels as sections."""
+    """The first passages of each question with their scores: vectors as passages, their labels as sources."""
     vectors = table(spark, sf_dir, "embeddings")
-    return dense_batch(spark, sf_dir).join(vectors.select("vec_id", "label"), "vec_id").withColumn("chunk_index", F.expr("vec_id % 50"))
+    return dense_batch(spark, sf_dir, FETCHED).drop("rank").join(vectors.select("vec_id", "label"), "vec_id").withColumn("chunk_index", F.expr("vec_id % 50"))
 
 
-_PASSAGES = f"p as (select q.vec_id as query_id, e.vec_id, {_COSINE} as score, e.label, e.vec_id % 50 as chunk_index from embeddings e, embeddings q where q.vec_id % {QUERY_STEP} = 0)"
+_PASSAGES = f"""a as (select q.vec_id as query_id, e.vec_id, {_COSINE} as score, e.label, e.vec_id % 50 as chunk_index from embeddings e, embeddings q where q.vec_id % {QUERY_STEP} = 0),
+p as (select * exclude (place) from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from a) where place <= {FETCHED})"""
 
 
 @query(f"with {_PASSAGES}, r as (select *, row_number() over (partition by query_id, label, chunk_index order by score desc, vec_id) as n from p) select query_id, label, chunk_index, vec_id, score from r where n = 1")
@@ -209,7 +220,7 @@ def asked_variants(asked):
     """``query_id, variant, text``: each text as it is (0) and as its keywords (1), unless these are the text itself in
     lower case or have 3 characters at most."""
     words = text.keywords(F.col("text"))
-    variants = F.array(F.struct(F.lit(0).alias("variant"), F.col("text")), F.when((words != F.lower("text")) & (F.length(words) > 3), F.struct(F.lit(1).alias("variant"), words.alias("text"))))
+    variants = F.array(F.struct(F.lit(0).alias("variant"), F.col("text")), F.when((words != F.btrim(F.lower("text"), F.lit(text.BLANKS))) & (F.length(words) > 3), F.struct(F.lit(1).alias("variant"), words.alias("text"))))
     return asked.select("query_id", F.explode(F.array_compact(variants)).alias("v")).select("query_id", "v.variant", "v.text")
 
 
@@ -217,7 +228,7 @@ def multi_strategy_scores(spark, sf_dir, asked=None):
     """Each benchmark text as it is and as its keywords, against the documents; of both the better score."""
     counts, stats, weights = bm25_parts(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text") if asked is None else asked
-    terms = asked_variants(asked).select("query_id", "variant", F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "variant", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = asked_variants(asked).select("query_id", "variant", F.explode(text.tokenize(F.col("text"))).alias("term")).filter(~F.col("term").isin(lexicons.STOP_WORDS)).groupBy("query_id", "variant", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = checkpointed(terms.withColumn("asked", F.struct("query_id", "variant")).drop("query_id", "variant"))
     index = sparse.document_weights(counts, weights, stats, "doc_id", terms.select("term"))
     found = sparse.sparse_scores(index, sparse.query_weights(terms, weights, "asked"), "doc_id", "asked")
@@ -225,19 +236,18 @@ def multi_strategy_scores(spark, sf_dir, asked=None):
 
 
 @query(f"""with {_BM25}, k as (select item_id, text, list_filter(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda v: trim(v, '.,!?:;"''()[]')), lambda v: v <> ''), lambda v: not list_contains({sql_list(lexicons.STOP_WORDS)}, v) and length(v) > 2) as k from benchmark),
-a as (select item_id as query_id, 0 as variant, text from benchmark union all select item_id, 1, case when len(k) > 0 then array_to_string(k, ' ') else text end as t from k where t <> lower(text) and length(t) > 3),
+a as (select item_id as query_id, 0 as variant, text from benchmark union all select item_id, 1, case when len(k) > 0 then array_to_string(k, ' ') else text end as t from k where t <> trim(lower(text), {SQL_BLANKS}) and length(t) > 3),
 qt as (select query_id, variant, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) as term from a),
-qw as (select query_id, variant, term, any_value(idf) * count(*) * 2.5::double / (count(*) + 1.5::double) as query_weight from qt join w using (term) group by all),
+qw as (select query_id, variant, term, any_value(idf) * count(*) * 2.5::double / (count(*) + 1.5::double) as query_weight from qt join w using (term) where not list_contains({sql_list(lexicons.STOP_WORDS)}, term) group by all),
 b as (select query_id, variant, doc_id, round(sum(weight * query_weight), 6) as score from x join qw using (term) group by all), m as (select query_id, doc_id, max(score) as score from b group by all)
 select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from m) where rank <= {K}""")
 def multi_strategy(spark, sf_dir):
     return ranking.top_k(multi_strategy_scores(spark, sf_dir), ["query_id"], K, F.desc("score"), F.col("doc_id"))
 
 
-@query("select label, count(*) as chunks, round(avg(list_cosine_similarity(embedding::double[], embedding::double[])), 6) as self_score from embeddings group by label")
+@query("select label, count(*) as chunks from embeddings group by label")
 def repo_stats(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    return vectors.groupBy("label").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg(cosine(F.col("embedding"), F.col("embedding"), 15)), 6).alias("self_score"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("select vec_id from embeddings")
@@ -250,7 +260,7 @@ _BOUNDS = "k as (select query_id, case when size <= 1000 then k else greatest(3,
 
 @query(f"""with {_BM25}, {_BOUNDS.replace("{kind}", _COMPLEX)},
 kw as (select item_id, text, list_filter(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda v: trim(v, '.,!?:;"''()[]')), lambda v: v <> ''), lambda v: not list_contains({sql_list(lexicons.STOP_WORDS)}, v) and length(v) > 2) as k from benchmark),
-a as (select item_id as query_id, 0 as variant, text from benchmark union all select item_id, 1, t from (select item_id, text, case when len(k) > 0 then array_to_string(k, ' ') else text end as t from kw) where t <> lower(text) and length(t) > 3),
+a as (select item_id as query_id, 0 as variant, text from benchmark union all select item_id, 1, t from (select item_id, text, case when len(k) > 0 then array_to_string(k, ' ') else text end as t from kw) where t <> trim(lower(text), {SQL_BLANKS}) and length(t) > 3),
 qt as (select query_id, variant, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) as term from a), qc as (select query_id, variant, term, count(*) as tf from qt where not list_contains({sql_list(lexicons.STOP_WORDS)}, term) group by all),
 qw as (select query_id, variant, term, idf * tf * 2.5::double / (tf + 1.5::double) as query_weight from qc join w using (term)),
 b as (select query_id, variant, doc_id, round(sum(weight * query_weight), 6) as score from x join qw using (term) group by all),
@@ -279,7 +289,7 @@ def retrieve(spark, sf_dir):
     worded = sparse.sparse_scores(sparse.document_weights(counts, weights, stats, "doc_id", terms.select("term")), sparse.query_weights(terms, weights, "asked"), "doc_id", "asked")
     vectors = table(spark, sf_dir, "embeddings")
     near = ranking.dense_pairs(vectors, vectors.join(asked, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 100)
-    near = near.select(F.struct("query_id", F.lit(0).alias("variant")).alias("asked"), F.col("vec_id").alias("doc_id"), "score")
+    near = near.drop("rank").select(F.struct("query_id", F.lit(0).alias("variant")).alias("asked"), F.col("vec_id").alias("doc_id"), "score")
     lists = [_first(found, wanted, 2 * F.col("more")) for found in (near, worded)]
     fused = ranking.fused(lists, "asked", "doc_id", 50)
     best = _first(fused.drop("rank"), wanted, F.col("more")).groupBy("asked.query_id", "doc_id").agg(F.max("score").alias("score"))

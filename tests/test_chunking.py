@@ -63,10 +63,11 @@ def test_python_symbols():
 
 
 def test_chunk_code(spark):
-    rows = chunking.chunk_code(spark.createDataFrame([("src/a.py", "r", SOURCE), ("b.go", "r", "package b\n" * 300), ("c.py", "r", "def ("), ("d.py", "r", " ")], "path string, repo_name string, source string")).collect()
+    rows = chunking.chunk_code(spark.createDataFrame([("src/a.py", "r", SOURCE), ("b.rb", "r", "package b\n" * 300), ("m.go", "r", "package b\n" * 300), ("c.py", "r", "def ("), ("d.py", "r", " ")], "path string, repo_name string, source string")).collect()
     python = sorted((r["chunk_index"], r["symbol_type"], r["section_header"]) for r in rows if r["path"] == "src/a.py")
     assert python == [(0, "function", "load"), (1, "class", "class Store"), (2, "method", "Store.put")]
-    assert [r["chunk_index"] for r in rows if r["path"] == "b.go"] == [0, 1]
+    assert [r["chunk_index"] for r in rows if r["path"] == "b.rb"] == [0, 1]
+    assert [(r["chunk_index"], r["symbol_type"], r["section_header"]) for r in rows if r["path"] == "m.go"] == [(0, "module", "m.go (module-level)")]
     assert not [r for r in rows if r["path"] in ("c.py", "d.py")]
     assert all(r["embedding_text"].startswith(f"Repo: r | Ficheiro: {r['path']} | ") for r in rows)
 

@@ -108,11 +108,11 @@ def test_dense_pairs_in_blocks(spark):
     queries = vectors.filter("vec_id < 9").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     ranking.QUERY_BLOCK, old = 4, ranking.QUERY_BLOCK
     try:
-        every = {(r[0], r[1]): r[2] for r in ranking.dense_pairs(vectors, queries).collect()}
-        best = ranking.top_k(ranking.dense_pairs(vectors, queries, 3), ["query_id"], 3, F.desc("score"), F.col("vec_id")).collect()
+        every = {(r[0], r[1]): r[2] for r in ranking.dense_pairs(vectors, queries, 60).collect()}
+        best = ranking.dense_pairs(vectors, queries, 3).collect()
     finally:
         ranking.QUERY_BLOCK = old
-    assert len(every) == 8 * 59 and ranking.dense_pairs(vectors, queries.filter("false")).count() == 0
+    assert len(every) == 8 * 59 and ranking.dense_pairs(vectors, queries.filter("false"), 3).count() == 0
     for q in range(9):
         want = sorted(((-s, v) for (a, v), s in every.items() if a == q))[:3]
         assert sorted((-r["score"], r["vec_id"]) for r in best if r["query_id"] == q) == want
