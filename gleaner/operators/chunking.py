@@ -7,7 +7,7 @@ are small Python functions that run on batches of rows.
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +17,12 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from gleaner.functions.text import BLANKS, content_hash, only_links, without_front_matter
 from gleaner.operators import symbols
+from gleaner.operators.ordering import checkpointed, with_row_number
 
 MAX_CHARS, OVERLAP, MIN_NOTE, MIN_CODE = 2000, 200, 50, 80
 BREAK = "\u0001"
+#: Rows of a group that are walked in one task.
+BATCH_BLOCK = 4096
 
 
 def split_at(text: str, size: int, overlap: int) -> list[str]:
@@ -187,26 +190,66 @@ def chunk_code(files: DataFrame) -> DataFrame:
     })
 
 
+def _next_start(count: int, total: int, lengths: list[int], rows: int, chars: int) -> int:
+    """How many rows a batch of so many rows and characters takes before the next one begins; -1 if it takes all."""
+    for at, n in enumerate(lengths):
+        if count >= rows or total >= chars:
+            return at
+        count, total = count + 1, total + n
+    return -1
+
+
+def _walked(lengths: list[int], rows: int, chars: int) -> tuple[int, int, int]:
+    """Batches begun, and rows and characters of the last, where one begins with the first row."""
+    begun, count, total = 1, 0, 0
+    for n in lengths:
+        if count >= rows or total >= chars:
+            begun, count, total = begun + 1, 0, 0
+        count, total = count + 1, total + n
+    return begun, count, total
+
+
 def embedding_batches(chunks: DataFrame, by: str, order: str, text: str, rows: int = 30, chars: int = 48000) -> DataFrame:
     """Add ``batch``: rows of a group in order, a new batch once one has so many rows or characters.
 
-    The sums restart at each batch, so a group is walked in order; groups are files or sources. Only lengths travel.
+    The sums restart at each batch. Groups are cut into blocks of ``BATCH_BLOCK`` rows. A batch that is open where a block
+    begins ends in its first ``rows`` rows, so a block is a map from where its first own batch begins to what is open at
+    its end; these maps, one small row a block, are composed in order, and then each block is walked from what is open
+    before it. Only lengths travel, and a group of any size is spread over its blocks.
     """
-    kind = "{} {}, {} {}, n long, batch long"
     types = dict(chunks.dtypes)
-    sizes = chunks.select(by, order, F.length(text).cast("long").alias("n")).repartition(by).sortWithinPartitions(by, order)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, batch, count, total = None, 0, 0, 0
-        for part in batches:
-            out = []
-            for key, n in zip(part[by], part["n"]):
-                if key != group:
-                    group, batch, count, total = key, 0, 0, 0
-                elif count >= rows or total >= chars:
-                    batch, count, total = batch + 1, 0, 0
-                count, total = count + 1, total + n
-                out.append(batch)
-            yield part.assign(batch=out)
-
-    return sizes.mapInPandas(walk, kind.format(by, types[by], order, types[order]))
+    sizes = chunks.select(by, order, F.length(text).cast("long").alias("n"))
+    placed = with_row_number(sizes, [by, order], "row").withColumn("block", F.expr(f"row div {BATCH_BLOCK}"))
+    key = f"{by} {types[by]}, block long"
+
+    def mapped(found: pd.DataFrame) -> pd.DataFrame:
+        lengths = found.sort_values("row")["n"].fillna(0).astype(int).tolist()
+        ends = [_walked(lengths[at:], rows, chars) for at in range(min(rows, len(lengths)))]
+        begun, counts, totals = (list(x) for x in zip(*ends))
+        return pd.DataFrame({by: [found[by].iloc[0]], "block": [found["block"].iloc[0]], "head": [lengths[:rows]], "size": [len(lengths)], "begun": [begun], "counts": [counts], "totals": [totals]})
+
+    def composed(maps: pd.DataFrame) -> pd.DataFrame:
+        out, batch, count, total = [], 0, 0, 0
+        for m in maps.sort_values("block").itertuples():
+            out.append((m.block, batch, count, total))
+            at = _next_start(count, total, list(m.head), rows, chars)
+            if at < 0:
+                count, total = count + int(m.size), total + int(sum(m.head))
+            else:
+                batch, count, total = batch + int(m.begun[at]), int(m.counts[at]), int(m.totals[at])
+        block, batches, counts, totals = zip(*out)
+        return pd.DataFrame({by: maps[by].iloc[0], "block": block, "batch": batches, "count": counts, "total": totals})
+
+    def walked(found: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("row")
+        (batch, count, total), out = before[["batch", "count", "total"]].iloc[0].tolist(), []
+        for n in found["n"].fillna(0):
+            if count >= rows or total >= chars:
+                batch, count, total = batch + 1, 0, 0
+            count, total = count + 1, total + int(n)
+            out.append(batch)
+        return found[[by, order, "n"]].assign(batch=out)
+
+    maps = placed.groupBy(by, "block").applyInPandas(mapped, f"{key}, head array<long>, size long, begun array<long>, counts array<long>, totals array<long>")
+    states = checkpointed(maps.groupBy(by).applyInPandas(composed, f"{key}, batch long, count long, total long"))
+    return placed.groupBy(by, "block").cogroup(states.groupBy(by, "block")).applyInPandas(walked, f"{by} {types[by]}, {order} {types[order]}, n long, batch long")

@@ -107,13 +107,13 @@ def split_lines(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(chunking.line_pieces(F.col("text"))).alias("chunk_index", "piece"))
 
 
-@query("""with recursive o as (select source || '/' || (doc_id // 500) as grp, doc_id, length(text)::bigint as chars, row_number() over (partition by source || '/' || (doc_id // 500) order by doc_id) as i from documents),
+@query("""with recursive o as (select source as grp, doc_id, length(text)::bigint as chars, row_number() over (partition by source order by doc_id) as i from documents),
 w as (select grp, doc_id, chars, i, 0::bigint as batch, 1 as rows, chars as total from o where i = 1
 union all select o.grp, o.doc_id, o.chars, o.i, case when w.rows >= 30 or w.total >= 48000 then w.batch + 1 else w.batch end, case when w.rows >= 30 or w.total >= 48000 then 1 else w.rows + 1 end, case when w.rows >= 30 or w.total >= 48000 then o.chars else w.total + o.chars end
 from w join o on o.grp = w.grp and o.i = w.i + 1) select grp, doc_id, chars, batch from w""")
 def embed_batches(spark, sf_dir):
-    """Sources are cut into ranges of 500 numbers, so that no source is walked in one task."""
-    docs = table(spark, sf_dir, "documents").select(F.expr("source || '/' || (doc_id div 500)").alias("grp"), "doc_id", "text")
+    """The documents of each source in batches for a model."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), "doc_id", "text")
     return chunking.embedding_batches(docs, "grp", "doc_id", "text").withColumnRenamed("n", "chars")
 
 

@@ -1,5 +1,7 @@
 """The splitters against plain versions and fixtures."""
 
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -98,6 +100,24 @@ def test_embedding_batches(spark):
     assert [got["a", i] for i in range(7)] == [0, 0, 0, 1, 1, 1, 2] and all(got["a", i] == got["b", i] for i in range(7))
 
 
+def test_batches_over_blocks(spark, monkeypatch):
+    """A group over many blocks, batches that span them, empty and null texts: as one walk does it."""
+    monkeypatch.setattr(chunking, "BATCH_BLOCK", 7)
+    rng = random.Random(4)
+    rows = [(s, i, None if rng.random() < 0.05 else "x" * rng.choice([0, 1, 3, 9, 40])) for s in ("a", "b", None) for i in range(60 if s == "a" else 9)]
+    got = {(r["s"], r["i"]): r["batch"] for r in chunking.embedding_batches(spark.createDataFrame(rows, "s string, i int, t string"), "s", "i", "t", rows=5, chars=60).collect()}
+    want = {}
+    for s in ("a", "b", None):
+        batch, count, total = 0, 0, 0
+        for name, i, text in rows:
+            if name == s:
+                if count >= 5 or total >= 60:
+                    batch, count, total = batch + 1, 0, 0
+                count, total = count + 1, total + len(text or "")
+                want[s, i] = batch
+    assert got == want
+
+
 def test_collection(spark, tmp_path):
     store = Collection(spark, str(tmp_path / "c"))
     assert not store.healthy()
