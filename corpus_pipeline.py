@@ -6,7 +6,8 @@ caller clears them once the result is written.
 
 Every stage decides row by row, by the row's text: null and empty texts count as the empty text, rows without an id and
 rows that share one are no exception, rows equal in id and text are one row after the near-duplicate stage, columns
-beyond those of documents are carried along, and an empty table gives an empty result at every stage.
+beyond those of documents are carried along up to the last stage, whose rows are pieces, and an empty table gives an
+empty result at every stage.
 """
 
 from __future__ import annotations
