@@ -138,7 +138,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = O
 
     Full pieces are sequences of their own; the others are packed twice: pieces into bins, then the bins that have room
     left into sequences, which joins what the tasks of the first pass left half empty. Empty and null texts are one
-    end token. Rows that share an id are packed each on its own. An empty table gives no rows.
+    end token. Rows that share an id, and rows without one, are packed each on its own; long texts are read whole and cut.
+    Only ``doc_id`` and ``text`` are read: other columns are not carried along, whatever they are called. An empty table
+    gives no rows.
     """
     pieces = checkpointed(token_pieces(docs))
     return pack_pieces(pieces, capacity, open_bins)

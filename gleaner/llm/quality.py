@@ -207,8 +207,9 @@ def fitted(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS, steps: int
 def quality_scores(docs: DataFrame, net: ByteNet) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each row, from its text alone.
 
-    Null texts score as empty ones; repeated rows come back repeated; a null id is not held out; an empty table gives
-    no rows.
+    Null texts score as empty ones; long texts are read whole; repeated rows come back repeated; a null id is not held
+    out; other columns play no part, whatever they are called; an empty table gives no rows. A network that had no label
+    to learn from, or labels of one kind, scores all the same, without meaning.
     """
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(net)(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

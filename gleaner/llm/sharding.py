@@ -109,7 +109,8 @@ def shard_rows(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int
     The row number is the row's place in the order of ``keys`` (nulls first); the permutation sends it to a position,
     and ``shard = position mod shards``, ``slot = position div shards``. So counts differ by one at most, slots have no
     gaps, and any row's shard can be computed from its number and the row count alone. Rows equal in all keys are
-    interchangeable. An empty table gives no rows.
+    interchangeable, null and very long texts are values like others. Columns of the names ``position``, ``shard`` and
+    ``slot`` that the input has are replaced, all others stay as they are. An empty table gives no rows.
     """
     n = rows.count()
     placed = permute(with_row_number(rows, keys, "position"), "position", n, seed)

@@ -430,6 +430,23 @@ def test_quality_on_held_out_rows(spark):
     assert auc > 0.98 and np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.96
 
 
+def test_forward_pass_is_that_of_plain_loops_over_windows():
+    rng, net = random.Random(7), quality.ByteNet.fresh(3)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 3, 7, 250, 252, 253, 256, 300, 900, 2000)]
+    got = net.scores(texts)
+    width, step, half = quality.WIDTH, quality.STRIDE, quality.HALF
+    for text, score in zip(texts, got):
+        padded = text + b"\0" * (-(len(text) + step) % half + step)
+        tops = []
+        for start in range(0, len(padded), half):
+            windows = [padded[at : at + width] for at in range(start, start + half, step) if at + width <= len(padded)]
+            tops.append(np.max([net.embed[list(w)].reshape(-1).astype(float) @ net.filters for w in windows], axis=0) + net.bias)
+        chunks = [np.maximum(top, after) for top, after in zip(tops, [*tops[1:], tops[-1]])]
+        hidden = np.array([np.maximum(np.maximum(c, 0) @ net.hidden + net.hidden_bias, 0) for c in chunks])
+        want = np.concatenate([hidden.mean(axis=0), hidden.max(axis=0)]) @ net.out + net.out_bias[0]
+        assert abs(want - score) < 1e-4 * max(1, abs(want))
+
+
 def test_gradients():
     net = quality.ByteNet(*(p.astype(np.float64) for p in quality.ByteNet.fresh(3).params()))
     texts, labels = [b"abc def " * 90, b"", b"x!!y" * 40], np.array([1.0, 0.0, 1.0])

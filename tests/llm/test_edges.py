@@ -96,6 +96,9 @@ def test_sharding(docs, none):
         slots = sorted(r["slot"] for r in got if r["shard"] == s)
         assert slots == list(range(len(slots))) and len(slots) in (2, 3)
     assert sharding.shard_rows(none.select("doc_id"), ["doc_id"]).count() == 0
+    clashing = sharding.shard_rows(docs.withColumns({"shard": F.lit("x"), "slot": F.lit("x")}), ["doc_id", "text"], shards=4)
+    assert sorted(r["position"] for r in clashing.collect()) == list(range(len(ROWS))) and set(docs.columns) <= set(clashing.columns)
+    assert {r["label"] for r in clashing.collect()} == {"x"}
 
 
 def test_token_counts(docs, none):
