@@ -25,13 +25,13 @@ from gleaner.llm.common import checkpointed, read_table
 NEIGHBOURS = 10
 QUERY_STEP = 100
 #: Bounds: lists, rows (and numbers) that centroids are fitted on, rows whose exact neighbours are asked for.
-MAX_LISTS, SAMPLE_ROWS, SAMPLE_VALUES, TRIED_ROWS = 1024, 16384, 1 << 22, 64
+MAX_LISTS, SAMPLE_ROWS, SAMPLE_VALUES, TRIED_ROWS = 1024, 16384, 1 << 22, 128
 #: The share of exact neighbours of the tried rows that must lie in the lists scanned.
-TARGET = 0.97
+TARGET = 0.98
 FIT_ROUNDS = 8
 COLUMNS = 8
-#: Width of the hypothesis test; at this value a neighbour is lost about once in a thousand scans.
-EPSILON = 2.1
+#: Width of the hypothesis tests, of which a neighbour within the bound passes one after each block of columns.
+EPSILON = 3.0
 #: Rows of a list that are scanned in one task are the mean list's, between these; queries in a group.
 LEAST_BLOCK, MOST_BLOCK, GROUP_ROWS = 256, 8192, 4096
 
@@ -212,10 +212,11 @@ def adaptive_neighbours(vectors: DataFrame, is_query: Column, k: int = NEIGHBOUR
     some = rows if n <= 2 * most else rows.filter(F.pmod(mixed, F.lit(1 << 40)) < F.lit(int((1 << 40) * 1.5 * most / n)))
     sample = some.orderBy(mixed, "vec_id").limit(most).collect()  # bounded by SAMPLE_ROWS and SAMPLE_VALUES
     drawn = _matrix(pd.Series([r["v"] for r in sample]), width)
-    index = Index(drawn, min(MAX_LISTS, max(1, isqrt(n)), max(1, len(drawn) // 8)))
+    tried = drawn[:TRIED_ROWS]
+    rest = drawn[TRIED_ROWS:] if len(drawn) > 4 * TRIED_ROWS else drawn  # rows that centroids are fitted to lie too near to them
+    index = Index(rest, min(MAX_LISTS, max(1, isqrt(n)), max(1, len(rest) // 8)))
     placed = checkpointed(rows.withColumn("is_query", is_query).mapInPandas(_placed(index), "vec_id long, v array<double>, is_query boolean, cell int, r binary"))
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a list
-    tried = drawn[:TRIED_ROWS]
     ids = np.array([r["vec_id"] for r in sample[:TRIED_ROWS]])
     near = placed.select("vec_id", "v", "cell").mapInPandas(_tried(index, ids, tried, k), "query_id long, gap double, cell int")
     by = Window.partitionBy("query_id").orderBy("gap")
