@@ -255,31 +255,45 @@ def label_paths(edges: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFra
     return asked.join(told, ["repo", "source_label", "target_label"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
-def structural_context(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, summaries: DataFrame, gods: DataFrame, k: int = 5, most: int = 3, budget: int = 1000) -> DataFrame:
-    """``repo, block``: what the graph says about the nodes of scored chunks (``chunk_id, rank, repo, ...``).
-
-    For each matched node, once and in the chunks' order: its community's summary (the first ``most`` communities that
-    have one), then the node with its told neighbours each way. Repositories come in the order of their first chunk;
-    blocks stop once the token budget is used up, but the first is always told.
+def structural_context(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, summaries: DataFrame, gods: DataFrame, k: int = 5, most: int = 3) -> DataFrame:
+    """``query_id, repo, rank, block``: what the graph says about the nodes of each question's scored chunks (``query_id,
+    chunk_id, repo, source_path, section_header, rank, budget``).
+
+    For each matched node, once and in the chunks' order: its community's summary (the first ``most`` communities of the
+    repository that have one), then the node with its told neighbours each way. Repositories come in the order of their
+    first chunk; a question's blocks stop once its token budget is used up, but the first is always told. A chunk is
+    matched once however many questions have it; chunks without a path or header are left out.
     """
-    matched = chunks.join(match_chunks(chunks, nodes), "chunk_id").join(nodes.select("repo", "id", "label", "community"), ["repo", "id"])
-    once = matched.groupBy("repo", "id").agg(F.min_by(F.struct("rank", "label", "community", "source_path"), "rank").alias("m")).select("repo", "id", "m.*")
+    asked = chunks.filter("source_path <> '' and section_header <> ''")
+    places = checkpointed(match_chunks(asked.select("chunk_id", "repo", "source_path", "section_header").dropDuplicates(["chunk_id"]), nodes).select("chunk_id", "id"))
+    told = nodes.select("repo", "id", "label", "community").join(places.select("id").distinct(), "id", "left_semi")
+    matched = asked.join(places, "chunk_id").join(told, ["repo", "id"])
+    once = checkpointed(matched.groupBy("query_id", "repo", "id").agg(F.min_by(F.struct("rank", "label", "community", "source_path", "budget"), "rank").alias("m")).select("query_id", "repo", "id", "m.*"))
+    known = once.select("repo", "id").distinct()
+    near = neighbors(both_ends(edges, known), nodes, 2 * k).join(known, ["repo", "id"], "left_semi").filter(F.col("relation").isin(*lexicons.TOLD_RELATIONS)).drop("rank")
+    near = top_k(near, ["repo", "id", "direction"], k, F.col("ord"), F.col("neighbor"))
+    ways = near.groupBy("repo", "id", "direction").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("neighbor_label", F.lit(" ("), "relation", F.lit(")")).alias("t")))), lambda x: x["t"]), ", ").alias("t"))
+    lists = ways.groupBy("repo", "id").agg(F.max(F.when(F.col("direction") == "outgoing", F.col("t"))).alias("out"), F.max(F.when(F.col("direction") == "incoming", F.col("t"))).alias("into"))
     tagged = once.join(gods.select("repo", "id", F.lit(" [god-node]").alias("tag")).distinct(), ["repo", "id"], "left")
-    near = neighbors(edges, nodes, 2 * k).filter(F.col("relation").isin(*lexicons.TOLD_RELATIONS)).drop("rank")
-    near = top_k(near.join(once.select("repo", "id"), ["repo", "id"]), ["repo", "id", "direction"], k, F.col("ord"), F.col("neighbor"))
-    told = near.groupBy("repo", "id", "direction").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("neighbor_label", F.lit(" ("), "relation", F.lit(")")).alias("t")))), lambda x: x["t"]), ", ").alias("t"))
-    lists = told.groupBy("repo", "id").agg(F.max(F.when(F.col("direction") == "outgoing", F.col("t"))).alias("out"), F.max(F.when(F.col("direction") == "incoming", F.col("t"))).alias("into"))
-    lines = tagged.join(lists, ["repo", "id"], "left").join(summaries, ["repo", "community"], "left")
-    first = ranked(lines.filter("summary is not null").select("repo", "community", "rank").groupBy("repo", "community").agg(F.min("rank").alias("rank")), ["repo"], F.col("rank"), name="place").filter(F.col("place") <= most)
-    lines = lines.join(first.select("repo", "community", F.col("rank").alias("first_rank")), ["repo", "community"], "left")
+    lines = tagged.join(lists, ["repo", "id"], "left").join(summaries.select("repo", "community", "summary"), ["repo", "community"], "left")
+    first = lines.filter("summary is not null").groupBy("query_id", "repo", "community").agg(F.min("rank").alias("first_rank"))
+    first = top_k(first, ["query_id", "repo"], most, F.col("first_rank")).drop("rank")
+    lines = lines.join(first, ["query_id", "repo", "community"], "left")
+    # The words and marks of a block.
     node = F.when(F.col("out").isNotNull() | F.col("into").isNotNull(), F.concat_ws("\n", F.concat(F.col("label"), F.lit(" ("), F.col("source_path"), F.lit(")"), F.coalesce("tag", F.lit("")), F.lit(":")), F.concat(F.lit("  chama/usa: "), F.col("out")), F.concat(F.lit("  chamado por: "), F.col("into"))))
     summary = F.when(F.col("first_rank") == F.col("rank"), F.concat(F.lit("Comunidade "), F.col("community"), F.lit(": "), F.col("summary")))
-    parts = lines.select("repo", "rank", F.concat_ws("\n", summary, node).alias("line")).filter("line <> ''")
-    blocks = parts.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("body"), F.min("rank").alias("rank"))
-    full = blocks.select("repo", "rank", F.concat(F.lit("[CONTEXTO ESTRUTURAL — "), F.col("repo"), F.lit("]\n"), F.col("body"), F.lit("\n[/CONTEXTO ESTRUTURAL — "), F.col("repo"), F.lit("]")).alias("block"))
-    used = F.sum(estimated_tokens(F.col("block"))).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))  # one row a repository of one query
-    place = F.row_number().over(Window.orderBy("rank"))
-    return full.withColumns({"used": used, "place": place}).filter((F.col("place") == 1) | (F.col("used") <= budget)).select("repo", "rank", "block")
+    parts = lines.select("query_id", "repo", "rank", "budget", F.concat_ws("\n", summary, node).alias("line")).filter("line <> ''")
+    blocks = parts.groupBy("query_id", "repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("body"), F.min("rank").alias("rank"), F.max("budget").alias("budget"))
+    full = blocks.select("query_id", "repo", "rank", "budget", F.concat(F.lit("[CONTEXTO ESTRUTURAL — "), F.col("repo"), F.lit("]\n"), F.col("body"), F.lit("\n[/CONTEXTO ESTRUTURAL — "), F.col("repo"), F.lit("]")).alias("block"))
+    over = Window.partitionBy("query_id").orderBy("rank")  # at most one row a repository
+    used = F.sum(estimated_tokens(F.col("block"))).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    return full.withColumns({"used": used, "place": F.row_number().over(over)}).filter("place = 1 or used <= budget").select("query_id", "repo", "rank", "block")
+
+
+def both_ends(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """The edges at known nodes (``repo, id``), each once."""
+    at = lambda end: edges.join(known.withColumnRenamed("id", end), ["repo", end], "left_semi")
+    return at("source").unionByName(at("target").join(known.withColumnRenamed("id", "source"), ["repo", "source"], "left_anti"))
 
 
 def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -213,13 +213,6 @@ def graph_load(spark, sf_dir):
     return parsed_nodes(nodes(spark, sf_dir).select("repo", F.to_json(F.struct(F.array(node).alias("nodes"))).alias("document")))
 
 
-@query()
-def graph_context(spark, sf_dir):
-    """What the graph says about its best connected symbols; tested on a fixture."""
-    chunks = graph_only(spark, sf_dir).select(F.col("id").alias("chunk_id"), "repo", F.col("source_file").alias("source_path"), F.col("label").alias("section_header"), (F.expr("cast(substr(repo, 2) as int)") * 10 + F.col("rank")).alias("rank"))
-    return graph.structural_context(chunks, nodes(spark, sf_dir), edges(spark, sf_dir), summaries(spark, sf_dir), gods(spark, sf_dir))
-
-
 @query(f"""with {_GRAPH}, {_LARGE}, {_INNER}, k as (select n.* from n join g using (repo, community) where source_file <> ''), c as (select repo, community, source_file, count(*) as symbols, min(ord) as ord from k group by all),
 r as (select *, row_number() over (partition by repo, community order by symbols desc, ord) as rank from c), s as (select *, row_number() over (partition by repo, community, source_file order by ord) as p from k),
 fl as (select r.repo, r.community, r.source_file, rank, string_agg(label, ', ' order by s.ord) || case when any_value(symbols) > 5 then ' (+' || (any_value(symbols) - 5) || ')' else '' end as listed from r join s on r.repo = s.repo and r.community = s.community and r.source_file = s.source_file where rank <= 10 and p <= 5 group by all),

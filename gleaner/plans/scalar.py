@@ -79,6 +79,10 @@ _LOCAL = f"list_has_any({_sql_words(_PUNCTUATION + '{}')}, {sql_list(lexicons.LO
 _STRUCT = _sql_graph(_PUNCTUATION + "{}")
 
 
+#: The mode that a question's words ask for, in SQL.
+HEURISTIC_MODE = f"case when {_LOCAL} and {_STRUCT} then 'RAG_AND_GRAPH' when {_STRUCT} then 'NO_CONTEXT' when {_LOCAL} then 'RAG_ONLY' else 'NO_CONTEXT' end"
+
+
 @query(f"""with r as (select conv_id, turn, {_LOCAL} as l, {_STRUCT} as g from conversations)
 select conv_id, turn, case when l and g then 'RAG_AND_GRAPH' when g then 'NO_CONTEXT' when l then 'RAG_ONLY' else 'NO_CONTEXT' end as mode,
 (case when l and g then 0.7 when g then 0.5 when l then 0.7 else 0.6 end)::double as confidence from r""")

@@ -258,13 +258,17 @@ def existing_ids(spark, sf_dir):
 _BOUNDS = "k as (select query_id, case when size <= 1000 then k else greatest(3, least(30, floor(k * (1 + log10(size / 1000)))::int)) end as k from (select item_id as query_id, case {kind} when 'simple' then 3 when 'complex' then 20 else 10 end as k, (select count(*) from documents) as size from benchmark))"
 
 
-@query(f"""with {_BM25}, {_BOUNDS.replace("{kind}", _COMPLEX)},
+#: The scores of each question, as it is and as its keywords, by words (b) and by vectors (d).
+ASKED_LISTS = f"""{_BM25}, {_BOUNDS.replace("{kind}", _COMPLEX)},
 kw as (select item_id, text, list_filter(list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda v: trim(v, '.,!?:;"''()[]')), lambda v: v <> ''), lambda v: not list_contains({sql_list(lexicons.STOP_WORDS)}, v) and length(v) > 2) as k from benchmark),
 a as (select item_id as query_id, 0 as variant, text from benchmark union all select item_id, 1, t from (select item_id, text, case when len(k) > 0 then array_to_string(k, ' ') else text end as t from kw) where t <> trim(lower(text), {SQL_BLANKS}) and length(t) > 3),
 qt as (select query_id, variant, unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) as term from a), qc as (select query_id, variant, term, count(*) as tf from qt where not list_contains({sql_list(lexicons.STOP_WORDS)}, term) group by all),
 qw as (select query_id, variant, term, idf * tf * 2.5::double / (tf + 1.5::double) as query_weight from qc join w using (term)),
 b as (select query_id, variant, doc_id, round(sum(weight * query_weight), 6) as score from x join qw using (term) group by all),
-d as (select q.vec_id as query_id, 0 as variant, e.vec_id as doc_id, {_COSINE} as score from embeddings e, embeddings q where q.vec_id in (select item_id from benchmark)),
+d as (select q.vec_id as query_id, 0 as variant, e.vec_id as doc_id, {_COSINE} as score from embeddings e, embeddings q where q.vec_id in (select item_id from benchmark))"""
+
+
+@query(f"""with {ASKED_LISTS},
 u as (select *, row_number() over (partition by query_id, variant, side order by score desc, doc_id) as rank from (select *, 'b' as side from b union all select *, 'd' from d)),
 f as (select query_id, variant, doc_id, round(sum(1.0::double / (2 + rank - 1)), 6) as score from u join k using (query_id) where rank <= 2 * least(3 * k, 50) group by all),
 h as (select * from (select *, row_number() over (partition by query_id, variant order by score desc, doc_id) as rank from f) join k using (query_id) where rank <= least(3 * k, 50)),
@@ -279,8 +283,17 @@ select query_id, doc_id, source, score, tokens, rank::int as rank from o where r
 def retrieve(spark, sf_dir):
     """The flagship, for every benchmark question: how many results it wants; dense and sparse lists of the question, and a
     sparse list of its keywords, fused by rank; the best of each passage; no navigation; threshold, gate, token budget."""
-    size = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("size"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    first = hits(spark, sf_dir, asked).drop("collection")
+    gate = ranking.relevance_gate(first, ["query_id"], "score").filter("accepted").select("query_id")
+    kept = ranking.within_budget(first.drop("rank").join(gate, "query_id", "left_semi"), ["query_id"], "text", 4000, F.desc("score"), F.col("doc_id"))
+    return kept.select("query_id", "doc_id", "source", "score", "tokens", "rank")
+
+
+def hits(spark, sf_dir, asked, code=None):
+    """``query_id, collection, doc_id, source, lang, text, score, rank``: the first passages of notes for each question
+    (``query_id, text``), and of code where ``code`` (``doc_id``) tells which documents are that too. One index serves both."""
+    size = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("size"))
     wanted = asked.crossJoin(F.broadcast(size)).select("query_id", text.scaled_k(text.adaptive_k(text.complexity(F.col("text")), K), F.col("size")).alias("k"))
     wanted = checkpointed(wanted.withColumn("more", F.least(3 * F.col("k"), F.lit(50))))
     counts, stats, weights = bm25_parts(spark, sf_dir)
@@ -288,18 +301,24 @@ def retrieve(spark, sf_dir):
     terms = checkpointed(terms)
     worded = sparse.sparse_scores(sparse.document_weights(counts, weights, stats, "doc_id", terms.select("term")), sparse.query_weights(terms, weights, "asked"), "doc_id", "asked")
     vectors = table(spark, sf_dir, "embeddings")
-    near = ranking.dense_pairs(vectors, vectors.join(asked, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 100)
-    near = near.drop("rank").select(F.struct("query_id", F.lit(0).alias("variant")).alias("asked"), F.col("vec_id").alias("doc_id"), "score")
-    lists = [_first(found, wanted, 2 * F.col("more")) for found in (near, worded)]
-    fused = ranking.fused(lists, "asked", "doc_id", 50)
-    best = _first(fused.drop("rank"), wanted, F.col("more")).groupBy("asked.query_id", "doc_id").agg(F.max("score").alias("score"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    told = checkpointed(best.join(docs, "doc_id").filter(~text.navigates(F.lit(""), F.col("text"))))
-    good = ranking.above_dynamic_threshold(told, ["query_id"], "score")
-    gate = ranking.relevance_gate(good, ["query_id"], "score").filter("accepted").select("query_id")
-    first = ranking.top_k(good.join(gate, "query_id", "left_semi").join(wanted, "query_id"), ["query_id"], F.col("k"), F.desc("score"), F.col("doc_id"))
-    kept = ranking.within_budget(first.drop("rank"), ["query_id"], "text", 4000, F.desc("score"), F.col("doc_id"))
-    return kept.select("query_id", "doc_id", "source", "score", "tokens", "rank")
+    queries = vectors.join(asked, F.col("vec_id") == F.col("query_id"), "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+    def nearest(some, collection):
+        found = ranking.dense_pairs(some, queries, 100).drop("rank")
+        return found.select(F.struct(F.lit(collection).alias("collection"), "query_id", F.lit(0).alias("variant")).alias("asked"), F.col("vec_id").alias("doc_id"), "score")
+
+    near, kinds = nearest(vectors, "notes"), F.array(F.lit("notes"))
+    if code is not None:
+        near = near.unionByName(nearest(vectors.join(code, F.col("vec_id") == F.col("doc_id"), "left_semi"), "code"))
+        worded = worded.join(code.select("doc_id", F.lit(True).alias("is_code")), "doc_id", "left")
+        kinds = F.when(F.col("is_code"), F.array(F.lit("notes"), F.lit("code"))).otherwise(kinds)
+    worded = worded.withColumn("collection", F.explode(kinds)).select(F.struct("collection", "asked.query_id", "asked.variant").alias("asked"), "doc_id", "score")
+    fused = ranking.fused([_first(found, wanted, 2 * F.col("more")) for found in (near, worded)], "asked", "doc_id", 50)
+    best = _first(fused.drop("rank"), wanted, F.col("more")).groupBy("asked.collection", "asked.query_id", "doc_id").agg(F.max("score").alias("score"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    told = checkpointed(best.join(docs, "doc_id").filter((F.col("collection") == "code") | ~text.navigates(F.lit(""), F.col("text"))))
+    good = ranking.above_dynamic_threshold(told, ["collection", "query_id"], "score")
+    return ranking.top_k(good.join(wanted, "query_id"), ["collection", "query_id"], F.col("k"), F.desc("score"), F.col("doc_id")).drop("k", "more")
 
 
 def _first(found, wanted, k):

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from gleaner.plans import chunks, graphs, registry, scalar, search, snapshots  # noqa: F401
+from gleaner.plans import chunks, context, graphs, registry, scalar, search, snapshots  # noqa: F401
 
 
 def plain(v):

@@ -33,8 +33,11 @@ def test_swap_deltas_and_windows(spark, tmp_path):
 def test_structural_context(spark):
     nodes = spark.createDataFrame([("r", "a", "run()", "x/a.py", "1", 0), ("r", "b", "load", "x/b.py", "1", 1), ("r", "c", "save", "x/c.py", "2", 2)], "repo string, id string, label string, source_file string, community string, ord int")
     edges = spark.createDataFrame([("r", 0, "a", "b", "calls", 1.0), ("r", 1, "c", "a", "uses", 1.0), ("r", 2, "a", "c", "contains", 1.0)], "repo string, ord int, source string, target string, relation string, weight double")
-    chunks = spark.createDataFrame([(1, "r", "app/x/a.py", "run (parte 2)", 1), (2, "r", "x/c.py", "save", 2), (3, "r", "nowhere.py", "run", 3)], "chunk_id int, repo string, source_path string, section_header string, rank int")
+    rows = [(1, "r", "app/x/a.py", "run (parte 2)", 1), (2, "r", "x/c.py", "save", 2), (3, "r", "nowhere.py", "run", 3)]
+    asked = [(q, *row, 1000) for q in (7, 8) for row in rows if q == 7 or row[0] == 2]  # the second question has one of the passages
+    chunks = spark.createDataFrame(asked, "query_id int, chunk_id int, repo string, source_path string, section_header string, rank int, budget int")
     summaries = spark.createDataFrame([("r", "1", "runs things")], "repo string, community string, summary string")
     gods = spark.createDataFrame([("r", "a")], "repo string, id string")
-    told = graph.structural_context(chunks, nodes, edges, summaries, gods).collect()
-    assert [r["block"] for r in told] == ["[CONTEXTO ESTRUTURAL — r]\nComunidade 1: runs things\nrun() (app/x/a.py) [god-node]:\n  chama/usa: load (calls)\n  chamado por: save (uses)\nsave (x/c.py):\n  chama/usa: run() (uses)\n[/CONTEXTO ESTRUTURAL — r]"]
+    told = graph.structural_context(chunks, nodes, edges, summaries, gods).orderBy("query_id").collect()
+    assert told[1]["query_id"] == 8 and told[1]["block"] == "[CONTEXTO ESTRUTURAL — r]\nsave (x/c.py):\n  chama/usa: run() (uses)\n[/CONTEXTO ESTRUTURAL — r]"
+    assert [r["block"] for r in told[:1]] == ["[CONTEXTO ESTRUTURAL — r]\nComunidade 1: runs things\nrun() (app/x/a.py) [god-node]:\n  chama/usa: load (calls)\n  chamado por: save (uses)\nsave (x/c.py):\n  chama/usa: run() (uses)\n[/CONTEXTO ESTRUTURAL — r]"]
