@@ -43,6 +43,19 @@ f as (select repo, id, neighbor, arg_min(relation, ord) as relation, arg_min(dir
 v as (select *, row_number() over (partition by repo, id order by ord, neighbor)::int as rank from f)"""
 
 
+_COUNTS = """c as (select x.repo, x.nodes, coalesce(y.edges, 0) as edges, coalesce(z.communities, 0) as communities from (select repo, count(*) as nodes from n group by repo) x
+left join (select repo, count(*) as edges from e group by repo) y using (repo) left join (select repo, count(*) as communities from g group by repo) z using (repo))"""
+_ODD = """od as (select * from (select e.repo, row_number() over (partition by e.repo order by weight desc, e.ord)::int as surprise_id, a.label as source, b.label as target, relation, 'joins ' || a.community || ' and ' || b.community as why, a.source_file as sf, b.source_file as tf
+from e join n a on e.source = a.id join n b on e.target = b.id where a.community <> b.community) where surprise_id <= 5)"""
+#: When the notes of these queries say that they were made.
+MADE_AT = "2024-01-01T00:00:00Z"
+
+
+def _front(column: str) -> str:
+    """A string in front matter, in SQL."""
+    return f"case when translate({column}, '{export.QUOTED_FOR}', '') <> {column} then '\"' || {column} || '\"' else {column} end"
+
+
 @query(f"with {_GRAPH}, w as (select repo, source as id from e union all select repo, target from e) select n.repo, n.id, n.community, count(*) as degree from w join n using (repo, id) group by all")
 def graph_degree(spark, sf_dir):
     return graph.degrees(edges(spark, sf_dir), nodes(spark, sf_dir))
@@ -101,9 +114,12 @@ def community_surprises(spark, sf_dir):
     return graph.community_surprises(told, found)
 
 
-@query(f"""with {_GRAPH}, {_INNER}, t as (select *, row_number() over (partition by repo, community order by weight desc, ord) as rank, count(*) over (partition by repo, community) as all_of from i where relation in {lexicons.TOLD_RELATIONS})
+_DIAGRAM = f"""with t as (select *, row_number() over (partition by repo, community order by weight desc, ord) as rank, count(*) over (partition by repo, community) as all_of from i where relation in {lexicons.TOLD_RELATIONS})
 select repo, community, 'graph LR' || chr(10) || string_agg('    ' || regexp_replace(a, '[^a-zA-Z0-9_]', '_', 'g') || '["' || a || '"] ' || case relation when 'calls' then '-->' else '--' || relation || '-->' end || ' ' || regexp_replace(b, '[^a-zA-Z0-9_]', '_', 'g') || '["' || b || '"]', chr(10) order by rank) as diagram
-from t where rank <= 12 and all_of >= 3 group by all""")
+from t where rank <= 12 and all_of >= 3 group by all"""
+
+
+@query(f"with {_GRAPH}, {_INNER} select * from ({_DIAGRAM})")
 def mermaid(spark, sf_dir):
     return graph.diagrams(edges(spark, sf_dir), nodes(spark, sf_dir))
 
@@ -193,17 +209,76 @@ def graph_only(spark, sf_dir):
 
 
 @query(f"""with {_GRAPH}, w as (select repo, source as id from e union all select repo, target from e), d as (select repo, id, count(*) as degree from w group by all),
-g as (select d.*, n.label, n.source_file, n.community, row_number() over (partition by d.repo order by degree desc, ord) as rank from d join n using (repo, id)),
+g as (select d.*, n.label, n.source_file, n.community, n.ord, row_number() over (partition by d.repo order by degree desc, ord) as rank from d join n using (repo, id)),
 b as (select repo, source as id, target as other, relation, 'out' as way, ord from e union all select repo, target, source, relation, 'in', ord from e where source <> target),
 r as (select b.*, coalesce(n.label, other) as name, row_number() over (partition by b.repo, b.id, way order by b.ord, other) as rank from b left join n on b.repo = n.repo and b.other = n.id),
 t as (select repo, id, string_agg('- `' || name || '` ← ' || relation, chr(10) order by rank) filter (where way = 'out') as o, string_agg('- `' || name || '` → ' || relation, chr(10) order by rank) filter (where way = 'in') as i from r where rank <= 15 group by all)
-select g.repo, g.id, g.repo || '/nodes/' || regexp_replace(label, '[\\\\/:*?"<>|#\\[\\]^]', '_', 'g') || '.md' as path, '---' || chr(10) || 'repo: ' || g.repo || chr(10) || 'symbol: "' || label || '"' || chr(10) || 'source_file: "' || source_file || '"' || chr(10) || 'degree: ' || degree || chr(10) || 'community: ' || community || chr(10)
-|| 'tags: [god-node]' || chr(10) || '---' || chr(10) || chr(10) || '# `' || label || '`' || chr(10) || chr(10) || '> [[../Overview]] | [[../Community-' || community || ']] | Degree: ' || degree || chr(10) || chr(10) || '**Ficheiro:** `' || source_file || '`' || chr(10)
+select g.repo, g.id, g.repo || '/nodes/' || regexp_replace(replace(replace(label, '|', '-'), '/', '_'), '[\\[\\]#]', '', 'g') || '.md' as path, '---' || chr(10) || 'repo: ' || g.repo || chr(10) || 'symbol: ' || {_front("label")} || chr(10) || 'source_file: ' || {_front("source_file")} || chr(10) || 'degree: ' || degree || chr(10) || 'community: ' || community || chr(10)
+|| 'tags: [god-node]' || chr(10) || '---' || chr(10) || chr(10) || '# `' || label || '`' || chr(10) || chr(10) || '> [[../Overview]] | [[../Community-' || community || ']] | Degree: ' || degree || chr(10) || chr(10) || '**Ficheiro:** `' || source_file || '` L' || (ord % 90 + 1) || chr(10)
 || coalesce(chr(10) || '## Chamadas / Dependências (outgoing)' || chr(10) || chr(10) || o || chr(10), '') || coalesce(chr(10) || '## Usado por (incoming)' || chr(10) || chr(10) || i || chr(10), '') as note
 from g left join t on g.repo = t.repo and g.id = t.id where g.rank <= 5""")
 def node_notes(spark, sf_dir):
     """A Markdown note for each of the best connected symbols of each repository."""
-    return export.node_notes(gods(spark, sf_dir), nodes(spark, sf_dir), edges(spark, sf_dir))
+    located = nodes(spark, sf_dir).withColumn("source_location", F.concat(F.lit("L"), (F.col("ord") % 90 + 1).cast("string")))
+    return export.node_notes(gods(spark, sf_dir), located, edges(spark, sf_dir))
+
+
+def surprises(spark, sf_dir):
+    """The five heaviest edges between two communities of each repository."""
+    side = lambda end: nodes(spark, sf_dir).select("repo", F.col("id").alias(end), F.col("label").alias(f"{end}_label"), F.col("source_file").alias(f"{end}_file"), F.col("community").alias(f"{end}_community"))
+    across = edges(spark, sf_dir).join(side("source"), ["repo", "source"]).join(side("target"), ["repo", "target"]).filter("source_community <> target_community")
+    best = top_k(across, ["repo"], 5, F.desc("weight"), F.col("ord"))
+    why = F.concat(F.lit("joins "), "source_community", F.lit(" and "), "target_community")
+    return best.select("repo", F.col("rank").alias("surprise_id"), F.col("source_label").alias("source"), F.col("target_label").alias("target"), "relation", why.alias("why"), F.array("source_file", "target_file").alias("source_files"))
+
+
+def repositories(spark, sf_dir):
+    found = nodes(spark, sf_dir).select("repo").distinct()
+    return found.select("repo", F.concat(F.lit("/src/"), "repo").alias("source_path"), F.concat(F.lit("/out/"), "repo", F.lit("/graph-out/graph.json")).alias("graph_path"), F.lit(MADE_AT).alias("generated_at"))
+
+
+@query(f"""with {_GRAPH}, {_INNER}, {_LARGE}, {_ODD}, p as (select unnest({sql_list(x for x, _ in lexicons.PATH_TAGS)}) as pattern, unnest({sql_list(x for _, x in lexicons.PATH_TAGS)}) as tag),
+tg as (select repo, community, 'tags: [' || string_agg(distinct tag, ', ' order by tag) || ']' || chr(10) as t from n join p on contains(source_file, pattern) group by repo, community),
+dg as (select repo, community, '## Fluxo de Chamadas' || chr(10) || chr(10) || '```mermaid' || chr(10) || diagram || chr(10) || '```' || chr(10) || chr(10) as t from ({_DIAGRAM})),
+cf as (select distinct repo, community, source_file from n join g using (repo, community) where source_file <> ''),
+cp as (select a.repo, a.community, b.community as other, list_sort(list(a.source_file)) as files from cf a join cf b on a.repo = b.repo and a.source_file = b.source_file and a.community <> b.community group by all),
+ck as (select *, row_number() over (partition by repo, community order by len(files) desc, other::bigint) as rank from cp),
+cl as (select repo, community, '## Comunidades Relacionadas' || chr(10) || chr(10) || string_agg('- [[Community-' || other || ']] — ' || len(files) || ' ficheiro(s) partilhado(s): ' || array_to_string(list_transform(files[1:3], lambda x: '`' || x || '`'), ', ') || case when len(files) > 3 then ' (+' || (len(files) - 3) || ')' else '' end, chr(10) order by rank) || chr(10) || chr(10) as t from ck where rank <= 5 group by repo, community),
+sc as (select distinct o.repo, n.community, surprise_id, source, target, why from od o join n on n.repo = o.repo and n.source_file in (o.sf, o.tf)),
+sp as (select repo, community, '## Conexões Surpreendentes' || chr(10) || chr(10) || string_agg('> [!tip] `' || source || '` → `' || target || '`' || chr(10) || '> ' || why || chr(10), chr(10) order by surprise_id) || chr(10) as t from sc group by repo, community),
+mf as (select repo, community, source_file, string_agg('- ' || label, chr(10) order by label) as t from n join g using (repo, community) group by all),
+mb as (select repo, community, string_agg('### `' || source_file || '`' || chr(10) || t || chr(10), chr(10) order by source_file) as t from mf group by repo, community)
+select g.repo, g.community, g.repo || '/Community-' || g.community || '.md' as path, '---' || chr(10) || 'repo: ' || g.repo || chr(10) || 'community_id: ' || g.community || chr(10) || 'members_count: ' || members || chr(10) || coalesce(tg.t, '') || '---' || chr(10) || chr(10)
+|| '# Community ' || g.community || ' — ' || g.repo || chr(10) || chr(10) || '> [[Overview]] | ' || members || ' membros' || chr(10) || chr(10) || '> [!abstract] Propósito' || chr(10) || '> about ' || g.community || ' with ' || members || chr(10) || chr(10)
+|| coalesce(dg.t, '') || coalesce(cl.t, '') || coalesce(sp.t, '') || '## Membros por ficheiro' || chr(10) || chr(10) || coalesce(mb.t, '') as note
+from g left join tg using (repo, community) left join dg using (repo, community) left join cl using (repo, community) left join sp using (repo, community) left join mb using (repo, community)""")
+def community_notes(spark, sf_dir):
+    """A Markdown note for each large community."""
+    return export.community_notes(nodes(spark, sf_dir), edges(spark, sf_dir), summaries(spark, sf_dir), surprises(spark, sf_dir))
+
+
+@query(f"""with {_GRAPH}, {_LARGE}, {_ODD}, {_COUNTS}, w as (select repo, source as id from e union all select repo, target from e), d as (select repo, id, count(*) as degree from w group by all),
+r as (select d.*, n.label, n.source_file, row_number() over (partition by d.repo order by degree desc, ord) as rank from d join n using (repo, id)),
+bs as (select repo, string_agg('| [[nodes/' || regexp_replace(replace(label, '|', '-'), '[\\[\\]#]', '', 'g') || chr(92) || '|' || label || ']] | `' || source_file || '` | ' || degree || ' |', chr(10) order by rank) as t from r where rank <= 5 group by repo),
+os as (select repo, string_agg('### `' || source || '` → `' || target || '`' || chr(10) || '**Relação:** ' || relation || chr(10) || '**Ficheiros:** `' || sf || '`, `' || tf || '`' || chr(10) || '**Porquê:** ' || why || chr(10), chr(10) order by surprise_id) as t from od group by repo),
+cs as (select repo, string_agg('- [[Community-' || community || ']]', chr(10) order by community::bigint) as t from g group by repo)
+select c.repo, c.repo || '/Overview.md' as path, '---' || chr(10) || 'repo: ' || c.repo || chr(10) || 'source_path: /src/' || c.repo || chr(10) || 'graph_path: "/out/' || c.repo || '/graph-out/graph.json"' || chr(10) || 'generated_at: {MADE_AT}' || chr(10) || 'nodes: ' || nodes || chr(10) || 'edges: ' || edges || chr(10) || 'communities: ' || communities || chr(10) || '---' || chr(10) || chr(10)
+|| '# ' || c.repo || ' — Knowledge Graph' || chr(10) || chr(10) || '> [!info] Projecto fonte' || chr(10) || '> **Path:** `/src/' || c.repo || '`' || chr(10) || '> **Grafo:** `/out/' || c.repo || '/graph-out/graph.json`' || chr(10) || '> **Gerado:** {MADE_AT}' || chr(10) || '> **Nodes:** ' || nodes || ' | **Edges:** ' || edges || chr(10) || chr(10)
+|| coalesce('## God Nodes' || chr(10) || chr(10) || '> Nós mais conectados — prováveis pontos de entrada no código' || chr(10) || chr(10) || '| Símbolo | Ficheiro | Degree |' || chr(10) || '|---------|----------|--------|' || chr(10) || bs.t || chr(10) || chr(10), '')
+|| coalesce('## Conexões Surpreendentes' || chr(10) || chr(10) || os.t || chr(10), '') || coalesce('## Comunidades' || chr(10) || chr(10) || '> Grupos de módulos fortemente relacionados (só comunidades com ≥ 5 membros)' || chr(10) || chr(10) || cs.t || chr(10), '') as note
+from c left join bs using (repo) left join os using (repo) left join cs using (repo)""")
+def overview_notes(spark, sf_dir):
+    """A Markdown overview of each repository."""
+    return export.overview_notes(repositories(spark, sf_dir), nodes(spark, sf_dir), edges(spark, sf_dir), gods(spark, sf_dir), surprises(spark, sf_dir))
+
+
+@query(f"""with {_GRAPH}, {_LARGE}, {_COUNTS}, w as (select repo, source as id from e union select repo, target from e), b as (select c.*, (select least(count(distinct id), 5) from w where w.repo = c.repo) as best from c)
+select 'index.md' as path, '---' || chr(10) || 'generated_at: {MADE_AT}' || chr(10) || 'repos_count: ' || count(*) || chr(10) || 'tags: [knowledge-graph, rag, index]' || chr(10) || '---' || chr(10) || chr(10) || '# Knowledge Graphs — Índice' || chr(10) || chr(10) || '> Gerado em {MADE_AT}' || chr(10)
+|| '> Vault dedicado à visualização estrutural de repositórios de código.' || chr(10) || chr(10) || '## Repositórios' || chr(10) || chr(10) || '| Repo | Nodes | Edges | Comunidades | God Nodes | Fonte | Actualizado |' || chr(10) || '|------|-------|-------|-------------|-----------|-------|-------------|' || chr(10)
+|| string_agg('| [[' || repo || '/Overview' || chr(92) || '|' || repo || ']] | ' || nodes || ' | ' || edges || ' | ' || communities || ' | ' || best || ' | `/src/' || repo || '` | {MADE_AT} |' || chr(10), '' order by repo) || chr(10) || '## Navegação' || chr(10) || chr(10) || string_agg('- [[' || repo || '/Overview]]' || chr(10), '' order by repo) as note from b""")
+def index_note(spark, sf_dir):
+    """The note that lists all repositories."""
+    return export.index_note(repositories(spark, sf_dir), nodes(spark, sf_dir), edges(spark, sf_dir), gods(spark, sf_dir), MADE_AT)
 
 
 @query(f"""with {_GRAPH} select repo, id, label, source_file, community, ord from n""")
