@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import lexicons
-from gleaner.functions.text import estimated_tokens, navigates
-from gleaner.operators import chunking, embedding, symbols
+from gleaner.functions.text import navigates
+from gleaner.operators import chunking, embedding, ingest, symbols
+from gleaner.operators.ordering import checkpointed
+from gleaner.plans import registry
 from gleaner.plans.registry import SQL_BLANKS, query, sql_list, table
 from gleaner.sources.files import NOTE_DIRS, has_part
 
@@ -117,25 +119,33 @@ def embed_batches(spark, sf_dir):
     return chunking.embedding_batches(docs, "grp", "doc_id", "text").withColumnRenamed("n", "chars")
 
 
-#: The counters of a run over all files, most of which are unchanged: every third is new or changed, every seventh fails.
-_RUN = "doc_id % 3 = 0", "doc_id % 7 = 0 and doc_id % 3 = 0"
+#: What every third note had at its end when the last run parsed it.
+_LOST = "chr(10) || 'A sentence that stood in this note when it was parsed by the run before this one.'"
 
 
-@query(f"""with p as (select *, {_RUN[0]} as fresh, {_RUN[1]} as failed, length(text) >= 50 as kept from documents)
-select source, count(*) as files_scanned, count(*) filter (where fresh and not failed) as files_parsed, count(*) filter (where not fresh) as files_skipped, count(*) filter (where fresh and not failed and kept) as chunks_produced,
-count(*) filter (where fresh and not failed and kept) as chunks_embedded, count(*) filter (where fresh and not failed and kept) as chunks_stored, count(*) filter (where fresh and not kept) as stale_deleted,
-count(*) filter (where failed) as errors, sum(length(text))::bigint as chars, sum(case when text = '' then 0 else greatest(1, floor(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) * 1.3::double)::int) end)::bigint as tokens,
-sum(length(text))::double / 1000 as elapsed_seconds from p group by source""")
+def _sql_chunks(note: str, where: str) -> str:
+    """The passages of some documents' notes, as ``chunk_notes`` has them."""
+    return registry.ORACLES["chunk_notes"].replace(_NOTE, note).replace(" as t from documents)", f" as t from documents where {where})", 1)
+
+
+@query(f"""with f as (select source, source || '/' || doc_id || '.md' as path, case when text is null then 'error' when doc_id % 3 = 0 then 'parsed' else 'skipped' end as state from documents),
+m as materialized ({_sql_chunks(_NOTE, "doc_id % 3 = 0")}), o as materialized ({_sql_chunks(f"({_NOTE}) || {_LOST}", "doc_id % 3 = 0")}),
+c as (select source, count(*) as chunks, count(distinct chunk_id) as stored, sum(length(display_text))::bigint as chars, sum(case when display_text = '' then 0 else greatest(1, floor(len(regexp_extract_all(display_text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]')) * 1.3::double)::int) end)::bigint as tokens
+from m join f on source_path = path group by source), g as (select source, count(*) as gone from o join f on source_path = path where state = 'parsed' and chunk_id not in (select chunk_id from m) group by source)
+select source, count(*) as files_scanned, count(*) filter (where state = 'parsed') as files_parsed, count(*) filter (where state = 'skipped') as files_skipped, count(*) filter (where state = 'error') as errors,
+coalesce(any_value(chunks), 0) as chunks_produced, coalesce(any_value(chunks), 0) as chunks_embedded, coalesce(any_value(stored), 0) as chunks_stored, coalesce(any_value(chars), 0) as chars, coalesce(any_value(tokens), 0) as tokens, coalesce(any_value(gone), 0) as stale_deleted
+from f left join c using (source) left join g using (source) group by source""")
 def ingest_summary(spark, sf_dir):
-    """The seven counters of a run, its errors and its time, here a millisecond for each character."""
+    """The counters of a run over the documents as notes, a third of which have lost a sentence since the last run: what the
+    manifest knows is skipped, the others go through the chunker and the model, and their old passages are looked up."""
     docs = table(spark, sf_dir, "documents")
-    fresh, failed, kept = F.expr(_RUN[0]), F.expr(_RUN[1]), F.length("text") >= chunking.MIN_NOTE
-    made = F.count_if(fresh & ~failed & kept)
-    return docs.groupBy("source").agg(
-        F.count(F.lit(1)).alias("files_scanned"), F.count_if(fresh & ~failed).alias("files_parsed"), F.count_if(~fresh).alias("files_skipped"), made.alias("chunks_produced"), made.alias("chunks_embedded"),
-        made.alias("chunks_stored"), F.count_if(fresh & ~kept).alias("stale_deleted"), F.count_if(failed).alias("errors"), F.sum(F.length("text")).alias("chars"), F.sum(estimated_tokens(F.col("text"))).alias("tokens"),
-        (F.sum(F.length("text")) / 1000).alias("elapsed_seconds"),
-    )
+    path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    notes = docs.select("source", "doc_id", path.alias("path"), F.col("doc_id").cast("string").alias("stem"), F.expr(_NOTE).alias("text"))
+    before = notes.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.expr(_LOST))).otherwise(F.col("text")))
+    states = checkpointed(ingest.classified(notes, before.select("path", F.sha2("text", 256).alias("sha256"))))
+    passages = checkpointed(embedding.embedded(chunking.chunk_notes(states.filter("state = 'parsed'")), "embedding_text"))
+    stored = chunking.chunk_notes(before.join(states.filter("state = 'parsed'").select("path"), "path", "left_semi"))
+    return ingest.counters(states, passages, ingest.outdated(stored, states, passages), "source")
 
 
 @query("""select doc_id, 32 as dims, list_sum(list_transform(range(32), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::int))::bigint as total from documents""")
