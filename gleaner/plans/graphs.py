@@ -262,10 +262,10 @@ r as (select d.*, n.label, n.source_file, row_number() over (partition by d.repo
 bs as (select repo, string_agg('| [[nodes/' || regexp_replace(replace(label, '|', '-'), '[\\[\\]#]', '', 'g') || chr(92) || '|' || label || ']] | `' || source_file || '` | ' || degree || ' |', chr(10) order by rank) as t from r where rank <= 5 group by repo),
 os as (select repo, string_agg('### `' || source || '` → `' || target || '`' || chr(10) || '**Relação:** ' || relation || chr(10) || '**Ficheiros:** `' || sf || '`, `' || tf || '`' || chr(10) || '**Porquê:** ' || why || chr(10), chr(10) order by surprise_id) as t from od group by repo),
 cs as (select repo, string_agg('- [[Community-' || community || ']]', chr(10) order by community::bigint) as t from g group by repo)
-select c.repo, c.repo || '/Overview.md' as path, '---' || chr(10) || 'repo: ' || c.repo || chr(10) || 'source_path: /src/' || c.repo || chr(10) || 'graph_path: "/out/' || c.repo || '/graph-out/graph.json"' || chr(10) || 'generated_at: {MADE_AT}' || chr(10) || 'nodes: ' || nodes || chr(10) || 'edges: ' || edges || chr(10) || 'communities: ' || communities || chr(10) || '---' || chr(10) || chr(10)
+select c.repo, c.repo || '/Overview.md' as path, rtrim('---' || chr(10) || 'repo: ' || c.repo || chr(10) || 'source_path: /src/' || c.repo || chr(10) || 'graph_path: "/out/' || c.repo || '/graph-out/graph.json"' || chr(10) || 'generated_at: {MADE_AT}' || chr(10) || 'nodes: ' || nodes || chr(10) || 'edges: ' || edges || chr(10) || 'communities: ' || communities || chr(10) || '---' || chr(10) || chr(10)
 || '# ' || c.repo || ' — Knowledge Graph' || chr(10) || chr(10) || '> [!info] Projecto fonte' || chr(10) || '> **Path:** `/src/' || c.repo || '`' || chr(10) || '> **Grafo:** `/out/' || c.repo || '/graph-out/graph.json`' || chr(10) || '> **Gerado:** {MADE_AT}' || chr(10) || '> **Nodes:** ' || nodes || ' | **Edges:** ' || edges || chr(10) || chr(10)
 || coalesce('## God Nodes' || chr(10) || chr(10) || '> Nós mais conectados — prováveis pontos de entrada no código' || chr(10) || chr(10) || '| Símbolo | Ficheiro | Degree |' || chr(10) || '|---------|----------|--------|' || chr(10) || bs.t || chr(10) || chr(10), '')
-|| coalesce('## Conexões Surpreendentes' || chr(10) || chr(10) || os.t || chr(10), '') || coalesce('## Comunidades' || chr(10) || chr(10) || '> Grupos de módulos fortemente relacionados (só comunidades com ≥ 5 membros)' || chr(10) || chr(10) || cs.t || chr(10), '') as note
+|| coalesce('## Conexões Surpreendentes' || chr(10) || chr(10) || os.t || chr(10), '') || coalesce('## Comunidades' || chr(10) || chr(10) || '> Grupos de módulos fortemente relacionados (só comunidades com ≥ 5 membros)' || chr(10) || chr(10) || cs.t || chr(10), ''), chr(10)) || chr(10) as note
 from c left join bs using (repo) left join os using (repo) left join cs using (repo)""")
 def overview_notes(spark, sf_dir):
     """A Markdown overview of each repository."""
