@@ -138,3 +138,26 @@ def test_runs(spark):
     runs = manifest.started(none, spark.sql("select 'a' as run_id, timestamp'2024-01-01' as started_at union all select 'b', timestamp'2024-01-02'"))
     ended = spark.sql("select 'a' as run_id, timestamp'2024-01-03' as finished_at, 'failed' as status, 'disk' as error")
     assert sorted((r["run_id"], r["status"], r["error"]) for r in manifest.finished(runs, ended).collect()) == [("a", "failed", "disk"), ("b", "running", None)]
+
+
+def test_what_follows_a_search_has_all_vectors(spark, tmp_path):
+    """Not the first 30 of a question alone: groups, counts and bests are those of every pair."""
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 41 == 7 else i % 3, rng.normal(size=2).tolist()) for i in range(130)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    scores = lambda q: {i: (label, round(float(np.dot(v, rows[q][2]) / np.linalg.norm(v) / np.linalg.norm(rows[q][2])), 6)) for i, label, v in rows}
+    want = [(q, i, *s) for q in (0, 100) for i, s in scores(q).items()]
+    ranking.QUERY_BLOCK, old = 1, ranking.QUERY_BLOCK
+    try:
+        got = {name: [tuple(r) for r in search.__dict__[name](spark, str(tmp_path)).collect()] for name in ("dedup_best", "dyn_threshold", "relevance_gate", "context_blocks")}
+    finally:
+        ranking.QUERY_BLOCK = old
+    groups = {}
+    for q, i, label, s in want:
+        groups.setdefault((q, label), []).append((-s, i))
+    assert {(q, label): n for q, label, n, *_ in got["relevance_gate"]} == {g: len(m) for g, m in groups.items()} and sum(map(len, groups.values())) == 260
+    assert len(got["dedup_best"]) == len({(q, label, i % 50) for q, i, label, _ in want})
+    kept = {(q, i) for (q, label), m in groups.items() for s, i in m if -s >= max(0.2, 0.75 * -min(m)[0])}
+    assert {(q, i) for q, i, _ in got["dyn_threshold"]} == kept and len(kept) > 60
+    told = {(q, label): block.count("\n") + 1 for q, label, block in got["context_blocks"]}
+    assert told == {g: min(5, len(m)) for g, m in groups.items()}
