@@ -140,6 +140,16 @@ def test_runs(spark):
     assert sorted((r["run_id"], r["status"], r["error"]) for r in manifest.finished(runs, ended).collect()) == [("a", "failed", "disk"), ("b", "running", None)]
 
 
+def test_two_places_of_the_binary_value(spark):
+    import duckdb
+
+    values = [0.125, 0.285, 0.375, 0.145, 0.005, -0.001, 0.995, 1.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(text.two_places(F.col("v"))).collect()
+    assert [r[0] for r in got] == [duckdb.execute("select printf('%.2f', ?::double)", [v]).fetchone()[0] for v in values]
+    gate = ranking.relevance_gate(spark.createDataFrame([(1, 0.125)], "query_id long, score double"), ["query_id"], "score").first()
+    assert gate["reason"] == "best score 0.12 is below 0.50"
+
+
 def test_what_follows_a_search_has_all_vectors(spark, tmp_path):
     """Not the first 30 of a question alone: groups, counts and bests are those of every pair."""
     rng = np.random.default_rng(5)
