@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from gleaner.operators.graph import both_ways, community_surprises, community_tags, cross_links, diagrams, labelled, large_communities
+from gleaner.operators.graph import both_ways, community_surprises, community_tags, cross_links, diagrams, keyed, labelled, large_communities
 from gleaner.operators.ranking import top_k
 
 
@@ -46,7 +46,7 @@ def node_notes(gods: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 15)
     """``repo, id, path, note``: a note for each of the best connected nodes (``repo, id, degree``) with its first ``k``
     neighbours each way in edge order."""
     located = nodes if "source_location" in nodes.columns else nodes.withColumn("source_location", F.lit(""))
-    told = gods.select("repo", "id", "degree").join(located.select("repo", "id", "label", "source_file", "source_location", "community"), ["repo", "id"])
+    told = gods.select("repo", "id", "degree").join(keyed(located.select("repo", "id", "label", "source_file", "source_location", "community")), ["repo", "id"])
     ends = both_ways(edges).join(told.select("repo", "id"), ["repo", "id"])
     near = labelled(top_k(ends, ["repo", "id", "direction"], k, F.col("ord"), F.col("neighbor")), nodes, "neighbor", "neighbor_label")
     rows = told.join(_listed(near, "outgoing", "Chamadas / Dependências (outgoing)", "←"), ["repo", "id"], "left").join(_listed(near, "incoming", "Usado por (incoming)", "→"), ["repo", "id"], "left")
@@ -108,7 +108,7 @@ def overview_notes(repos: DataFrame, nodes: DataFrame, edges: DataFrame, gods: D
     links to its large communities in the order of their numbers.
     """
     counts = graph_counts(nodes, edges)
-    told = gods.select("repo", "id", "degree", "rank").join(nodes.select("repo", "id", "label", "source_file"), ["repo", "id"], "left").withColumn("label", F.coalesce("label", "id"))
+    told = gods.select("repo", "id", "degree", "rank").join(keyed(nodes.select("repo", "id", "label", "source_file")), ["repo", "id"], "left").withColumn("label", F.coalesce("label", "id"))
     name = F.when(F.col("rank") <= noted, F.concat(F.lit("[[nodes/"), link_name(F.col("label")), F.lit("\\|"), "label", F.lit("]]"))).otherwise(_code(F.col("label")))
     row = F.concat(F.lit("| "), name, F.lit(" | "), _code(F.coalesce("source_file", F.lit(""))), F.lit(" | "), F.col("degree").cast("string"), F.lit(" |"))
     best = lines_of(told, ["repo"], F.col("rank"), row, "t").select("repo", F.concat(F.lit("## God Nodes\n\n> Nós mais conectados — prováveis pontos de entrada no código\n\n| Símbolo | Ficheiro | Degree |\n|---------|----------|--------|\n"), "t", F.lit("\n\n")).alias("best"))

@@ -102,12 +102,12 @@ def routed_context(spark, sf_dir):
     searched = routes.filter("use_notes or use_code").select("query_id", "text")
     found = checkpointed(search.hits(spark, sf_dir, searched, symbols.select("doc_id")).join(routes.select("query_id", "mode", "use_notes", "use_code", "use_graph"), "query_id"))
     notes = found.filter("collection = 'notes' and use_notes").withColumns({"title": F.concat_ws("/", "source", F.col("doc_id").cast("string")), "section": F.col("lang")})
-    code = found.filter("collection = 'code' and use_code").join(symbols, "doc_id").withColumn("section", F.col("section_header"))
+    code = found.filter("collection = 'code' and use_code").join(graph.keyed(symbols), "doc_id").withColumn("section", F.col("section_header"))
     # Fetched passages in the graphs, with the tokens that a graph has beside them.
     shares = context.with_budgets(routes, notes, code, BUDGET, F.lit(True)).filter("use_graph").select("query_id", F.col("share.graph").alias("budget"))
     place = lambda repo, rank: F.struct(repo.alias("repo"), rank.cast("int").alias("place")).alias("rank")
     chunks = code.join(shares, "query_id").select(F.col("query_id").cast("string").alias("query_id"), F.col("doc_id").alias("chunk_id"), "repo", "source_path", "section_header", place(F.lit(""), F.col("rank")), "budget")
-    alone = graphs.graph_only(spark, sf_dir).join(graphs.nodes(spark, sf_dir).select("repo", "id", "ord"), ["repo", "id"])
+    alone = graphs.graph_only(spark, sf_dir).join(graph.keyed(graphs.nodes(spark, sf_dir).select("repo", "id", "ord")), ["repo", "id"])
     alone = alone.select(F.lit("all").alias("query_id"), (-1 - F.col("ord")).alias("chunk_id"), "repo", F.col("source_file").alias("source_path"), F.col("label").alias("section_header"), place(F.col("repo"), F.col("rank")), F.lit(BUDGET).alias("budget"))
     told = graph.structural_context(chunks.unionByName(alone), graphs.nodes(spark, sf_dir), graphs.edges(spark, sf_dir), graphs.summaries(spark, sf_dir), graphs.gods(spark, sf_dir))
     blocks = checkpointed(context.joined(told, ["query_id"], "rank", "block", "\n\n").select(F.col("query_id").alias("key"), F.col("block").alias("graph")))

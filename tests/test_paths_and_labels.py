@@ -62,3 +62,11 @@ def test_no_join_pairs_all_passages(spark, sf_dir):
     """Only the first passages of a question reach what follows the search."""
     asked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.col("vec_id") % search.QUERY_STEP == 0).count()
     assert search.passages(spark, sf_dir).count() == asked * search.FETCHED
+
+
+def test_nodes_are_not_broadcast_by_the_size_of_their_file(spark, sf_dir):
+    """A small file of parts may be millions of nodes: joins on them deal both sides out."""
+    from gleaner.plans import graphs
+
+    for name in ("community_edges", "top_edges", "graph_degree"):
+        assert "BroadcastHashJoin" not in getattr(graphs, name)(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
