@@ -144,3 +144,11 @@ def test_graph_json(spark, tmp_path):
 def test_sections(spark, text):
     got = [(r["header"], r["body"]) for r in chunking.header_sections(spark.createDataFrame([(text,)], "text string")).orderBy("section_index").collect()]
     assert got == ([("", "no header")] if text == "no header" else [("A", "body"), ("B", "#### not one\nmore")])
+
+
+def test_whole_texts_are_not_gathered_in_arrow_batches(spark):
+    docs = spark.createDataFrame([(1, "a. " * 900), (2, "b"), (3, None), (4, "c\n" * 1500)], "doc_id int, text string")
+    for cut, plain in ((chunking.long_pieces, chunking.split_at), (chunking.line_pieces, chunking.split_lines)):
+        df = docs.select("doc_id", cut(F.col("text")).alias("p"))
+        assert "ArrowEvalPython" not in df._jdf.queryExecution().sparkPlan().toString()
+        assert {r["doc_id"]: r["p"] for r in df.collect()} == {1: plain("a. " * 900, 2000, 200), 2: ["b"], 3: None, 4: plain("c\n" * 1500, 2000, 200)}
