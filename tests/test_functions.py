@@ -104,3 +104,36 @@ def test_budget_keeps_the_first_row(spark):
     rows = spark.createDataFrame([(1, 1, "a b c d e f g h"), (1, 2, "a"), (2, 1, "a b"), (2, 2, "c"), (2, 3, "d e f g h i")], "q int, n int, text string")
     kept = ranking.within_budget(rows, ["q"], "text", 5, F.col("n")).select("q", "n").collect()
     assert sorted(map(tuple, kept)) == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_postings_in_place(spark):
+    """Terms are counted in the rows of their texts, ids that are repeated in all of theirs together."""
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, "c a"), (3, "a"), (4, None), (None, "x"), (None, "x y")], "doc_id long, text string")
+    got = sorted(map(tuple, sparse.postings(docs, "doc_id", text.tokenize(F.col("text"))).collect()), key=repr)
+    assert got == sorted([(1, 3, "a", 1), (1, 3, "b", 2), (3, 3, "a", 2), (3, 3, "c", 1), (None, 3, "x", 2), (None, 3, "y", 1)], key=repr)
+    plan = sparse.postings(docs.filter("doc_id = 1"), "doc_id", text.tokenize(F.col("text")))._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_sparse_best_is_the_head_of_all_scores(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(90)], "doc_id long, text string")
+    counts = sparse.postings(docs, "doc_id", text.tokenize(F.col("text"))).localCheckpoint()
+    stats = sparse.corpus_stats(docs, counts)
+    weights = sparse.term_weights(counts, stats)
+    asked = sparse.term_counts(spark.createDataFrame([(q, " ".join(rng.choices([*words, "no"], k=4))) for q in range(7)], "q int, text string"), "q", text.tokenize(F.col("text")))
+    index, queries = sparse.document_weights(counts, weights, stats, "doc_id", asked.select("term")), sparse.query_weights(asked, weights, "q").withColumn("asked", F.struct("q"))
+    every = {}
+    for r in sparse.sparse_scores(index, queries, "doc_id", "asked").collect():
+        every.setdefault(r["asked"]["q"], []).append((-r["score"], r["doc_id"]))
+    want = {(q, d, n, -s) for q, m in every.items() for n, (s, d) in enumerate(sorted(m)[:5], 1)}
+    cells = sparse.MATRIX_CELLS
+    try:
+        for sparse.MATRIX_CELLS in (cells, 400, 10):  # one batch, batches of a few documents, no matrix
+            best = sparse.sparse_best(index, queries, "doc_id", "asked", 5).collect()
+            assert {(r["asked"]["q"], r["doc_id"], r["rank"], r["score"]) for r in best} == want and len(best) == 35
+    finally:
+        sparse.MATRIX_CELLS = cells
