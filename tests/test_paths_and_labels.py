@@ -71,3 +71,17 @@ def test_nodes_are_not_broadcast_by_the_size_of_their_file(spark, sf_dir):
     for name in ("community_edges", "top_edges"):
         plan = getattr(graphs, name)(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("ShuffledHashJoin") == 4 and plan.count("BroadcastHashJoin") <= 1  # of lines alone, by their size
+
+
+def test_a_search_is_made_once_for_questions_of_the_same_nodes(spark, monkeypatch):
+    """However many questions name two nodes, their frontiers are grown once; many rows give what few give."""
+    nodes, edges = chain(spark, 4)
+    grown, sizes = graph._grown, []
+    monkeypatch.setattr(graph, "_grown", lambda frontier, *rest: (sizes.append(frontier.count()), grown(frontier, *rest))[1])
+    asked = [("r", a, b) for a in ("label0000", "LABEL0000", "Label0000.", "el0000") for b in ("label0003", "LABEL0003", "abel0003.")]
+    for few in (getattr(graph, "FEW_ROWS", 0), 0):
+        monkeypatch.setattr(graph, "FEW_ROWS", few, raising=False)
+        got = graph.label_paths(edges, nodes, spark.createDataFrame(asked, "repo string, source_label string, target_label string")).collect()
+        assert len(got) == 12 and {tuple(r["path"]) for r in got} == {tuple(f"Label{i:04d}." for i in range(4))}
+        assert max(sizes) == 1 and len(sizes) == 3
+        sizes.clear()
