@@ -2,11 +2,14 @@
 
 Comments and strings are blanked out, and running sums of what opens and closes over a file's lines give the depth at
 which each line begins. Lines at depth 0 where nothing goes on from the line before begin items; the lines inside an item
-belong to it. Kinds and names come from the items' heads. All of it is column expressions and one window over a file.
+belong to it. Kinds and names come from the items' heads. All of it is column expressions and one window over a file;
+files are dealt out once, as sources, and what follows is done where a file lies.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,7 @@ METHODS = {
     "rust": (("impl",), rf"^{_PUB}(?:(?:const|async|unsafe)\s+|extern\s+)*fn\s+(\w+)[^;]*\{{"),
 }
 NAME_CHARS, HEAD_CHARS = 60, 80
+_ROW = "struct<item: bigint, part: bigint, section_header: string, symbol_type: string, text: string>"
 
 
 def language(path: Column) -> Column:
@@ -66,11 +70,13 @@ def masked(text: Column, lang: Column) -> Column:
     cut = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     in_c = lang.isin("c", "cpp")
     pieces = F.when(lang == "rust", cut(RUST_PIECES)).when(in_c, cut(C_PIECES)).otherwise(cut(PIECES))
-    return F.array_join(F.transform(pieces, lambda p: F.when(in_c & p.rlike(DIRECTIVE), F.regexp_replace(p, r"[^\n]+", "#")).when(p.rlike(f"(?s){HIDDEN}"), F.regexp_replace(p, r"[^\n]", " ")).otherwise(p)), "")
+    blank = lambda p: F.array_join(F.transform(F.split(p, "\n"), lambda line: F.repeat(F.lit(" "), F.length(line))), "\n")
+    return F.array_join(F.transform(pieces, lambda p: F.when(in_c & p.rlike(DIRECTIVE), F.regexp_replace(p, r"[^\n]+", "#")).when(p.rlike(f"(?s){HIDDEN}"), blank(p)).otherwise(p)), "")
 
 
-def _count(line: Column, others: str) -> Column:
-    return F.length(F.regexp_replace(line, others, ""))
+def _count(line: Column, signs: str) -> Column:
+    """How many of these signs, of one byte each, a line has."""
+    return F.octet_length(line) - F.octet_length(functools.reduce(lambda rest, sign: F.replace(rest, F.lit(sign), F.lit("")), signs, line))
 
 
 def _begins(depth: int) -> Column:
@@ -87,24 +93,33 @@ def code_lines(files: DataFrame) -> DataFrame:
     items are left out.
     """
     text = F.replace("source", F.lit("\r\n"), F.lit("\n"))
-    rows = files.select("path", "lang", text.alias("source")).withColumn("mask", masked(F.col("source"), F.col("lang")))
+    rows = files.select("path", "lang", text.alias("source")).repartition("path").withColumn("mask", masked(F.col("source"), F.col("lang")))
     both = F.arrays_zip(F.split("source", "\n").alias("line"), F.split("mask", "\n").alias("mask"))
     lines = rows.select("path", "lang", F.posexplode(both).alias("no", "l")).select("path", "lang", "no", "l.line", F.btrim(F.col("l.mask"), F.lit(" \t\r\f")).alias("bare"))
     by = Window.partitionBy("path").orderBy("no")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    grown = _count(F.col("bare"), r"[^{(\[]") - _count(F.col("bare"), r"[^})\]]")
+    grown = _count(F.col("bare"), "{([") - _count(F.col("bare"), "})]")
     lines = lines.withColumns({"depth": F.coalesce(F.sum(grown).over(before), F.lit(0)), "last": F.last(F.when(F.col("bare") != "", F.col("bare")), ignorenulls=True).over(before)})
     lines = lines.withColumns({"item": F.sum(_begins(0).cast("int")).over(by), "part": F.sum(_begins(1).cast("int")).over(by)})
     return lines.filter((F.col("item") > 0) & ~((F.col("depth") <= 0) & (F.col("bare") == ""))).drop("last")
 
 
-def _joined(lines: DataFrame, *by: str) -> DataFrame:
-    """``text`` and ``head`` (its masked text in one line, up to the first brace) of each group of lines."""
-    listed = F.array_sort(F.collect_list(F.struct("no", "line", "bare")))
-    rows = lines.groupBy("path", "lang", *by).agg(listed.alias("l"))
-    one = F.btrim(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["bare"]), " "), r"\s+", " "))
-    head = F.when(F.contains(one, F.lit("{")), F.concat(F.substring_index(one, "{", 1), F.lit("{"))).otherwise(one)
-    return rows.select("path", "lang", *by, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"), head.alias("head"))
+def _text(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+
+
+def _masked_line(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda x: x["bare"]), " ")
+
+
+def _head(masked_line: Column) -> Column:
+    """A masked text in one line, up to the first brace."""
+    cut = F.when(F.contains(masked_line, F.lit("{")), F.concat(F.substring_index(masked_line, "{", 1), F.lit("{"))).otherwise(masked_line)
+    return F.btrim(F.regexp_replace(cut, r"\s+", " "))
+
+
+def _joined(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda x: x["text"]), "\n")
 
 
 def _first_line(text: Column) -> Column:
@@ -119,26 +134,39 @@ def symbols(files: DataFrame) -> DataFrame:
     blanks and comments have none; a file is read in one task, whole.
     """
     lines = code_lines(files.filter("lang is not null and source is not null"))
-    items = _joined(lines, "item")
-    kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for lang, told, pattern in reversed(KINDS):
+    # A part's number only grows along a file, so an item's parts in order are its lines in order.
+    parts = lines.groupBy("path", "lang", "item", "part").agg(F.array_sort(F.collect_list(F.struct("no", "line", "bare", "depth"))).alias("l"))
+    items = parts.groupBy("path", "lang", "item").agg(F.array_sort(F.collect_list(F.struct("part", "l"))).alias("parts"))
+    whole = F.flatten(F.transform("parts", lambda p: p["l"]))
+    items = items.withColumns({"text": _text(whole), "bare": _masked_line(whole)}).withColumn("head", _head(F.col("bare"))).drop("bare")
+    told = F.lit(None).cast("struct<kind: string, name: string>")
+    for lang, kind, pattern in reversed(KINDS):
         fits = (F.col("lang") == lang) & F.col("head").rlike(pattern)
-        fits = fits & ~F.col("head").rlike(NOT_DECLARED) if told in ("declaration", "function") and lang in ("c", "cpp") else fits
-        kind = F.when(fits, told).otherwise(kind)
-        name = F.when(fits, F.regexp_extract("head", pattern, 1)).otherwise(name)
-    items = items.withColumns({"symbol_type": kind, "name": name}).withColumn("name", F.when(F.col("name") == "", _first_line(F.col("text"))).otherwise(F.col("name")))
-    defined = items.filter("symbol_type is not null").select("path", "item", F.lit(0).cast("long").alias("part"), F.col("name").alias("section_header"), "symbol_type", "text")
-    rest = items.filter("symbol_type is null").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", F.btrim("text").alias("t")))), lambda x: x["t"]), "\n").alias("text"), F.max("item").alias("item"))
-    left = rest.select("path", (F.lit(1 << 40) + F.col("item")).alias("item"), F.lit(0).cast("long").alias("part"), F.lit("").alias("section_header"), F.lit("module").alias("symbol_type"), "text")
-    owners = items.filter(F.expr(" or ".join(f"lang = '{lang}' and symbol_type in ({', '.join(repr(k) for k in kinds)})" for lang, (kinds, _) in METHODS.items()))).select("path", "item", F.col("name").alias("owner"))
-    inside = lines.filter((F.col("depth") >= 1) & ~((F.col("depth") == 1) & ((F.col("bare") == "") | F.startswith("bare", F.lit("}"))))).join(owners, ["path", "item"])
-    parts = _joined(inside, "item", "part", "owner")
-    found = F.lit(None).cast("string")
-    for lang, (_, pattern) in METHODS.items():
-        found = F.when((F.col("lang") == lang) & F.col("head").rlike(pattern), F.regexp_extract("head", pattern, 1)).otherwise(found)
-    kind = F.when(F.col("lang") == "rust", "function").when(F.col("lang").isin("java", "csharp") & (F.col("name") == F.col("owner")), "constructor").otherwise("method")
-    methods = parts.withColumn("name", found).filter("name is not null").select("path", "item", "part", F.concat_ws(".", "owner", "name").alias("section_header"), kind.alias("symbol_type"), F.btrim("text").alias("text"))
-    return defined.unionByName(left).unionByName(methods)
+        fits = fits & ~F.col("head").rlike(NOT_DECLARED) if kind in ("declaration", "function") and lang in ("c", "cpp") else fits
+        told = F.when(fits, F.struct(F.lit(kind).alias("kind"), F.regexp_extract("head", pattern, 1).alias("name"))).otherwise(told)
+    items = items.withColumn("told", told).withColumn("name", F.when(F.col("told.name") == "", _first_line(F.col("text"))).otherwise(F.col("told.name")))
+    owns = F.expr(" or ".join(f"lang = '{lang}' and told.kind in ({', '.join(repr(k) for k in kinds)})" for lang, (kinds, _) in METHODS.items()))
+    bodies = F.transform("parts", lambda p: F.struct(p["part"].alias("part"), F.filter(p["l"], lambda x: (x["depth"] >= 1) & ~((x["depth"] == 1) & ((x["bare"] == "") | F.startswith(x["bare"], F.lit("}"))))).alias("l")))
+    bodies = F.transform(F.filter(bodies, lambda b: F.size(b["l"]) > 0), lambda b: F.struct(b["part"].alias("part"), F.btrim(_text(b["l"])).alias("text"), _masked_line(b["l"]).alias("bare")))
+    heads = F.transform(bodies, lambda b: F.struct(b["part"].alias("part"), b["text"].alias("text"), _head(b["bare"]).alias("head")))
+
+    def method(b: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for lang, (_, pattern) in METHODS.items():
+            found = F.when((F.col("lang") == lang) & b["head"].rlike(pattern), F.regexp_extract(b["head"], pattern, 1)).otherwise(found)
+        return F.struct(b["part"].alias("part"), b["text"].alias("text"), found.alias("name"))
+
+    methods = F.filter(F.transform(heads, method), lambda m: m["name"].isNotNull())
+    kind = lambda m: F.when(F.col("lang") == "rust", "function").when(F.col("lang").isin("java", "csharp") & (m["name"] == F.col("name")), "constructor").otherwise("method")
+    row = lambda item, part, header, kind, text: F.struct(item.alias("item"), part.cast("long").alias("part"), header.alias("section_header"), kind.alias("symbol_type"), text.alias("text"))
+    own = F.array(row(F.col("item"), F.lit(0), F.col("name"), F.col("told.kind"), F.col("text")))
+    inside = F.when(owns, F.transform(methods, lambda m: row(F.col("item"), m["part"], F.concat_ws(".", F.col("name"), m["name"]), kind(m), m["text"])))
+    found = F.when(F.col("told").isNotNull(), F.concat(own, F.coalesce(inside, F.array().cast(f"array<{_ROW}>"))))
+    left = F.when(F.col("told").isNull(), F.struct("item", F.btrim("text").alias("text")))
+    by_file = items.select("path", "item", found.alias("found"), left.alias("left")).groupBy("path").agg(F.flatten(F.collect_list("found")).alias("found"), F.array_sort(F.collect_list("left")).alias("left"))
+    rest = row(F.lit(1 << 40) + F.element_at("left", -1)["item"], F.lit(0), F.lit(""), F.lit("module"), _joined(F.col("left")))
+    every = F.concat("found", F.when(F.size("left") > 0, F.array(rest)).otherwise(F.array().cast(f"array<{_ROW}>")))
+    return by_file.select("path", F.explode(every).alias("s")).select("path", "s.*")
 
 
 def oracle(files: str) -> str:

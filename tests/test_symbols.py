@@ -182,3 +182,19 @@ def test_long_symbols_are_cut_in_parts(spark):
     rows = sorted(chunking.chunk_code(spark.createDataFrame(files, "path string, repo_name string, source string")).collect(), key=lambda r: r["chunk_index"])
     assert [r["section_header"] for r in rows] == ["big (part 1)", "big (part 2)", "big (part 3)", "small"] and [r["chunk_index"] for r in rows] == [0, 1, 2, 3]
     assert all(len(r["display_text"]) <= 2300 and r["embedding_text"].startswith("Repo: r | Ficheiro: a.js | Function: ") for r in rows)
+
+
+def test_files_are_dealt_out_and_masked_once(spark):
+    files = spark.createDataFrame(list(SOURCES.items()), "path string, source string").withColumn("lang", symbols.language(F.col("path")))
+    plan = symbols.symbols(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_parts_of_many_items_stay_in_their_order(spark):
+    """Definitions between leftovers, and more items in a file than an aggregate keeps without a sort."""
+    text = "".join(f"class C{i} {{\n    m{i}(a) {{ return '{{'; }}\n\n    n(b) {{ }}\n}}\ncall({i});\n" for i in range(300))
+    files = spark.createDataFrame([("a.js", text, "js"), ("b.js", "/* nothing */\n", "js"), ("c.js", "f();", "js")], "path string, source string, lang string")
+    rows = symbols.symbols(files).orderBy("path", "item", "part").collect()
+    want = [h for i in range(300) for h in (f"C{i}", f"C{i}.m{i}", f"C{i}.n")]
+    assert [r["section_header"] for r in rows] == [*want, "", ""] and rows[-2]["text"] == "\n".join(f"call({i});" for i in range(300))
+    assert rows[1]["text"] == "m0(a) { return '{'; }" and {r["path"] for r in rows} == {"a.js", "c.js"}
