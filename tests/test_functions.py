@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text
 from gleaner.operators import governor, ranking, sparse
+from gleaner.plans import registry, search
 from gleaner.sources import files
 
 
@@ -115,6 +116,25 @@ def test_postings_in_place(spark):
     assert "Aggregate" not in plan and "Join" not in plan
 
 
+def test_bm25_vectors_of_many_terms(spark, tmp_path):
+    """Terms of very many documents have the weights that the SQL gives when there are too many terms to send them all out."""
+    import duckdb
+
+    rows = [(i, f"the {'the ' * (i % 3)}river w{i} w{i // 2}") for i in range(12)] + [(12, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLES["bm25_vectors"]).fetchall())
+    bounds = sparse.BROADCAST_TERMS, sparse.COMMON_TERM
+    try:
+        sparse.BROADCAST_TERMS, sparse.COMMON_TERM = 4, 5
+        got = sorted(map(tuple, search.bm25_vectors(spark, str(tmp_path)).collect()))
+    finally:
+        sparse.BROADCAST_TERMS, sparse.COMMON_TERM = bounds
+    assert len(want) == 47 and all(w for _, _, w in got)
+    assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(g[2] - w[2]) < 1e-5 for g, w in zip(got, want))
+
+
 def test_sparse_best_is_the_head_of_all_scores(spark):
     import random
 
