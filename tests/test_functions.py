@@ -135,6 +135,26 @@ def test_bm25_vectors_of_many_terms(spark, tmp_path):
     assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(g[2] - w[2]) < 1e-5 for g, w in zip(got, want))
 
 
+def test_document_weights_go_one_way_at_any_size(spark):
+    """Neither rows nor plan depend on how the number of terms compares with the bounds."""
+    docs = spark.createDataFrame([(i, f"the {'the ' * (i % 3)}river w{i} w{i // 2}") for i in range(12)], "doc_id long, text string")
+    counts = sparse.postings(docs, "doc_id", text.tokenize(F.col("text"))).localCheckpoint()
+    stats = sparse.corpus_stats(docs, counts).localCheckpoint()
+    weights = sparse.term_weights(counts, stats).localCheckpoint()
+    asked, bounds, every, plans = weights.filter("term < 'w'").select("term"), (sparse.BROADCAST_TERMS, sparse.COMMON_TERM), [], []
+    try:
+        for sparse.BROADCAST_TERMS, sparse.COMMON_TERM in (bounds, (4, 5), (1, 0), (40, 1)):
+            for some in (counts, counts.drop("length")):
+                index = sparse.document_weights(some, weights, stats, "doc_id")
+                picked = sparse.document_weights(some, weights, stats, "doc_id", asked)
+                every.append([sorted((d, t, round(w, 9)) for d, t, w in x.collect()) for x in (index, picked)])
+                plans.append(index._jdf.queryExecution().optimizedPlan().toString().count("Union"))
+    finally:
+        sparse.BROADCAST_TERMS, sparse.COMMON_TERM = bounds
+    assert len(every[0][0]) == 47 and every[0][1] == [r for r in every[0][0] if r[1] < "w"] and len(every[0][1]) == 24
+    assert all(x == every[0] for x in every) and set(plans) == {1}
+
+
 def test_sparse_best_is_the_head_of_all_scores(spark):
     import random
 
